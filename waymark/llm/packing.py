@@ -117,7 +117,8 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
 
     Only the short descriptions of pieces are shuffled, in an order that mixes lengths; Spark sizes
     the packing tasks by those bytes, so each has very many pieces and wastes at most its last
-    `open_bins` sequences. Rows are independent: repeated rows and null ids are packed like others,
+    `open_bins` sequences. The pieces of one Arrow batch, a bounded look-ahead, are placed longest
+    first. Rows are independent: repeated rows and null ids are packed like others,
     a null or empty text is the single id `eos`, an empty table gives no rows. Other columns of
     `docs` are not read.
     """
@@ -128,10 +129,12 @@ def pack(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", voc
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bins, first = OpenBins(max_len, open_bins), TaskContext.get().partitionId() << 40
         for batch in batches:
-            places = [bins.place(n) for n in batch.column("length").to_pylist()]
-            number = np.array([p[0] for p in places], dtype=np.int64) + first
+            lengths = batch.column("length").to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            places = np.empty((len(lengths), 2), dtype=np.int64)
+            places[order] = [bins.place(n) for n in lengths[order].tolist()]
             columns = [batch.column(name) for name in names]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(number), pa.array([p[1] for p in places], pa.int64())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(places[:, 0] + first), pa.array(places[:, 1])], names=schema.names)
 
     dealt = cut.withColumn("_order", order).repartition("_order").sortWithinPartitions("_order")
     return dealt.mapInArrow(place, schema)
