@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import table
 from waymark.llm.decontamination import contamination
-from waymark.llm.language_id import identify
+from waymark.llm.language_id import identify, in_fold
+from waymark.llm.lm_scoring import score_documents
 from waymark.llm.packing import pack
 from waymark.llm.sharding import shard_documents
 from waymark.llm.topk_search import exact_topk
@@ -23,6 +24,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), max_len=2048, eos=0)
 
 
+def op3_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents"), ~in_fold("doc_id", 10, 0))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -45,6 +50,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op3_class_lm_scoring": op3_class_lm_scoring,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
     "op6_exact_topk": op6_exact_topk,
