@@ -11,6 +11,7 @@ from waymark.llm.common import table
 from waymark.llm.decontamination import contamination
 from waymark.llm.language_id import identify, in_fold
 from waymark.llm.lm_scoring import score_documents
+from waymark.llm.near_dedup import near_duplicates
 from waymark.llm.packing import pack
 from waymark.llm.sharding import shard_documents
 from waymark.llm.topk_search import exact_topk
@@ -44,6 +45,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), folds=4, held_out=2)
 
 
+def op9_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85, bands=24, rows=4)
+
+
 def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
@@ -55,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_topk": op6_exact_topk,
     "op7_language_id": op7_language_id,
+    "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
 
@@ -79,6 +85,13 @@ split AS (SELECT rule, verdict, split_part(rule, '/', 1) AS rule_host, substr(ru
 SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict
 FROM parts LEFT JOIN split ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
 GROUP BY page_id, host, path""",
+    "op9_superminhash_dedup": r"""
+WITH RECURSIVE tokens AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i : i + 2], ' '))) END AS s FROM tokens),
+flat AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT doc_id, b FROM reach JOIN links ON other = a)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(other) AS component_id, s.doc_id = min(other) AS kept FROM sets s JOIN reach r ON s.doc_id = r.doc_id GROUP BY s.doc_id, len(s.s)""",
     "op6_exact_topk": """
 WITH usable AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
