@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 import xxhash
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: The same as a translation table, for texts inside tasks.
-LOWER_TABLE = str.maketrans(UPPER, LOWER)
+LOWER_BYTES = bytes.maketrans(UPPER.encode(), LOWER.encode())
+#: Frees the shuffle files of a query once it has ended.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,30 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """`df` as a table in the shared checkpoint folder; the shuffle files that made it are freed."""
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.parquet(path)
+
+
+def words_of(text: str | None) -> list[bytes]:
+    """What white space (0x20, 0x09-0x0D) separates; none for null."""
+    return (text or "").encode().split()
+
+
+def lower_words_of(text: str | None) -> list[bytes]:
+    """The same with A-Z lower-cased."""
+    return (text or "").encode().translate(LOWER_BYTES).split()
+
+
 def text_key(text: Column) -> Column:
     """128 bits that name a text; equal texts have equal keys."""
     return F.unhex(F.md5(text))

@@ -14,6 +14,7 @@ from waymark.llm.lm_scoring import score_documents
 from waymark.llm.near_dedup import near_duplicates
 from waymark.llm.packing import pack
 from waymark.llm.sharding import shard_documents
+from waymark.llm.substring_dedup import dedup_digest
 from waymark.llm.topk_search import exact_topk
 from waymark.llm.url_filter import filter_urls
 
@@ -25,6 +26,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), max_len=2048, eos=0)
 
 
+def op2_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_digest(table(spark, sf_dir, "documents"), window=35)
+
+
 def op3_class_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), ~in_fold("doc_id", 10, 0))
 
@@ -55,6 +60,7 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
+    "op2_recompression_dedup": op2_recompression_dedup,
     "op3_class_lm_scoring": op3_class_lm_scoring,
     "op4_url_filter": op4_url_filter,
     "op5_decontamination": op5_decontamination,
@@ -65,6 +71,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op2_recompression_dedup": r"""
+WITH words AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+windows AS (SELECT r, i, array_to_string(w[i : i + 34], ' ') AS s FROM words, unnest(range(1, len(w) - 33)) AS t(i) WHERE len(w) >= 35),
+repeated AS (SELECT r, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT r, k FROM repeated, unnest(range(i, i + 35)) AS t(k)),
+removed AS (SELECT r, count(*) AS n_removed, list(k) AS ks FROM gone GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN ks IS NULL THEN w ELSE list_transform(list_filter(range(1, len(w) + 1), lambda k: NOT list_contains(ks, k)), lambda k: w[k]) END, ' ')) AS kept_sha256
+FROM words LEFT JOIN removed USING (r)""",
     "op5_decontamination": r"""
 WITH doc_words AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 item_words AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
