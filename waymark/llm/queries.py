@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import table
 from waymark.llm.decontamination import contamination
+from waymark.llm.html_extract import extract
 from waymark.llm.language_id import identify, in_fold
 from waymark.llm.lm_scoring import score_documents
 from waymark.llm.near_dedup import near_duplicates
@@ -50,6 +51,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "documents"), folds=4, held_out=2)
 
 
+def op8_min_cut_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op9_superminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85, bands=24, rows=4)
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_decontamination": op5_decontamination,
     "op6_exact_topk": op6_exact_topk,
     "op7_language_id": op7_language_id,
+    "op8_min_cut_extraction": op8_min_cut_extraction,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
 }
