@@ -53,6 +53,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table made by `written` that no later step reads."""
+    spark = table.sparkSession
+    for name in {file.rpartition("/")[0] for file in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """What white space (0x20, 0x09-0x0D) separates; none for null."""
     return (text or "").encode().split()
@@ -76,18 +84,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class WordHashes(dict):
-    """64-bit hash of each word (bytes), remembered while there are at most `most` words."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+def hash_words(words: list[bytes]) -> np.ndarray:
+    """64-bit hash of each word."""
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import WordHashes, mix, text_key, words_of, written
+from waymark.llm.common import discard, hash_words, mix, text_key, words_of, written
 
 ROUNDS = 2
 #: Occurrences of a symbol whose windows one task compares; windows of more frequent symbols are counted by fingerprint.
@@ -105,22 +105,19 @@ def filed_windows(hashes: np.ndarray, text: np.ndarray, window: int, rounds: int
     starts = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :]) if len(text) >= window else np.empty(0, np.int64)
     if not len(starts):
         return np.empty(0, np.uint64), starts, starts
-    # best symbol of each window: (round, least name), as a number to minimise by position
-    best_name = np.full(len(hashes), np.uint64(0))
-    best_at = np.full(len(hashes), -1, dtype=np.int64)
-    symbols = Symbols(hashes, text)
-    layers = []
+    symbols, layers = Symbols(hashes, text), []
     for number in range(rounds):
         symbols.runs()
         symbols.pairs(number)
         inside = symbols.high - symbols.low <= window
         layers.append((symbols.name[inside], symbols.at[inside], symbols.low[inside], symbols.high[inside]))
-    for name, at, low, high in reversed(layers):
-        open_windows = best_at < 0
-        # windows [high - window, low] hold the reach; the least name first, so later ones only fill gaps
-        found_name, found_at = _least(name, at, high - window, low, len(hashes))
-        take = open_windows & (found_at >= 0)
-        best_name[take], best_at[take] = found_name[take], found_at[take]
+    best_name, best_at = np.zeros(len(hashes), dtype=np.uint64), np.full(len(hashes), -1, dtype=np.int64)
+    for name, at, low, high in reversed(layers):  # windows [high - window, low] hold the reach
+        found = _least(name, at, high - window, low, len(hashes))
+        named = np.zeros(len(hashes), dtype=np.uint64)
+        named[at] = name
+        take = (best_at < 0) & (found >= 0)
+        best_at[take], best_name[take] = found[take], named[found[take]]
     name, at = best_name[starts], best_at[starts]
     alone = at < 0
     if alone.any():
@@ -133,38 +130,28 @@ def filed_windows(hashes: np.ndarray, text: np.ndarray, window: int, rounds: int
     return name[first], starts[first], np.diff(np.append(first, len(starts)))
 
 
-def _least(name: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window the least name among the symbols whose stretch [first, last] holds it, and that symbol's place; -1 without.
+def _least(name: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """For each window the place of the symbol with the least name among those whose stretch [first, last] holds the window; -1 without.
 
-    Of equal names the leftmost counts. Stretches are no longer than a window, so a sparse table of
-    minima over powers of two serves all of them.
+    Of equal names the leftmost counts: the low bits of a name give way to the place. Stretches are
+    no longer than a window, so minima over powers of two serve all of them.
     """
-    found_name = np.full(n, np.uint64(0xFFFFFFFFFFFFFFFF))
-    found_at = np.full(n, -1, dtype=np.int64)
-    if not len(name):
-        return found_name, found_at
-    first = np.maximum(first, 0)
-    last = np.minimum(last, n - 1)
-    sizes = last - first + 1
-    order = np.lexsort((at, name))  # by name, then from the left
-    rank = np.empty(len(name), dtype=np.int64)
-    rank[order] = np.arange(len(name))
-    worst = len(name)
-    top = int(np.max(sizes)).bit_length()
-    levels = [np.full(n, worst, dtype=np.int64) for _ in range(top)]
-    power = np.floor(np.log2(sizes)).astype(np.int64)
-    for k in range(top):
-        has = power == k
-        np.minimum.at(levels[k], first[has], rank[has])
-        np.minimum.at(levels[k], last[has] - (1 << k) + 1, rank[has])
+    bits = np.uint64(max(24, n.bit_length()))
+    place = (np.uint64(1) << bits) - np.uint64(1)
+    key = (name & ~place) | at.astype(np.uint64)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    first, last = np.maximum(first, 0), np.minimum(last, n - 1)
+    power = np.log2(np.maximum(last - first + 1, 1)).astype(np.int64)
+    top = int(power.max(initial=0)) + 1
+    levels = np.full((top, n), none, dtype=np.uint64)
+    np.minimum.at(levels, (power, first), key)
+    np.minimum.at(levels, (power, last - (1 << power) + 1), key)
     for k in range(top - 1, 0, -1):  # a stretch of 2^k windows is two of 2^(k-1)
         half = 1 << (k - 1)
         np.minimum(levels[k - 1], levels[k], out=levels[k - 1])
-        np.minimum(levels[k - 1][half:], levels[k][:-half], out=levels[k - 1][half:])
+        np.minimum(levels[k - 1, half:], levels[k, :-half], out=levels[k - 1, half:])
     least = levels[0]
-    has = least < worst
-    found_name[has], found_at[has] = name[order[least[has]]], at[order[least[has]]]
-    return found_name, found_at
+    return np.where(least == none, np.int64(-1), (least & place).astype(np.int64))
 
 
 def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
@@ -192,13 +179,12 @@ def filings(texts: DataFrame, window: int, rounds: int) -> DataFrame:
     """symbol, key, first (window) and n (windows) over a table of key and text."""
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
             for row, words in _chunks(batch, 1):
                 sizes = np.array([len(w) for w in words])
                 begin = np.cumsum(sizes) - sizes
                 text = np.repeat(np.arange(len(words)), sizes)
-                hashes = known.of([w for ws in words for w in ws])
+                hashes = hash_words([w for ws in words for w in ws])
                 symbol, first, n = filed_windows(hashes, text, window, rounds)
                 owner = text[first] if len(first) else first
                 yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), batch.column(0).take(pa.array(owner + row)), pa.array((first - begin[owner]).astype(np.int32) if len(first) else first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["symbol", "key", "first", "n"])
@@ -210,18 +196,20 @@ def printed(candidates: DataFrame, window: int) -> DataFrame:
     """symbol, times, key, first, prints (8 bytes a window) over a table of key, text and stretches of windows."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
         for batch in batches:
-            symbols, times, keys, firsts, prints = [], [], [], [], []
-            for i, (text, stretches) in enumerate(zip(batch.column(1), batch.column(2), strict=True)):
-                found = fingerprints(known.of(words_of(text.as_py())), window)
-                for s in stretches.as_py():
-                    symbols.append(s["symbol"])
-                    times.append(s["times"])
-                    keys.append(i)
-                    firsts.append(s["first"])
-                    prints.append(found[s["first"] : s["first"] + s["n"]].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(symbols, pa.int64()), pa.array(times, pa.int64()), batch.column(0).take(pa.array(keys, pa.int32())), pa.array(firsts, pa.int32()), pa.array(prints, pa.binary())], names=["symbol", "times", "key", "first", "prints"])
+            for part in (batch.slice(i, 500) for i in range(0, batch.num_rows, 500)):
+                prints = [fingerprints(hash_words(words_of(text.as_py())), window) for text in part.column(1)]
+                begin = np.cumsum([0, *map(len, prints)])
+                stretches = part.column(2)
+                owner = np.repeat(np.arange(len(prints)), stretches.value_lengths().to_numpy())
+                symbol, times, first, n = (stretches.flatten().field(name) for name in ("symbol", "times", "first", "n"))
+                sizes = n.to_numpy().astype(np.int64)
+                ends = np.cumsum(sizes)
+                at = np.repeat(begin[owner] + first.to_numpy() - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
+                blob = np.concatenate([np.empty(0, np.uint64), *prints])[at]
+                offsets = (8 * np.concatenate(([0], ends))).astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
+                yield pa.RecordBatch.from_arrays([symbol, times, part.column(0).take(pa.array(owner)), first, packed], names=["symbol", "times", "key", "first", "prints"])
 
     return candidates.mapInArrow(make, "symbol long, times long, key binary, first int, prints binary")
 
@@ -278,12 +266,15 @@ def repeated_windows(texts: DataFrame, window: int, rounds: int = ROUNDS) -> Dat
     """key and an array of stretches (first, n) of windows that occur more than once among distinct texts."""
     filed = written(filings(texts, window, rounds))
     again = filed.groupBy("symbol").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    kept = filed.join(again, "symbol").groupBy("key").agg(F.collect_list(F.struct("symbol", "times", "first", "n")).alias("stretches"))
-    candidates = texts.join(kept, "key").select("key", "text", "stretches")
-    rows = written(printed(candidates, window))
+    kept = written(filed.join(again, "symbol").groupBy("key").agg(F.collect_list(F.struct("symbol", "times", "first", "n")).alias("stretches")))
+    discard(filed)
+    rows = written(printed(texts.join(kept, "key").select("key", "text", "stretches"), window))
+    discard(kept)
     few = repeated_in_task(rows.where(F.col("times") <= TOGETHER).repartition("symbol"))
     many = repeated_by_count(rows.where(F.col("times") > TOGETHER))
-    return few.union(many).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("stretches"))
+    found = written(few.union(many).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("stretches")))
+    discard(rows)
+    return found
 
 
 def covered(n_words: int, stretches: list[dict], window: int) -> np.ndarray:
