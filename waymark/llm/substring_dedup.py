@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import discard, hash_words, mix, text_key, words_of, written
 
-ROUNDS = 2
+ROUNDS = 5
 #: Occurrences of a symbol whose windows one task compares; windows of more frequent symbols are counted by fingerprint.
 TOGETHER = 2000
 #: An odd multiplier for window fingerprints, and its inverse modulo 2^64.
@@ -48,7 +48,7 @@ class Symbols:
     """Symbols of concatenated texts: name, first word, and reach [low, high) in words; `text` numbers the texts."""
 
     def __init__(self, names: np.ndarray, text: np.ndarray):
-        self.name, self.text = names, text
+        self.words, self.name, self.text = names, names, text
         self.at = np.arange(len(names))
         self.low, self.high = self.at.copy(), self.at + 1
 
@@ -66,16 +66,25 @@ class Symbols:
         self.low, self.high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
 
     def runs(self) -> None:
-        """Each maximal run of one symbol becomes a symbol; its neighbours decide where it ends."""
+        """Each maximal run of one symbol becomes a symbol; what stands beside it decides where it ends.
+
+        A neighbour whose nearest word is not the one a repetition would have is another symbol, so
+        that word decides; only where it is the same does the neighbour's whole reach count.
+        """
         if not len(self.name):
             return
         new = np.concatenate(([True], (self.name[1:] != self.name[:-1]) | (self.text[1:] != self.text[:-1])))
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(self.name)))
         left, right = self._sides()
+        end = np.append(self.at[1:], len(self.words))
+        before, after = self.words[np.maximum(self.at - 1, 0)], self.words[np.minimum(end, len(self.words) - 1)]
+        same = np.concatenate(([False], self.text[1:] == self.text[:-1], [False]))
+        left = np.where((before != self.words[end - 1]) & same[:-1], self.at - 1, left)
+        right = np.where((after != self.words[self.at]) & same[1:], end + 1, right)
         names = self.name[starts]
         names = np.where(sizes > 1, mix(names ^ mix(sizes.astype(np.uint64))), names)
-        self._keep(starts, names, left, right)
+        self._keep(starts, names, np.minimum(self.low, left), np.maximum(self.high, right))
 
     def pairs(self, number: int) -> None:
         """Left and right symbols that stand together become one; halves are drawn anew each round."""
