@@ -254,7 +254,11 @@ def repeated_in_task(rows: DataFrame) -> DataFrame:
 
 
 def repeated_by_count(rows: DataFrame) -> DataFrame:
-    """The same for symbols of any frequency: windows are counted by fingerprint."""
+    """key and the array of its stretches of windows that occur twice, for symbols of any frequency.
+
+    Stretches with the same windows, as copies of a passage have, are counted once with their number;
+    the windows of distinct stretches are counted by fingerprint, and the answer goes back by stretch.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,13 +266,17 @@ def repeated_by_count(rows: DataFrame) -> DataFrame:
                 blobs = part.column("prints").to_pylist()
                 sizes = np.array([len(b) // 8 for b in blobs])
                 row = np.repeat(np.arange(len(sizes)), sizes)
-                start = part.column("first").to_numpy()[row] + np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
+                place = np.arange(len(row)) - (np.cumsum(sizes) - sizes)[row]
                 index = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column("symbol").take(index), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64)), part.column("key").take(index), pa.array(start.astype(np.int32))], names=["symbol", "print", "key", "first"])
+                yield pa.RecordBatch.from_arrays([part.column("symbol").take(index), pa.array(np.frombuffer(b"".join(blobs), dtype=np.int64)), part.column("mark").take(index), pa.array(place.astype(np.int32)), part.column("copies").take(index)], names=["symbol", "print", "mark", "place", "copies"])
 
-    windows = rows.mapInArrow(spread, "symbol long, print long, key binary, first int")
-    twice = windows.groupBy("symbol", "print").agg(F.count(F.lit(1)).alias("times")).where("times > 1").drop("times")
-    return windows.join(twice, ["symbol", "print"]).select("key", "first", F.lit(1).alias("n"))
+    marked = rows.select("symbol", "key", "first", "prints", F.unhex(F.md5("prints")).alias("mark"))
+    distinct = marked.groupBy("symbol", "mark").agg(F.first("prints").alias("prints"), F.count(F.lit(1)).alias("copies"))
+    windows = distinct.mapInArrow(spread, "symbol long, print long, mark binary, place int, copies long")
+    twice = windows.groupBy("symbol", "print").agg(F.sum("copies").alias("times")).where("times > 1").drop("times")
+    places = windows.join(twice, ["symbol", "print"]).groupBy("symbol", "mark").agg(F.collect_list("place").alias("places"))
+    found = marked.drop("prints").join(places, ["symbol", "mark"])
+    return found.select("key", F.transform("places", lambda p: F.struct((F.col("first") + p).alias("first"), F.lit(1).alias("n"))).alias("stretches"))
 
 
 def repeated_windows(texts: DataFrame, window: int, rounds: int = ROUNDS) -> DataFrame:
@@ -281,7 +289,8 @@ def repeated_windows(texts: DataFrame, window: int, rounds: int = ROUNDS) -> Dat
     discard(kept)
     few = repeated_in_task(rows.where(F.col("times") <= TOGETHER).repartition("symbol"))
     many = repeated_by_count(rows.where(F.col("times") > TOGETHER))
-    found = written(few.union(many).groupBy("key").agg(F.collect_list(F.struct("first", "n")).alias("stretches")))
+    each = few.select("key", F.array(F.struct("first", "n")).alias("stretches")).union(many)
+    found = written(each.groupBy("key").agg(F.flatten(F.collect_list("stretches")).alias("stretches")))
     discard(rows)
     return found
 
