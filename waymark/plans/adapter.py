@@ -16,11 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each event: a user is a session, an error is dead reckoning, value is the speed."""
-    e = table(spark, sf_dir, "events")
+    e = table(spark, sf_dir, "events").withColumnRenamed("user_id", "session_id")
     k = F.get_json_object("props", "$.k").cast("double")
-    order = W.partitionBy("user_id").orderBy("ts", "event_id")
+    order = W.partitionBy("session_id").orderBy("ts", "event_id")
     return e.select(
-        F.col("user_id").alias("session_id"),
+        "session_id",
         F.row_number().over(order).cast("long").alias("seq"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t_ms"),
         F.col("value").alias("speed_kmh"),
