@@ -157,3 +157,18 @@ def test_cuts_are_minimal():
         best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
         assert cost(minimum_cut(gains, edges)) == pytest.approx(best, abs=1e-6)
         assert cost(max_flow_labels(gains, edges)) == pytest.approx(best, abs=1e-6)
+
+
+def test_one_row_of_each_component_stays(spark):
+    def text(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join("%08x" % rng.getrandbits(32) for _ in range(n))
+
+    twice, lost, low, clash, alone = map(text, range(5))
+    rows = docs(spark, [(1, twice), (1, twice), (None, lost), (None, lost.upper()), (2, low), (5, low), (5, clash), (None, alone), (9, None), (9, " ")])
+    kept = near_dedup.drop_near_duplicates(rows)
+    assert kept.columns == rows.columns
+    got = sorted(((r["doc_id"], (r["text"] or "").lower().strip()) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, twice), (None, lost), (2, low), (5, clash), (None, alone), (9, ""), (9, "")], key=repr)
+    unharmed = {(r["text"] or "").lower().strip() for r in substring_dedup.remove_repeats(kept, count_col="n_chars").collect()}
+    assert unharmed == {twice, lost, low, clash, alone, ""}
