@@ -1,7 +1,7 @@
 """Hidden-Markov map matching: candidates by a Spark join, then one Viterbi pass a session.
 
-The pass keeps back pointers of one session; route lengths come from a bounded Dijkstra search over
-the road graph, which is broadcast after a check of its size (match larger areas cell by cell).
+The pass keeps back pointers of one session; route lengths come from a Dijkstra search, until all
+wanted nodes are settled, over the road graph, which is broadcast after a check of its size (match larger areas cell by cell).
 """
 
 from __future__ import annotations
@@ -33,43 +33,46 @@ def metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
 
 
 class RoadGraph:
-    """Adjacency lists of directed edges, with lengths; remembers the searches of some thousand sources."""
+    """Adjacency lists of directed edges, with lengths; keeps searches, to go on from where they stopped."""
 
-    REMEMBERED = 2000
+    #: Nodes that the kept searches may have settled; beyond, the oldest searches go.
+    REMEMBERED = 3_000_000
 
     def __init__(self, edges: Iterator[tuple[int, int, float]]):
         self.out: dict[int, list[tuple[int, float]]] = {}
-        self.known: dict[tuple[int, float], dict[int, float]] = {}
+        self.entered: set[int] = set()
+        self.known: dict[int, tuple[dict[int, float], list[tuple[float, int]]]] = {}
+        self.settled = 0
         for u, v, length in edges:
             self.out.setdefault(u, []).append((v, length))
-
-    def distances(self, source: int, most: float) -> dict[int, float]:
-        """Shortest lengths from `source` to all nodes within `most` metres."""
-        if (source, most) not in self.known:
-            if len(self.known) >= self.REMEMBERED:
-                self.known.clear()
-            self.known[source, most] = self._search(source, most)
-        return self.known[source, most]
-
-    def _search(self, source: int, most: float) -> dict[int, float]:
-        found: dict[int, float] = {}
-        open_nodes = [(0.0, source)]
-        while open_nodes:
+            self.entered.add(v)
+
+    def distances(self, source: int, wanted: set[int], most: float = inf) -> dict[int, float]:
+        """Shortest lengths from `source` to the wanted nodes it reaches, within `most` metres."""
+        if source not in self.known:
+            while self.settled > self.REMEMBERED:
+                self.settled -= len(self.known.pop(next(iter(self.known)))[0])
+            self.known[source] = {}, [(0.0, source)]
+        found, open_nodes = self.known[source]
+        before, missing = len(found), {v for v in wanted if v not in found and (v in self.entered or v == source)}
+        while missing and open_nodes and open_nodes[0][0] <= most:
             far, u = heapq.heappop(open_nodes)
             if u in found:
                 continue
             found[u] = far
+            missing.discard(u)
             for v, length in self.out.get(u, ()):
-                if v not in found and far + length <= most:
+                if v not in found:
                     heapq.heappush(open_nodes, (far + length, v))
-        return found
+        self.settled += len(found) - before
+        return {v: found[v] for v in wanted if v in found and found[v] <= most}
 
 
 @dataclass
 class Candidate:
-    edge: int
-    start: int
-    end: int
+    edge: int | None  # None: off the roads
+    start: int | None
+    end: int | None
     oneway: bool
     length: float
     offset: float
@@ -88,7 +91,7 @@ def same_edge(a: Candidate, b: Candidate) -> float | None:
     return back * BACKWARD_FACTOR if back < BACKWARD_M else None
 
 
-def viterbi(points: list[tuple[float, float, float | None]], candidates: list[list[Candidate]], graph: RoadGraph, *, sigma: float, beta: float, most: float) -> tuple[list[Candidate], float]:
+def viterbi(points: list[tuple[float, float, float | None]], candidates: list[list[Candidate]], graph: RoadGraph, *, sigma: float, beta: float, most: float = inf) -> tuple[list[Candidate], float]:
     """Most likely candidate of each point, and the log likelihood. Of equal scores the first candidate wins."""
 
     def emission(c: Candidate, accuracy: float | None) -> float:
@@ -100,16 +103,18 @@ def viterbi(points: list[tuple[float, float, float | None]], candidates: list[li
     for t in range(1, len(points)):
         (lat0, lng0, _), (lat, lng, accuracy) = points[t - 1], points[t]
         still = metres(lat0, lng0, lat, lng) < 0.5
-        reach = {u: graph.distances(u, most) for u in {c.end for c in candidates[t - 1]}}
+        starts = {c.start for c in candidates[t] if c.edge is not None}
+        reach = {u: graph.distances(u, starts, most) for u in {c.end for c in candidates[t - 1] if c.edge is not None}}
         new, chosen = [], []
         for b in candidates[t]:
             best, best_at = -inf, 0
             for i, a in enumerate(candidates[t - 1]):
-                if still and a.edge == b.edge:
+                same = a.edge is not None and a.edge == b.edge
+                if still and same:
                     move = 0.0
                 else:
-                    route = same_edge(a, b) if a.edge == b.edge else None
-                    if route is None:
+                    route = same_edge(a, b) if same else None
+                    if route is None and a.edge is not None and b.edge is not None:
                         between = reach[a.end].get(b.start)
                         route = None if between is None else max(0.0, a.length - a.offset) + between + max(0.0, b.offset)
                     move = BROKEN if route is None else -log(beta) - abs(route - metres(a.lat, a.lng, b.lat, b.lng)) / beta
@@ -126,12 +131,12 @@ def viterbi(points: list[tuple[float, float, float | None]], candidates: list[li
     return [candidates[t][i] for t, i in enumerate(reversed(path))], total
 
 
-def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: float = 5.0, radius: float = 50.0, k: int = 5, most_route: float = 3000.0) -> DataFrame:
+def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: float = 5.0, radius: float = 50.0, k: int = 5, most_route: float = inf) -> DataFrame:
     """session_id, seq, matched_lat, matched_lng, edge_id (null off the roads) and the session's confidence.
 
     `points` has lat, lng and accuracy_m; `edges` has edge_id, from_node, to_node, lat1, lng1, lat2,
     lng2 and optionally oneway, one row for each direction of travel with the two-way flag false on
-    both. Routes beyond `most_route` metres count as broken.
+    both. Only nodes that no route joins count as broken, unless `most_route` metres bound the routes.
     """
     flagged = edges if "oneway" in edges.columns else edges.withColumn("oneway", F.lit(False))
     if flagged.limit(MAX_EDGES + 1).count() > MAX_EDGES:
@@ -148,12 +153,12 @@ def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: flo
         pdf = pdf.sort_values(ORDER)
         places = [(a, b, None if c is None or np.isnan(c) else c) for a, b, c in zip(pdf["lat"], pdf["lng"], pdf["accuracy_m"], strict=True)]
         options = []
-        for t, (near, (lat, lng, _)) in enumerate(zip(pdf["near"], places, strict=True)):
+        for near, (lat, lng, _) in zip(pdf["near"], places, strict=True):
             rows = [] if near is None else [Candidate(r["edge_id"], r["from_node"], r["to_node"], bool(r["oneway"]), r["length_m"], r["offset_m"], r["proj_lat"], r["proj_lng"], r["distance_m"]) for r in near]
-            options.append(rows or [Candidate(-1 - t, -1 - 2 * t, -2 - 2 * t, True, 0.0, 0.0, lat, lng, 0.0)])
+            options.append(rows or [Candidate(None, None, None, True, 0.0, 0.0, lat, lng, 0.0)])
         path, total = viterbi(places, options, shipped.value, sigma=sigma, beta=beta, most=most_route)
         sure = min(1.0, exp(total / len(path) / 10))
-        return pd.DataFrame({KEY: pdf[KEY].to_numpy(), ORDER: pdf[ORDER].to_numpy(), "matched_lat": [c.lat for c in path], "matched_lng": [c.lng for c in path], "edge_id": pd.array([c.edge if c.edge >= 0 else None for c in path], dtype="Int64"), "confidence": sure})
+        return pd.DataFrame({KEY: pdf[KEY].to_numpy(), ORDER: pdf[ORDER].to_numpy(), "matched_lat": [c.lat for c in path], "matched_lng": [c.lng for c in path], "edge_id": pd.array([c.edge for c in path], dtype="Int64"), "confidence": sure})
 
     kind = points.schema[KEY].dataType.simpleString()
     return whole.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, {ORDER} long, matched_lat double, matched_lng double, edge_id long, confidence double")
