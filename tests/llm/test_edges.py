@@ -172,3 +172,37 @@ def test_one_row_of_each_component_stays(spark):
     assert got == sorted([(1, twice), (None, lost), (2, low), (5, clash), (None, alone), (9, ""), (9, "")], key=repr)
     unharmed = {(r["text"] or "").lower().strip() for r in substring_dedup.remove_repeats(kept, count_col="n_chars").collect()}
     assert unharmed == {twice, lost, low, clash, alone, ""}
+
+
+def test_topk_keeps_large_components(spark):
+    big, huge = 2.0**21, 2.0**70
+    rows = [(0, [1.0, 0.0, 0.0]), (1, [big, 1.0, 0.0]), (2, [-big, 5.0, 0.0]), (3, [1.0, huge, 0.0]), (100, [big, -3.0, 2.0**40]), (4, [0.5, 2.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in exact_topk(vectors.where("vec_id <> 3"), F.col("vec_id") % 100 == 0, k=9).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    exact = {i: [int(x * 1024) for x in v] for i, v in rows if i != 3}
+    for q in (0, 100):
+        scored = sorted((-sum(a * b for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)
+        assert sorted(got[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(scored)]
+    alone = exact_topk(vectors, F.col("vec_id") == 0, k=9).where("vec_id = 3").first()
+    assert (alone["rank"], alone["score"]) == (3, 1 << 20)
+    with pytest.raises(Exception, match="does not fit in a long"):
+        exact_topk(vectors, F.col("vec_id") == 100, k=9).collect()
+
+
+def test_exact_scores_like_whole_numbers():
+    from waymark.llm.topk_search import exact_scores
+
+    rng = random.Random(4)
+    a, b = ([[float(rng.choice([0, rng.randint(-9, 9), rng.randint(-9, 9) * 2 ** rng.randint(0, 62)])) for _ in range(3)] for _ in range(30)] for _ in "ab")
+
+    def terms(lines):
+        found = [(i, t, x) for t in range(3) for i, line in enumerate(lines) if (x := line[t])]
+        return tuple(np.array(c) for c in zip(*found, strict=True))
+
+    true = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
+    fits = np.array([[abs(s) < 2**63 for s in line] for line in true])
+    got = exact_scores(30, 30, terms(a), terms(b), fits)
+    assert fits.any() and not fits.all()
+    assert all(got[i, j] == true[i][j] for i, j in zip(*np.nonzero(fits), strict=True))
