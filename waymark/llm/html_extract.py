@@ -20,7 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Fixed names of HTML.
-RAW = frozenset("script style textarea title xmp noscript iframe noembed noframes template svg math object audio video canvas".split())
+RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
+#: Dropped with all they hold, where they close; without an end tag they are ordinary.
+SUBTREES = frozenset("svg template audio video canvas".split())
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup html li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 BREAKS = frozenset(["hr"])
 SPACES = frozenset(["br", "wbr"])
@@ -30,11 +32,16 @@ CLOSES = {"li": (("li",), ("ul", "ol", "menu", "dir")), "dd": (("dd", "dt"), ("d
 AWAY_TAGS = frozenset("nav aside footer form menu dialog button select option fieldset search".split())
 MAIN_TAGS = frozenset(["article", "main"])
 AWAY_WORDS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu menubar breadcrumb breadcrumbs footer footnav sidebar aside widget related recommended share sharing social cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist reply replies respond disqus form search pagination pager masthead topbar skip toolbar copyright".split())
+#: Away words of places that hold articles of their own, unless a word of a wrapper stands beside them.
+OTHERS_WORDS = frozenset("comment comments commentlist reply replies respond disqus related recommended promo promotion sponsored widget popup modal".split())
+WRAPPER_WORDS = frozenset("wrap wrapper has with no page site layout container content".split())
 MAIN_WORDS = frozenset("article post entry story content main body text".split())
 
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 NAMED = re.compile(r"""\s(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]*)""", re.I)
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+#: What hides tags (comments, raw text), and the tags of subtrees.
+HIDDEN_OR_SUBTREE = re.compile(rf"<!--(?:.*?-->|.*)|<({'|'.join(sorted(RAW))})(?=[\s/>])[^>]*>(?:.*?</\1(?=[\s/>])|.*)|<(/?)({'|'.join(sorted(SUBTREES))})(?=[\s/>])([^>]*)>", re.I | re.S)
 RAW_END = {tag: re.compile(f"</{tag}(?=[\\s/>])", re.I) for tag in RAW}
 
 
@@ -56,6 +63,7 @@ class _Open:
     number: int
     away: bool
     main: bool
+    kept_away: bool = False  # away by more than a form or a wrapper's class name
 
 
 @dataclass
@@ -107,17 +115,21 @@ class Parser:
                 if self.stack[at].tag in stops:
                     break
         top = self.stack[-1]
-        away, main = top.away, top.main
+        away, main, kept_away = top.away, top.main, top.kept_away
+        if tag in MAIN_TAGS and away and not main and not kept_away:
+            away = False
         names = {w.lower() for value in NAMED.findall(attributes) for w in WORDS.findall(value)} if "=" in attributes else ()
         if tag in ("html", "body", "head"):
             names = ()
         named_header = "header" in names and not main and MAIN_WORDS.isdisjoint(names)
         if tag in AWAY_TAGS or (tag == "header" and not main) or named_header or not AWAY_WORDS.isdisjoint(names):
             away = True
+            others = not OTHERS_WORDS.isdisjoint(names) and WRAPPER_WORDS.isdisjoint(names)
+            kept_away = kept_away or tag in AWAY_TAGS - {"form"} or tag == "header" or others
         elif tag in MAIN_TAGS or not MAIN_WORDS.isdisjoint(names):
             main = True
         self.made += 1
-        self.stack.append(_Open(tag, self.made, away, main))
+        self.stack.append(_Open(tag, self.made, away, main, kept_away))
         self.counts[tag] = self.counts.get(tag, 0) + 1
 
     def closed(self, tag: str) -> None:
@@ -130,6 +142,7 @@ class Parser:
 
     def feed(self, page: str) -> list[Block]:
         at, quotes = 0, True
+        ends: dict[int, int] | None = None
         while True:
             mark = page.find("<", at)
             if mark < 0:
@@ -181,6 +194,10 @@ class Parser:
                     at = page.find(">", end.start()) + 1
                     if not at:
                         break
+            elif tag in SUBTREES:
+                if not slash:
+                    ends = subtree_ends(page) if ends is None else ends
+                    at = ends.get(mark, at)
             elif tag in SPACES:
                 self.words(" ")
             elif tag in BREAKS:
@@ -191,6 +208,22 @@ class Parser:
         return self.blocks
 
 
+def subtree_ends(page: str) -> dict[int, int]:
+    """Where each element of `SUBTREES` that has an end tag begins, and where it ends; an end tag closes the last open one."""
+    ends: dict[int, int] = {}
+    waiting: dict[str, list[int]] = {}
+    for found in HIDDEN_OR_SUBTREE.finditer(page):
+        slash, tag, attributes = found.group(2, 3, 4)
+        if tag:
+            open_tags = waiting.setdefault(tag.lower(), [])
+            if not slash:
+                if not attributes.endswith("/"):
+                    open_tags.append(found.start())
+            elif open_tags:
+                ends[open_tags.pop()] = found.end()
+    return ends
+
+
 def score(block: Block) -> float:
     """Log-odds of content by the classifier: positive for content."""
     size, linked = len(block.text), min(1.0, block.linked / len(block.text))
