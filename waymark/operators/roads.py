@@ -123,25 +123,55 @@ def snapped(points: DataFrame, segments: DataFrame, *, keys: list[str], most: fl
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, *, keys: list[str], size: float = 0.005) -> DataFrame:
-    """The nearest node of each point in raw degrees, ties to the smaller id.
+    """The nearest node of each point in raw degrees, ties to the smaller id; none for points without a place.
 
-    Rings of buckets are searched outward; a point leaves once its best is nearer than the ring's
-    edge, so sparse areas cost only the points in them. Beyond 64 rings a point has no node.
+    Two rings of buckets are searched outward; a point leaves once its best is nearer than the
+    ring's edge. Points with no node so near go down from the bucket that holds all nodes.
     """
     filed = nodes.select("node_id", F.col("lat").alias("node_lat"), F.col("lng").alias("node_lng"), bucket(F.col("lat"), size).alias("_row"), bucket(F.col("lng"), size).alias("_col"))
-    left, done, ring = points.select(*keys, "lat", "lng"), None, 1
-    while ring <= 64:
+    far = F.hypot(F.col("lat") - F.col("node_lat"), F.col("lng") - F.col("node_lng"))
+    nearest = F.min(F.struct(far.alias("_far"), "node_id")).alias("_best")
+    named = [*keys, F.col("_best.node_id").alias("node_id"), F.col("_best._far").alias("degrees")]
+    left, done = points.select(*keys, "lat", "lng").where((F.abs("lat") < float("inf")) & (F.abs("lng") < float("inf"))), None
+    for ring in (1, 4):
         around = F.sequence(F.lit(-ring), F.lit(ring))
         looking = left.withColumn("_a", F.explode(around)).withColumn("_b", F.explode(around)).withColumns({"_row": bucket(F.col("lat"), size) + F.col("_a"), "_col": bucket(F.col("lng"), size) + F.col("_b")})
-        far = F.hypot(F.col("lat") - F.col("node_lat"), F.col("lng") - F.col("node_lng"))
-        best = looking.join(filed, ["_row", "_col"]).withColumn("_far", far).groupBy(*keys).agg(F.min(F.struct("_far", "node_id")).alias("_best"))
-        sure = cut(best.where(F.col("_best._far") <= ring * size).select(*keys, F.col("_best.node_id").alias("node_id"), F.col("_best._far").alias("degrees")))
+        best = looking.join(filed, ["_row", "_col"]).groupBy(*keys).agg(nearest)
+        sure = cut(best.where(F.col("_best._far") <= ring * size).select(*named))
         done = sure if done is None else done.union(sure)
         left = cut(left.join(sure, keys, "left_anti"))
         if left.isEmpty():
-            break
-        ring *= 4
-    return done
+            return done
+    reached = _nearest_buckets(left, filed, keys)
+    return done if reached is None else done.union(reached.join(filed, ["_row", "_col"]).groupBy(*keys).agg(nearest).select(*named))
+
+
+def _nearest_buckets(points: DataFrame, filed: DataFrame, keys: list[str]) -> DataFrame | None:
+    """Pairs of point and bucket that may hold its nearest node, by halving buckets from the one of all nodes; None without nodes.
+
+    A bucket stays while the box around its nodes begins no farther than the nearest box of the point ends.
+    """
+    fine = cut(filed.groupBy("_row", "_col").agg(F.min("node_lat").alias("low_lat"), F.max("node_lat").alias("high_lat"), F.min("node_lng").alias("low_lng"), F.max("node_lng").alias("high_lng")))
+    ends = fine.agg(F.min("_row"), F.max("_row"), F.min("_col"), F.max("_col")).first()
+    if ends[0] is None:
+        return None
+    top = 0
+    while (ends[1] >> top) - (ends[0] >> top) > 1 or (ends[3] >> top) - (ends[2] >> top) > 1:
+        top += 1
+    near = points.withColumn("_up", F.lit(0))
+    for level in range(top, -1, -1):
+        halved = [F.shiftright(c, level).alias(c) for c in ("_row", "_col")]
+        boxes = fine.groupBy(*halved).agg(F.min("low_lat").alias("low_lat"), F.max("high_lat").alias("high_lat"), F.min("low_lng").alias("low_lng"), F.max("high_lng").alias("high_lng"))
+        if level == top:
+            tried = near.drop("_up").crossJoin(F.broadcast(boxes))  # four at most
+        else:
+            tried = near.join(boxes.withColumns({"_up_row": F.shiftright("_row", 1), "_up_col": F.shiftright("_col", 1)}), ["_up_row", "_up_col"])
+        gap = [F.greatest(F.col(f"low_{c}") - F.col(c), F.col(c) - F.col(f"high_{c}"), F.lit(0.0)) for c in ("lat", "lng")]
+        span = [F.greatest(F.abs(F.col(c) - F.col(f"low_{c}")), F.abs(F.col(c) - F.col(f"high_{c}"))) for c in ("lat", "lng")]
+        bounds = tried.withColumns({"_begins": F.hypot(*gap), "_bar": F.min(F.hypot(*span)).over(W.partitionBy(*keys))})
+        kept = bounds.where(F.col("_begins") <= F.col("_bar") * (1 + 1e-9)).select(*keys, "lat", "lng", "_row", "_col")
+        near = cut(kept if level == 0 else kept.withColumnsRenamed({"_row": "_up_row", "_col": "_up_col"}))
+    return near
 
 
 def uncovered_spans(points: DataFrame, cells: DataFrame, key: str) -> DataFrame:
