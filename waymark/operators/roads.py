@@ -91,11 +91,12 @@ def with_buckets(segments: DataFrame, size: float, margin_lat: float = 0.0, marg
     return rows.withColumn("_col", F.explode(F.sequence(bucket(low_lng, size), bucket(high_lng, size))))
 
 
-def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str], radius: float = 50.0, k: int = 5, size: float = 0.005, most_latitude: float = 70.0) -> DataFrame:
+def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str], radius: float = 50.0, k: int = 5, size: float = 0.005, most_latitude: float = 70.0, penalty: Column | None = None) -> DataFrame:
     """The `k` nearest segments within `radius` metres of each point; of those equally near to a micrometre the smaller edge_id first.
 
     Segments are filed under all buckets within the radius, so a point looks into its own bucket
-    only. The margin holds up to `most_latitude` degrees. Long lists of one bucket are split by the
+    only. The margin holds up to `most_latitude` degrees. With a `penalty` (of columns of both
+    sides), it is added to the distance before ranking, and pairs where it is null do not count. Long lists of one bucket are split by the
     skew handling of the join.
     """
     margin = radius / METRES_A_DEGREE
@@ -104,22 +105,30 @@ def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str],
     near = placed.join(filed, ["_row", "_col"])
     share, distance, length = G.project_metres(*(F.col(c) for c in ("lat", "lng", "lat1", "lng1", "lat2", "lng2")))
     exact = near.withColumns({"share": share, "distance_m": distance, "length_m": length}).where(F.col("distance_m") <= radius)
-    ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.round("distance_m", 6), "edge_id"))).where(F.col("rank") <= k)
-    return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col")
+    cost = F.col("distance_m")
+    if penalty is not None:
+        exact, cost = exact.withColumn("_penalty", penalty).where("_penalty IS NOT NULL"), cost + F.col("_penalty")
+    ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.round(cost, 6), "edge_id"))).where(F.col("rank") <= k)
+    return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_penalty")
 
 
-def snapped(points: DataFrame, segments: DataFrame, *, keys: list[str], most: float = 20.0, size: float = G.BUCKET_DEGREES, heading: str | None = None, gate: float = 60.0) -> DataFrame:
-    """Each point with its nearest segment within `most` metres, null without.
+def snapped(points: DataFrame, segments: DataFrame, *, keys: list[str], most: float = 20.0, size: float = G.BUCKET_DEGREES, heading: str | None = None, speed: str | None = None, gate: float = 45.0) -> DataFrame:
+    """Each point with its nearest segment within `most` metres, null without, and a confidence, 0 without.
 
-    With a `heading` column, segments whose direction differs by more than `gate` degrees (either
-    way along) do not count.
+    With a `heading` column (degrees), points faster than 1 m/s (`speed`; without that column all)
+    take only segments that differ by at most `gate` degrees, either way along unless `oneway`, and
+    ten times the difference in radians counts as metres. A null heading or speed asks for nothing.
     """
-    found = edge_candidates(points, segments, keys=keys, radius=most, k=1 if heading is None else 64, size=size)
+    penalty = None
     if heading:
-        way = G.bearing_degrees(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
-        turn = F.pmod(way - F.col(heading), F.lit(180.0))
-        found = found.where(F.least(turn, 180 - turn) <= gate).withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy("distance_m", "edge_id"))).where("_r = 1")
-    return points.join(found.select(*keys, "edge_id", "distance_m", "proj_lat", "proj_lng"), keys, "left")
+        forth = F.abs(F.pmod(F.degrees(G.bearing_radians(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))) - F.col(heading) + 180, F.lit(360.0)) - 180)
+        either = F.least(forth, 180 - forth)
+        turn = F.when(F.col("oneway"), forth).otherwise(either) if "oneway" in segments.columns else either
+        moving = F.col(heading).isNotNull() & (F.col(speed) > 1.0 if speed else F.lit(True))
+        penalty = F.when(F.coalesce(moving, F.lit(False)), F.when(turn <= gate, F.radians(turn) * 10)).otherwise(F.lit(0.0))
+    found = edge_candidates(points, segments, keys=keys, radius=most, k=1, size=size, penalty=penalty)
+    joined = points.join(found.select(*keys, "edge_id", "distance_m", "proj_lat", "proj_lng"), keys, "left")
+    return joined.withColumn("confidence", F.coalesce(F.greatest(F.lit(0.0), 1 - F.col("distance_m") / most), F.lit(0.0)))
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, *, keys: list[str], size: float = 0.005) -> DataFrame:

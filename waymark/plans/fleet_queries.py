@@ -192,6 +192,14 @@ def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.snapped(points, road_segments(spark), keys=["session_id", "seq"]).select("session_id", "seq", "edge_id", "distance_m"), 4)
 
 
+@query()
+def live_snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng", (F.col("k") * 3.6).alias("heading"), (F.col("speed_kmh") / 3.6).alias("speed"))
+    streets = road_segments(spark).withColumn("oneway", F.col("road_type") == "primary")
+    found = R.snapped(points, streets, keys=["session_id", "seq"], heading="heading", speed="speed")
+    return rounded(found.select("session_id", "seq", "edge_id", "distance_m", "confidence"), 4)
+
+
 @query(f"""WITH {TELEMETRY}, {ROADS}, d AS (SELECT session_id, seq, node_id, sqrt(pow(tel.lat - nodes.lat, 2) + pow(tel.lng - nodes.lng, 2)) AS degrees FROM tel, nodes WHERE abs(tel.lat - nodes.lat) < 0.002 AND abs(tel.lng - nodes.lng) < 0.002) SELECT session_id, seq, round(min(degrees), 8) AS degrees FROM d GROUP BY session_id, seq""")
 def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.nearest_nodes(telemetry(spark, sf_dir), road_nodes(spark), keys=["session_id", "seq"]).select("session_id", "seq", "degrees"), 8)
