@@ -87,15 +87,18 @@ def test_repeats_like_brute_force(spark, monkeypatch, together):
     assert [got[i] for i in range(len(texts))] == brute(texts, 35)
 
 
-def test_near_duplicates_like_brute_force(spark):
+@pytest.mark.parametrize(("small", "heavy", "copies"), [(32, 100_000, 8), (2, 100_000, 24), (2, 20, 24)])
+def test_near_duplicates_like_brute_force(spark, monkeypatch, small, heavy, copies):
+    monkeypatch.setattr(near_dedup, "SMALL", small)
+    monkeypatch.setattr(near_dedup, "HEAVY", heavy)
     rng = random.Random(5)
     texts = []
-    for _ in range(12):
+    for _ in range(72 // copies):
         base = [rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 for _ in range(80)]
-        for _ in range(8):
+        for _ in range(copies):
             words = list(base)
             for _ in range(rng.randint(0, 4)):
-                words[rng.randrange(80)] = "changed%d" % rng.randrange(10**6)
+                words[rng.randrange(80)] = "changed%d" % rng.randrange(3 if rng.random() < 0.5 else 10**6)
             texts.append(" ".join(words))
     sets = [{tuple(w[i : i + 3]) for i in range(len(w) - 2)} for w in (t.split() for t in texts)]
     of = list(range(len(texts)))
