@@ -65,6 +65,14 @@ def discard(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have."""
+    taken, found = {c.lower() for c in df.columns}, f"_{name}"
+    while found.lower() in taken:
+        found += "_"
+    return found
+
+
 def words_of(text: str | None) -> list[bytes]:
     """What white space (0x20, 0x09-0x0D) separates; none for null."""
     return (text or "").encode().split()

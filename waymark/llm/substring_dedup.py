@@ -7,11 +7,16 @@ on content alone, so all tasks agree on them without exchanging a dictionary, an
 same words get the same symbols but for a few at their ends. For every symbol it is known which
 words decide it (its reach).
 
-A window (a fixed number of consecutive words) is filed under one symbol whose reach lies inside it:
-of those of the highest round, the one with the least name. Equal windows are therefore filed under
-equal symbols, at the same distance. Spark counts the symbols that windows are filed under; only
-where a symbol occurs again are the fingerprints of its windows made and compared, which verifies
-the repeat on every word.
+High symbols reveal long repeats: a symbol of a late round stands for many words, so where one occurs
+again, all windows (a fixed number of consecutive words) inside it are settled at once, and so are
+those inside a long run of a symbol of any round, which repeats itself. The least occurrence stays in
+the search for the windows' other places; the rest need not be looked at again.
+
+For the ends of repeats and for short ones, a window is filed under one symbol whose reach lies
+inside it: of those of the highest early round, the one with the least name. Equal windows are
+therefore filed under equal symbols, at the same distance. Spark counts the symbols that windows are
+filed under; only where a symbol occurs again are the fingerprints of its windows made and compared,
+which verifies the repeat on every word.
 """
 
 from __future__ import annotations
@@ -24,9 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import discard, hash_words, mix, text_key, words_of, written
+from waymark.llm.common import discard, hash_words, mix, text_key, unused, words_of, written
 
-ROUNDS = 5
+#: Rounds after which windows are filed, and rounds whose symbols are looked for as a whole; a round makes about 4/3 words of one.
+ROUNDS, HIGH_ROUNDS = 5, (14, 18, 22, 26)
 #: Occurrences of a symbol whose windows one task compares; windows of more frequent symbols are counted by fingerprint.
 TOGETHER = 2000
 #: An odd multiplier for window fingerprints, and its inverse modulo 2^64.
@@ -65,14 +71,18 @@ class Symbols:
         self.name, self.text, self.at = names, self.text[starts], self.at[starts]
         self.low, self.high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
 
-    def runs(self) -> None:
+    def runs(self, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Each maximal run of one symbol becomes a symbol; what stands beside it decides where it ends.
 
         A neighbour whose nearest word is not the one a repetition would have is another symbol, so
         that word decides; only where it is the same does the neighbour's whole reach count.
+
+        A run repeats itself: it is the same with its first unit left out and with its last one left
+        out. Returns (name, first window, windows) of both for runs in which that is a window or more.
         """
+        none = np.empty(0, np.int64)
         if not len(self.name):
-            return
+            return none.view(np.uint64), none, none
         new = np.concatenate(([True], (self.name[1:] != self.name[:-1]) | (self.text[1:] != self.text[:-1])))
         starts = np.flatnonzero(new)
         sizes = np.diff(np.append(starts, len(self.name)))
@@ -84,7 +94,14 @@ class Symbols:
         right = np.where((after != self.words[self.at]) & same[1:], end + 1, right)
         names = self.name[starts]
         names = np.where(sizes > 1, mix(names ^ mix(sizes.astype(np.uint64))), names)
+        words = np.diff(np.append(self.at[starts], len(self.words)))
+        unit = words // sizes
+        n = words - unit - window + 1
+        long = np.flatnonzero((sizes > 1) & (n > 0))
+        both = np.tile(long, 2)
+        found = mix(names[both] + np.uint64(2)), np.concatenate((self.at[starts][long], self.at[starts][long] + unit[long])), n[both]
         self._keep(starts, names, np.minimum(self.low, left), np.maximum(self.high, right))
+        return found
 
     def pairs(self, number: int) -> None:
         """Left and right symbols that stand together become one; halves are drawn anew each round."""
@@ -105,18 +122,32 @@ class Symbols:
         self._keep(starts, names, low, high)
 
 
-def filed_windows(hashes: np.ndarray, text: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(symbol, first window, windows) of each stretch of windows filed under one symbol; by positions in `hashes`.
+def high_symbols(symbols: Symbols, window: int, done: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(name, first window, windows) of each symbol of a late round that stands for a window or more, once; `done` rounds are made."""
+    found, known = [], np.zeros(len(symbols.words), dtype=np.uint64)
+    for number in range(done, HIGH_ROUNDS[-1]):
+        found.append(symbols.runs(window))
+        symbols.pairs(number)
+        if number + 1 in HIGH_ROUNDS:
+            n = np.diff(np.append(symbols.at, len(symbols.words))) - window + 1
+            long = np.flatnonzero((n > 0) & (known[symbols.at] != symbols.name))
+            known[symbols.at[long]] = symbols.name[long]
+            found.append((mix(symbols.name[long] + np.uint64(1)), symbols.at[long], n[long]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
+def filed_windows(hashes: np.ndarray, text: np.ndarray, window: int, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """(symbol, first window, windows) of each stretch of windows filed under one symbol, by positions in `hashes`, then of each run and high symbol; and the number of the former.
 
     A window without a symbol inside its reach (a long run of a word, say) is filed under a name of
     the set of its words.
     """
     starts = np.flatnonzero(text[: len(text) - window + 1] == text[window - 1 :]) if len(text) >= window else np.empty(0, np.int64)
     if not len(starts):
-        return np.empty(0, np.uint64), starts, starts
-    symbols, layers = Symbols(hashes, text), []
+        return np.empty(0, np.uint64), starts, starts, 0
+    symbols, layers, selves = Symbols(hashes, text), [], []
     for number in range(rounds):
-        symbols.runs()
+        selves.append(symbols.runs(window))
         symbols.pairs(number)
         inside = symbols.high - symbols.low <= window
         layers.append((symbols.name[inside], symbols.at[inside], symbols.low[inside], symbols.high[inside]))
@@ -135,8 +166,8 @@ def filed_windows(hashes: np.ndarray, text: np.ndarray, window: int, rounds: int
         name[alone] = mix(sums[starts[alone] + window] - sums[starts[alone]])
     new = np.concatenate(([True], (at[1:] != at[:-1]) | (starts[1:] != starts[:-1] + 1) | (name[1:] != name[:-1])))
     first = np.flatnonzero(new)
-    # the distance of the symbol belongs to the name: equal windows have it in common
-    return name[first], starts[first], np.diff(np.append(first, len(starts)))
+    filed = name[first], starts[first], np.diff(np.append(first, len(starts)))
+    return *(np.concatenate(x) for x in zip(filed, *selves, high_symbols(symbols, window, rounds), strict=True)), len(first)
 
 
 def _least(name: np.ndarray, at: np.ndarray, first: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
@@ -185,7 +216,10 @@ def _chunks(batch: pa.RecordBatch, column: int, most: int = 1 << 22) -> Iterator
 
 
 def filings(texts: DataFrame, window: int, rounds: int) -> DataFrame:
-    """symbol, key, first (window) and n (windows) over a table of key and text."""
+    """symbol, check, key, first (window), n (windows) and whole over a table of key and text.
+
+    whole: the symbol stands for all words of the windows, of which `check` is a second hash; else 0.
+    """
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,15 +228,36 @@ def filings(texts: DataFrame, window: int, rounds: int) -> DataFrame:
                 begin = np.cumsum(sizes) - sizes
                 text = np.repeat(np.arange(len(words)), sizes)
                 hashes = hash_words([w for ws in words for w in ws])
-                symbol, first, n = filed_windows(hashes, text, window, rounds)
+                symbol, first, n, low = filed_windows(hashes, text, window, rounds)
                 owner = text[first] if len(first) else first
-                yield pa.RecordBatch.from_arrays([pa.array(symbol.view(np.int64)), batch.column(0).take(pa.array(owner + row)), pa.array((first - begin[owner]).astype(np.int32) if len(first) else first.astype(np.int32)), pa.array(n.astype(np.int32))], names=["symbol", "key", "first", "n"])
+                sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers(BASE, len(hashes)), dtype=np.uint64)))
+                whole = np.arange(len(first)) >= low
+                check = np.where(whole, (sums[first + n + window - 1] - sums[first]) * powers(INVERSE, len(hashes) + 1)[first], np.uint64(0)) if len(first) else symbol
+                columns = [symbol.view(np.int64), check.view(np.int64), None, (first - begin[owner]).astype(np.int32) if len(first) else first.astype(np.int32), n.astype(np.int32), whole]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + row)) if c is None else pa.array(c) for c in columns], names=["symbol", "check", "key", "first", "n", "whole"])
 
-    return texts.mapInArrow(file, "symbol long, key binary, first int, n int")
+    return texts.mapInArrow(file, "symbol long, check long, key binary, first int, n int, whole boolean")
+
+
+def _apart(first: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(stretch, first, n) of the parts of stretches whose windows `keep` holds."""
+    ends = np.cumsum(n)
+    row = np.repeat(np.arange(len(n)), n)
+    at = np.repeat(first - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    stays = np.flatnonzero(keep[at])
+    if not len(stays):
+        return stays, stays, stays
+    row, at = row[stays], at[stays]
+    begin = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (np.diff(at) != 1))))
+    return row[begin], at[begin], np.diff(np.append(begin, len(row)))
 
 
 def printed(candidates: DataFrame, window: int) -> DataFrame:
-    """symbol, times, key, first, prints (8 bytes a window) over a table of key, text and stretches of windows."""
+    """symbol, times, key, first, n and prints (8 bytes a window) over a table of key, text and stretches of windows.
+
+    Windows settled by whole symbols come first, with times 0 and no prints; they are left out of the
+    others but where the symbol's occurrence is its least.
+    """
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -211,16 +266,27 @@ def printed(candidates: DataFrame, window: int) -> DataFrame:
                 begin = np.cumsum([0, *map(len, prints)])
                 stretches = part.column(2)
                 owner = np.repeat(np.arange(len(prints)), stretches.value_lengths().to_numpy())
-                symbol, times, first, n = (stretches.flatten().field(name) for name in ("symbol", "times", "first", "n"))
-                sizes = n.to_numpy().astype(np.int64)
-                ends = np.cumsum(sizes)
-                at = np.repeat(begin[owner] + first.to_numpy() - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-                blob = np.concatenate([np.empty(0, np.uint64), *prints])[at]
-                offsets = (8 * np.concatenate(([0], ends))).astype(np.int32)
-                packed = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
-                yield pa.RecordBatch.from_arrays([symbol, times, part.column(0).take(pa.array(owner)), first, packed], names=["symbol", "times", "key", "first", "prints"])
-
-    return candidates.mapInArrow(make, "symbol long, times long, key binary, first int, prints binary")
+                symbol, times, first, n, whole, least = (stretches.flatten().field(name).to_numpy(zero_copy_only=False) for name in ("symbol", "times", "first", "n", "whole", "least"))
+                at, n = first + begin[owner], n.astype(np.int64)
+                settled, live = np.zeros(begin[-1], dtype=bool), np.ones(begin[-1], dtype=bool)
+                for a, k, is_least in zip(at[whole].tolist(), n[whole].tolist(), least[whole].tolist(), strict=True):
+                    settled[a : a + k] = True
+                    if not is_least:
+                        live[a : a + k] = False
+                text, at_settled, n_settled = _apart(begin[:-1], np.diff(begin), settled)
+                low = np.flatnonzero(~whole)
+                row, at_live, n_live = _apart(at[low], n[low], live)
+                row = low[row]
+                places = np.repeat(at_live - (np.cumsum(n_live) - n_live), n_live) + np.arange(n_live.sum())
+                blob = np.concatenate([np.empty(0, np.uint64), *prints])[places]
+                offsets = (8 * np.concatenate((np.zeros(len(text) + 1, np.int64), np.cumsum(n_live)))).astype(np.int32)
+                of = np.concatenate((text, owner[row]))
+                at, n = np.concatenate((at_settled, at_live)), np.concatenate((n_settled, n_live))
+                zero = np.zeros(len(text), np.int64)
+                packed = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets), pa.py_buffer(blob)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((zero, symbol[row]))), pa.array(np.concatenate((zero, times[row]))), part.column(0).take(pa.array(of)), pa.array((at - begin[of]).astype(np.int32)), pa.array(n.astype(np.int32)), packed], names=["symbol", "times", "key", "first", "n", "prints"])
+
+    return candidates.mapInArrow(make, "symbol long, times long, key binary, first int, n int, prints binary")
 
 
 def repeated_in_task(rows: DataFrame) -> DataFrame:
@@ -280,16 +346,24 @@ def repeated_by_count(rows: DataFrame) -> DataFrame:
 
 
 def repeated_windows(texts: DataFrame, window: int, rounds: int = ROUNDS) -> DataFrame:
-    """key and an array of stretches (first, n) of windows that occur more than once among distinct texts."""
+    """key and an array of stretches (first, n) of windows that occur more than once among distinct texts.
+
+    An occurrence's spot orders it: a hash of its text, then its place. A window left out has an
+    equal one at a smaller spot (that of the least occurrence of the symbol around it), so of all
+    equal windows some stay in the search.
+    """
     filed = written(filings(texts, window, rounds))
-    again = filed.groupBy("symbol").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
-    kept = written(filed.join(again, "symbol").groupBy("key").agg(F.collect_list(F.struct("symbol", "times", "first", "n")).alias("stretches")))
+    spot = F.shiftleft(F.shiftrightunsigned(F.xxhash64("key"), 33), 31).bitwiseOR(F.col("first").cast("long"))
+    again = written(filed.groupBy("symbol", "check").agg(F.count(F.lit(1)).alias("times"), F.min(F.when(F.col("whole"), spot)).alias("least")).where("times > 1"))
+    stretch = F.struct("symbol", "times", "first", "n", "whole", (F.col("whole") & (spot == F.col("least"))).alias("least"))
+    kept = written(filed.join(again, ["symbol", "check"]).groupBy("key").agg(F.collect_list(stretch).alias("stretches")))
     discard(filed)
+    discard(again)
     rows = written(printed(texts.join(kept, "key").select("key", "text", "stretches"), window))
     discard(kept)
-    few = repeated_in_task(rows.where(F.col("times") <= TOGETHER).repartition("symbol"))
-    many = repeated_by_count(rows.where(F.col("times") > TOGETHER))
-    each = few.select("key", F.array(F.struct("first", "n")).alias("stretches")).union(many)
+    few = repeated_in_task(rows.where((F.col("times") > 0) & (F.col("times") <= TOGETHER)).drop("n").repartition("symbol"))
+    many = repeated_by_count(rows.where(F.col("times") > TOGETHER).drop("n"))
+    each = rows.where("times = 0").select("key", "first", "n").union(few).select("key", F.array(F.struct("first", "n")).alias("stretches")).union(many)
     found = written(each.groupBy("key").agg(F.flatten(F.collect_list("stretches")).alias("stretches")))
     discard(rows)
     return found
@@ -359,11 +433,12 @@ def remove_repeats(docs: DataFrame, *, window: int = 35, rounds: int = ROUNDS, t
                 words = words_of(text.as_py())
                 gone = _gone(words, copies, stretches.as_py(), window)
                 new.append(b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g).decode())
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(new, pa.string())], names=["_key", "_text"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(new, pa.string())], names=[key, changed_text])
 
     plan = removal_plan(docs, text_col, window, rounds)
-    changed = plan.where(F.col("stretches").isNotNull() | (F.col("copies") > 1)).mapInArrow(rewrite, "_key binary, _text string")
-    joined = docs.withColumn("_key", text_key(F.col(text_col))).join(changed, "_key", "left")
-    text = F.coalesce("_text", F.col(text_col))
+    key, changed_text = unused(docs, "key"), unused(docs, "text")
+    changed = plan.where(F.col("stretches").isNotNull() | (F.col("copies") > 1)).mapInArrow(rewrite, f"`{key}` binary, `{changed_text}` string")
+    joined = docs.select("*", text_key(F.col(text_col)).alias(key)).join(changed, key, "left")
+    text = F.coalesce(changed_text, text_col)
     columns = [text.alias(c) if c == text_col else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == count_col else F.col(c) for c in docs.columns]
     return joined.select(*columns)
