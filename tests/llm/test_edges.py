@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import near_dedup, sharding, substring_dedup
+from waymark.llm import language_id, near_dedup, sharding, substring_dedup
 from waymark.llm.decontamination import contamination, drop_contaminated, remove_spans
 from waymark.llm.html_extract import extract, main_text, max_flow_labels, minimum_cut
 from waymark.llm.language_id import drop_unidentified, identify
@@ -69,20 +69,20 @@ def brute(texts, window):
     return [len(g) for g in gone]
 
 
-@pytest.mark.parametrize("together", [1, 2000])
-def test_repeats_like_brute_force(spark, monkeypatch, together):
+@pytest.mark.parametrize(("together", "length"), [(1, 60), (2000, 60), (1, 700), (2000, 700)])
+def test_repeats_like_brute_force(spark, monkeypatch, together, length):
     monkeypatch.setattr(substring_dedup, "TOGETHER", together)
     rng = random.Random(together)
-    passage = [rng.choice("abcdefgh") for _ in range(60)]
+    passage = [rng.choice("abcdefgh") for _ in range(length)]
     texts = []
     for _ in range(40):
         words = [rng.choice("abcdefgh") for _ in range(rng.randint(0, 120))]
         if rng.random() < 0.5:
-            at, size = rng.randint(0, len(words)), rng.randint(20, 60)
-            start = rng.randint(0, 60 - size)
+            at, size = rng.randint(0, len(words)), rng.randint(20, length)
+            start = rng.randint(0, length - size)
             words[at:at] = passage[start : start + size]
         texts.append(" ".join(words))
-    texts += ["x " * 100, "x " * 40, texts[0], "ab " * 35]
+    texts += ["x " * 100, "x " * 40, texts[0], "ab " * 35, "q " + "a b " * 90 + "r", "a b " * 70 + "s", "t " + "b a " * 18, "one two three four five " * 30 + "end", "x one two three four five " * 9]
     got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.dedup_digest(docs(spark, list(enumerate(texts)))).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 35)
 
@@ -209,3 +209,49 @@ def test_exact_scores_like_whole_numbers():
     got = exact_scores(30, 30, terms(a), terms(b), fits)
     assert fits.any() and not fits.all()
     assert all(got[i, j] == true[i][j] for i, j in zip(*np.nonzero(fits), strict=True))
+
+
+def test_values_of_clashing_columns_stay(spark):
+    rng = random.Random(8)
+    passage = " ".join("%06x" % rng.getrandbits(24) for _ in range(50))
+    texts = [f"{' '.join('%06x' % rng.getrandbits(24) for _ in range(60))} {passage}" for _ in range(3)]
+    names = ["_key", "_text", "_letters", "_lang", "_score", "_text_key", "_winner", "_TEXT_", "node", "label"]
+    rows = spark.createDataFrame([(i, t, "en", *(f"{n}{i}" for n in names)) for i, t in enumerate(texts)], ", ".join(["doc_id long, text string, lang string", *(f"{n} string" for n in names)]))
+    expected = {i: [f"{n}{i}" for n in names] for i in range(3)}
+    for apply in (substring_dedup.remove_repeats, near_dedup.drop_near_duplicates, drop_unidentified):
+        got = apply(rows)
+        assert got.columns == rows.columns
+        assert {r["doc_id"]: [r[n] for n in names] for r in got.collect()} == expected
+
+
+def test_unsure_languages_leave(spark):
+    rng = random.Random(3)
+    words = {"en": ["the", "that", "with", "which"], "fr": ["où", "être", "façade", "mélange"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for i, lang in enumerate(["en", "fr"] * 40)]
+    rows += [(1000 + i, text, None) for i, text in enumerate(["0x0 9", "qzj", "the which that", None])]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    scores = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in identify(table).collect()}
+    for least, languages in ((0.5, None), (0.9, None), (0.5, ["en"])):
+        kept = {r["doc_id"] for r in drop_unidentified(table, least=least, languages=languages).collect()}
+        assert kept == {i for i, (lang, score) in scores.items() if lang != "und" and score > least and (languages is None or lang in languages)}
+    bar = sorted(s for _, s in scores.values() if s > 0)[1]
+    assert {i for i, (_, s) in scores.items() if s > bar} == {r["doc_id"] for r in drop_unidentified(table, least=bar).collect()}
+
+
+def test_network_like_plain_convolution():
+    net = language_id.train(["the that which", "où être façade"], ["en", "fr"], steps=3)
+    text = "The façade, " * 40
+    raw = text.encode()
+    total, weight = np.zeros(2), 0
+    for at in range(0, len(raw), 256):
+        part = np.frombuffer(raw[at : at + 256].ljust(256, b"\0"), dtype=np.uint8)
+        vectors = net.embed[part]
+        pooled = [np.max([vectors[i : i + w].ravel() @ f + b for i in range(257 - w)], axis=0) for w, f, b in zip(language_id.WIDTHS, net.filters, net.biases, strict=True)]
+        line = np.maximum(np.concatenate(pooled), 0) @ net.out + net.out_bias
+        size = min(256, len(raw) - at)
+        total += size * (line - np.log(np.exp(line).sum()))
+        weight += size
+    plain = np.exp(total / weight)
+    (lang,), (score,) = language_id.Scorer(net).texts([text])
+    assert score == pytest.approx((plain / plain.sum()).max(), abs=1e-4)
+    assert lang == net.languages[int(plain.argmax())]

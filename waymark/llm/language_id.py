@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.llm.common import unused
+
 WINDOW, WIDTHS, FILTERS, EMBEDDING = 256, (2, 3, 4), 16, 8
 #: Bound of the training sample: rows of each language, and characters taken of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 300, 1500
@@ -174,14 +176,19 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", labe
     return train([t for t, _ in sample], [l for _, l in sample]) if sample else None
 
 
-def with_language(docs: DataFrame, net: ByteNet | None, *, text_col: str = "text") -> DataFrame:
-    """`docs` with _lang and _score: `und` and 0 for a text that is null or has no letter, or without a network."""
+def with_language(docs: DataFrame, net: ByteNet | None, *, text_col: str = "text", lang_col: str = "_lang", score_col: str = "_score") -> DataFrame:
+    """`docs` with a predicted language and its probability: `und` and 0 for a text that is null or has no letter, or without a network.
+
+    `docs` must not have columns of the two names (`unused` finds such names); an error otherwise.
+    """
+    if taken := {c.lower() for c in docs.columns} & {lang_col.lower(), score_col.lower()}:
+        raise ValueError(f"columns exist already: {sorted(taken)}")
     if net is None:
-        return docs.withColumns({"_lang": F.lit("und"), "_score": F.lit(0.0)})
+        return docs.withColumns({lang_col: F.lit("und"), score_col: F.lit(0.0)})
     shipped = docs.sparkSession.sparkContext.broadcast(net)
-    flagged = docs.withColumn("_letters", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
+    flagged = docs.select("*", F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias(unused(docs, "letters")))
     at = docs.columns.index(text_col)
-    schema = docs.limit(0).withColumns({"_lang": F.lit("und"), "_score": F.lit(0.0)}).schema
+    schema = docs.limit(0).withColumns({lang_col: F.lit("und"), score_col: F.lit(0.0)}).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shipped.value)
@@ -203,7 +210,15 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return with_language(narrow, net).select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
-def drop_unidentified(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """The rows of `docs` whose text has a language; those predicted `und` go."""
+def drop_unidentified(docs: DataFrame, *, least: float = 0.5, languages: list[str] | None = None, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """The rows of `docs`, all their columns, whose predicted language is likelier than `least`.
+
+    With the default, a row goes if no language is likelier than all others together; so do rows
+    without text or letters (`und`), and rows predicted to be in none of `languages`, if given.
+    """
     net = fit(docs, id_col=id_col, text_col=text_col, label_col=label_col)
-    return with_language(docs, net, text_col=text_col).where(F.col("_lang") != "und").select(*docs.columns)
+    lang, score = unused(docs, "lang"), unused(docs, "score")
+    keep = (F.col(lang) != "und") & (F.col(score) > least)
+    if languages is not None:
+        keep &= F.col(lang).isin(languages)
+    return with_language(docs, net, text_col=text_col, lang_col=lang, score_col=score).where(keep).select(*docs.columns)
