@@ -55,10 +55,12 @@ def cached_cells(cells: DataFrame, age_ms: Column, online: Column, ttl_ms: int =
 
 
 def split_valid(rows: DataFrame, required: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows with all required values, quarantined rows)."""
+    """(rows with all required values, quarantined rows); an empty text is no value."""
     whole = F.lit(True)
     for c in required:
         whole = whole & F.col(c).isNotNull()
+        if rows.schema[c].dataType.typeName() == "string":
+            whole = whole & (F.coalesce(F.col(c), F.lit("")) != "")
     return rows.where(whole), rows.where(~whole)
 
 

@@ -91,7 +91,7 @@ def with_buckets(segments: DataFrame, size: float, margin_lat: float = 0.0, marg
     return rows.withColumn("_col", F.explode(F.sequence(bucket(low_lng, size), bucket(high_lng, size))))
 
 
-def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str], radius: float = 50.0, k: int = 5, size: float = 0.005, most_latitude: float = 70.0, penalty: Column | None = None) -> DataFrame:
+def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str], radius: float = 50.0, k: int = 5, size: float = 0.001, most_latitude: float = 70.0, penalty: Column | None = None) -> DataFrame:
     """The `k` nearest segments within `radius` metres of each point; of those equally near to a micrometre the smaller edge_id first.
 
     Segments are filed under all buckets within the radius, so a point looks into its own bucket
@@ -101,18 +101,28 @@ def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str],
     """
     margin = radius / METRES_A_DEGREE
     filed = with_buckets(segments, size, margin, margin / cos(radians(most_latitude)))
-    placed = points.withColumns({"_row": bucket(F.col("lat"), size), "_col": bucket(F.col("lng"), size)})
+    # the only trigonometry of a pair, once a point: metres of a degree of longitude
+    placed = points.withColumns({"_row": bucket(F.col("lat"), size), "_col": bucket(F.col("lng"), size), "_east": METRES_A_DEGREE * F.cos(F.radians("lat"))})
     near = placed.join(filed, ["_row", "_col"])
-    share, distance, length = G.project_metres(*(F.col(c) for c in ("lat", "lng", "lat1", "lng1", "lat2", "lng2")))
+    share, distance, length = _on_plane()
     exact = near.withColumns({"share": share, "distance_m": distance, "length_m": length}).where(F.col("distance_m") <= radius)
     cost = F.col("distance_m")
     if penalty is not None:
         exact, cost = exact.withColumn("_penalty", penalty).where("_penalty IS NOT NULL"), cost + F.col("_penalty")
     ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.round(cost, 6), "edge_id"))).where(F.col("rank") <= k)
-    return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_penalty")
+    return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_east", "_penalty")
 
 
-def snapped(points: DataFrame, segments: DataFrame, *, keys: list[str], most: float = 20.0, size: float = G.BUCKET_DEGREES, heading: str | None = None, speed: str | None = None, gate: float = 45.0) -> DataFrame:
+def _on_plane() -> tuple[Column, Column, Column]:
+    """(share, distance, length) of a pair in metres, on the plane that touches at the point."""
+    (ax, ay), (bx, by) = (((F.col(f"lng{i}") - F.col("lng")) * F.col("_east"), (F.col(f"lat{i}") - F.col("lat")) * METRES_A_DEGREE) for i in (1, 2))
+    zero = F.lit(0.0)
+    share = G.along_segment(zero, zero, ax, ay, bx, by, 1e-12)
+    x, y = ax + share * (bx - ax), ay + share * (by - ay)
+    return share, F.sqrt(x * x + y * y), F.sqrt((bx - ax) * (bx - ax) + (by - ay) * (by - ay))
+
+
+def snapped(points: DataFrame, segments: DataFrame, *, keys: list[str], most: float = 20.0, size: float = 0.001, heading: str | None = None, speed: str | None = None, gate: float = 45.0) -> DataFrame:
     """Each point with its nearest segment within `most` metres, null without, and a confidence, 0 without.
 
     With a `heading` column (degrees), points faster than 1 m/s (`speed`; without that column all)
@@ -193,15 +203,20 @@ def route_remaining(points: DataFrame, route: DataFrame, keys: list[str]) -> Dat
     """Metres to the end of a route, and off it, for each point.
 
     `route` has (route_id, seq, lat, lng); a point has a route_id and is projected, in raw degrees,
-    on the segments of its own route; of equally near ones the first counts. A route is bounded by
-    what one trip has, so the equi-join on it is too.
+    on the segments of its own route; the one nearest in metres counts, the first of equally near
+    ones. A position that is null, no number or within 1e-4 degrees of (0, 0) has the whole route
+    ahead, and is 0 m off it. A route is bounded by what one trip has, so the equi-join on it is too.
     """
     order = W.partitionBy("route_id").orderBy("seq")
     ahead = route.withColumns({"lat2": F.lead("lat").over(order), "lng2": F.lead("lng").over(order)}).where("lat2 IS NOT NULL").withColumnsRenamed({"lat": "lat1", "lng": "lng1"})
     sized = ahead.withColumn("_len", G.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")))
     legs = sized.withColumn("_after", F.sum("_len").over(W.partitionBy("route_id").orderBy(F.desc("seq"))) - F.col("_len")).select("route_id", F.col("seq").alias("leg"), "lat1", "lng1", "lat2", "lng2", "_after")
     _, lat, lng = G.project(*(F.col(c) for c in ("lat", "lng", "lat1", "lng1", "lat2", "lng2")), scaled=False)
-    tried = points.join(legs, "route_id").withColumns({"_lat": lat, "_lng": lng}).withColumn("_off", F.pow(F.col("lat") - F.col("_lat"), 2) + F.pow(F.col("lng") - F.col("_lng"), 2))
+    known = ~(F.col("lat").isNull() | F.col("lng").isNull() | F.isnan("lat") | F.isnan("lng") | ((F.abs("lat") < 1e-4) & (F.abs("lng") < 1e-4)))
+    # an unknown position stands at the route's start
+    start = legs.groupBy("route_id").agg(F.min_by(F.struct("lat1", "lng1"), "leg").alias("_start"))
+    placed = points.join(start, "route_id").withColumn("_known", known).withColumns({c: F.when(F.col("_known"), F.col(c)).otherwise(F.col(f"_start.{c}1")) for c in ("lat", "lng")})
+    tried = placed.join(legs, "route_id").withColumns({"_lat": lat, "_lng": lng}).withColumn("_off", F.round(G.haversine(F.col("lat"), F.col("lng"), F.col("_lat"), F.col("_lng")), 6))
     best = tried.groupBy(*keys).agg(F.min_by(F.struct("lat", "lng", "_lat", "_lng", "lat2", "lng2", "_after", "leg"), F.struct("_off", "leg")).alias("b"))
     rest = G.haversine(F.col("b._lat"), F.col("b._lng"), F.col("b.lat2"), F.col("b.lng2")) + F.col("b._after")
     off = G.haversine(F.col("b.lat"), F.col("b.lng"), F.col("b._lat"), F.col("b._lng"))

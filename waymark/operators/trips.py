@@ -92,9 +92,9 @@ def interpolated(samples: DataFrame, truth: DataFrame, at: str, columns: list[st
     """
     known = truth.groupBy(KEY, at).agg(*(F.min(c).alias(c) for c in columns))
     both = samples.select("*", *(F.lit(None).cast("double").alias(f"_{c}") for c in columns), F.lit(None).cast(samples.schema[at].dataType).alias("_t")).unionByName(known.select(KEY, at, *(F.col(c).alias(f"_{c}") for c in columns), F.col(at).alias("_t")), allowMissingColumns=True)
-    back, ahead = W.partitionBy(KEY).orderBy(at).rangeBetween(W.unboundedPreceding, 0), W.partitionBy(KEY).orderBy(at).rangeBetween(0, W.unboundedFollowing)
+    back, ahead = (W.partitionBy(KEY).orderBy(order).rangeBetween(W.unboundedPreceding, 0) for order in (F.asc(at), F.desc(at)))
     names = ["_t", *(f"_{c}" for c in columns)]
-    near = both.select("*", *(F.last(n, ignorenulls=True).over(back).alias(f"{n}_a") for n in names), *(F.first(n, ignorenulls=True).over(ahead).alias(f"{n}_b") for n in names)).where(F.col(ORDER).isNotNull())
+    near = both.select("*", *(F.last(n, ignorenulls=True).over(back).alias(f"{n}_a") for n in names), *(F.last(n, ignorenulls=True).over(ahead).alias(f"{n}_b") for n in names)).where(F.col(ORDER).isNotNull())
     share = F.coalesce(F.try_divide(F.col(at) - F.col("_t_a"), (F.col("_t_b") - F.col("_t_a")).cast("double")), F.lit(0.0))
 
     def value(c: str) -> Column:
@@ -188,11 +188,11 @@ def session_diagnostics(rows: DataFrame) -> DataFrame:
 def drift(rows: DataFrame, error: Column) -> DataFrame:
     """Errors of a session against truth: RMSE, MAE, final error, and final error in percent of the path.
 
-    The percentage is null for a path below one metre.
+    The percentage is infinite for a path below one metre.
     """
     walked = rows.withColumn("_e", error).withColumn("_step", step_distance())
     found = walked.groupBy(KEY).agg(F.sqrt(F.avg(F.col("_e") * F.col("_e"))).alias("rmse"), F.avg(F.abs("_e")).alias("mae"), F.max_by("_e", ORDER).alias("final_error"), F.sum("_step").alias("path_m"))
-    return found.withColumn("drift_pct", F.when(F.col("path_m") >= 1, 100 * F.try_divide(F.abs("final_error"), F.col("path_m"))))
+    return found.withColumn("drift_pct", F.when(F.col("path_m") >= 1, 100 * F.try_divide(F.abs("final_error"), F.col("path_m"))).otherwise(float("inf")))
 
 
 def in_blackout(rows: DataFrame, start: float = 0.4, seconds: float = 60.0, time: str = "t_sec") -> DataFrame:

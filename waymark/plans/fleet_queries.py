@@ -85,8 +85,8 @@ def road_cell_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {TELEMETRY} SELECT session_id, seq, CASE WHEN k < 20 OR seq % 7 = 0 THEN 'quarantined' ELSE 'stored' END AS place FROM tel""")
 def payload_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = telemetry(spark, sf_dir).select("session_id", "seq", F.when(F.col("k") >= 20, F.col("lat")).alias("lat"), F.when(F.col("seq") % 7 != 0, F.col("lng")).alias("lng"))
-    good, bad = P.split_valid(rows, ["lat", "lng"])
+    rows = telemetry(spark, sf_dir).select("session_id", "seq", F.when(F.col("k") >= 20, F.col("lat")).alias("lat"), F.when(F.col("seq") % 7 != 0, "a name").otherwise("").alias("name"))
+    good, bad = P.split_valid(rows, ["lat", "name"])
     return good.select("session_id", "seq", F.lit("stored").alias("place")).union(bad.select("session_id", "seq", F.lit("quarantined")))
 
 
@@ -192,7 +192,15 @@ def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(R.snapped(points, road_segments(spark), keys=["session_id", "seq"]).select("session_id", "seq", "edge_id", "distance_m"), 4)
 
 
-@query()
+def _heading_snaps() -> str:
+    lat1, lng1, lat2, lng2, turn = "radians(lat1)", "radians(lng1)", "radians(lat2)", "radians(lng2)", "degrees(atan2(sin({b} - {a}) * cos({d}), cos({c}) * sin({d}) - sin({c}) * cos({d}) * cos({b} - {a})))"
+    along = turn.format(a=lng1, b=lng2, c=lat1, d=lat2)
+    return NEAR.replace("accuracy_m, edge_id", "accuracy_m, road_type, k * 3.6 AS heading, speed_kmh / 3.6 AS speed, lat1, lng1, lat2, lng2, edge_id") + f""", h AS (SELECT *, abs(((({along} - heading + 180) % 360) + 360) % 360 - 180) AS forth FROM d WHERE distance <= 20), g AS (SELECT *, CASE WHEN road_type = 'primary' THEN forth ELSE least(forth, 180 - forth) END AS turn FROM h),
+ c AS (SELECT *, distance + CASE WHEN heading IS NOT NULL AND speed > 1 THEN radians(turn) * 10 ELSE 0 END AS cost FROM g WHERE NOT coalesce(heading IS NOT NULL AND speed > 1, false) OR turn <= 45), b AS (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY round(cost, 6), edge_id) AS r FROM c)
+ SELECT tel.session_id, tel.seq, edge_id, round(distance, 4) AS distance_m, round(coalesce(greatest(0, 1 - distance / 20), 0), 4) AS confidence FROM tel LEFT JOIN (SELECT * FROM b WHERE r = 1) b ON tel.session_id = b.session_id AND tel.seq = b.seq"""
+
+
+@query(_heading_snaps())
 def live_snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng", (F.col("k") * 3.6).alias("heading"), (F.col("speed_kmh") / 3.6).alias("speed"))
     streets = road_segments(spark).withColumn("oneway", F.col("road_type") == "primary")
@@ -212,12 +220,15 @@ def uncovered_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.uncovered_spans(tel, stored, "session_id")
 
 
-@query(f"""WITH {TELEMETRY}, r AS (SELECT i AS seq, {LAT0} + i * CAST(0.004 AS DOUBLE) AS lat1, {LNG0} + (i % 2) * CAST(0.02 AS DOUBLE) AS lng1 FROM range(6) t(i)), l AS (SELECT seq, lat1, lng1, lead(lat1) OVER (ORDER BY seq) AS lat2, lead(lng1) OVER (ORDER BY seq) AS lng2 FROM r), q AS (SELECT * FROM l WHERE lat2 IS NOT NULL),
-a AS (SELECT q.*, coalesce((SELECT sum({hav("x.lat1", "x.lng1", "x.lat2", "x.lng2")}) FROM q x WHERE x.seq > q.seq), 0) AS after FROM q), p AS (SELECT session_id, tel.seq AS seq, lat, lng, a.seq AS leg, lat2, lng2, after, lat1 + u * (lat2 - lat1) AS plat, lng1 + u * (lng2 - lng1) AS plng FROM (SELECT *, 0 AS z FROM tel) tel, LATERAL (SELECT *, greatest(0, least(1, ((tel.lng - lng1) * (lng2 - lng1) + (tel.lat - lat1) * (lat2 - lat1)) / (pow(lng2 - lng1, 2) + pow(lat2 - lat1, 2)))) AS u FROM a) a),
-b AS (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY pow(lat - plat, 2) + pow(lng - plng, 2), leg) AS r FROM p) SELECT session_id, seq, leg, round({hav("plat", "plng", "lat2", "lng2")} + after, 4) AS remaining_m, round({hav("lat", "lng", "plat", "plng")}, 4) AS off_route_m, {hav("plat", "plng", "lat2", "lng2")} + after <= 50 AS arrived FROM b WHERE r = 1""")
+@query(f"""WITH {TELEMETRY}, r AS (SELECT g AS route_id, i AS seq, {LAT0} + i * CAST(0.004 AS DOUBLE) AS lat1, {LNG0} + g * CAST(0.003 AS DOUBLE) + (i % 2) * CAST(0.02 AS DOUBLE) AS lng1 FROM range(7) h(g), range(6) t(i)), l AS (SELECT *, lead(lat1) OVER w AS lat2, lead(lng1) OVER w AS lng2 FROM r WINDOW w AS (PARTITION BY route_id ORDER BY seq)), q AS (SELECT *, {hav("lat1", "lng1", "lat2", "lng2")} AS len FROM l WHERE lat2 IS NOT NULL),
+a AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY route_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS after FROM q), z AS (SELECT session_id, seq, session_id % 7 AS route_id, CASE WHEN seq % 11 = 0 THEN NULL WHEN seq % 13 = 0 THEN 0.00005 ELSE lat END AS lat, CASE WHEN seq % 13 = 0 THEN -0.00005 ELSE lng END AS lng FROM tel),
+p AS (SELECT z.*, a.seq AS leg, lat2, lng2, after, lat1 + u * (lat2 - lat1) AS plat, lng1 + u * (lng2 - lng1) AS plng FROM z, LATERAL (SELECT *, greatest(0, least(1, ((z.lng - lng1) * (lng2 - lng1) + (z.lat - lat1) * (lat2 - lat1)) / (pow(lng2 - lng1, 2) + pow(lat2 - lat1, 2)))) AS u FROM a WHERE a.route_id = z.route_id) a WHERE z.lat IS NOT NULL AND z.lng IS NOT NULL AND (abs(z.lat) >= 1e-4 OR abs(z.lng) >= 1e-4)),
+b AS (SELECT *, row_number() OVER (PARTITION BY session_id, seq ORDER BY round({hav("lat", "lng", "plat", "plng")}, 6), leg) AS r FROM p), f AS (SELECT session_id, seq, leg, {hav("plat", "plng", "lat2", "lng2")} + after AS rest, {hav("lat", "lng", "plat", "plng")} AS off FROM b WHERE r = 1 UNION ALL SELECT session_id, z.seq, 0, (SELECT sum(len) FROM q WHERE q.route_id = z.route_id), 0 FROM z WHERE lat IS NULL OR lng IS NULL OR (abs(lat) < 1e-4 AND abs(lng) < 1e-4)) SELECT session_id, seq, leg, round(rest, 4) AS remaining_m, round(off, 4) AS off_route_m, rest <= 50 AS arrived FROM f""")
 def route_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    route = spark.range(6).select(F.lit(1).alias("route_id"), F.col("id").alias("seq"), (LAT0 + F.col("id") * 0.004).alias("lat"), (LNG0 + (F.col("id") % 2) * 0.02).alias("lng"))
-    points = telemetry(spark, sf_dir).select("session_id", F.col("seq").alias("seq"), "lat", "lng", F.lit(1).alias("route_id"))
+    route = spark.range(42).select((F.col("id") % 7).alias("route_id"), F.expr("id div 7").alias("seq")).select("route_id", "seq", (LAT0 + F.col("seq") * 0.004).alias("lat"), (LNG0 + F.col("route_id") * 0.003 + (F.col("seq") % 2) * 0.02).alias("lng"))
+    lost = F.col("seq") % 13 == 0
+    lat, lng = F.when(F.col("seq") % 11 != 0, F.when(lost, 0.00005).otherwise(F.col("lat"))), F.when(lost, -0.00005).otherwise(F.col("lng"))
+    points = telemetry(spark, sf_dir).select("session_id", "seq", lat.alias("lat"), lng.alias("lng"), (F.col("session_id") % 7).alias("route_id"))
     return rounded(R.route_remaining(points, route, ["session_id", "seq"]), 4)
 
 

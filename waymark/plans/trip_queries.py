@@ -234,7 +234,7 @@ def _errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.drift(telemetry(spark, sf_dir), F.col("speed_kmh") - 2 * F.col("k"))
 
 
-DRIFT = ", d AS (SELECT session_id, sqrt(avg(pow(speed_kmh - 2 * k, 2))) AS rmse, avg(abs(speed_kmh - 2 * k)) AS mae, max_by(speed_kmh - 2 * k, seq) AS final_error, sum(step) AS path_m FROM s GROUP BY session_id), e AS (SELECT *, CASE WHEN path_m >= 1 THEN 100 * abs(final_error) / path_m END AS drift_pct FROM d)"
+DRIFT = ", d AS (SELECT session_id, sqrt(avg(pow(speed_kmh - 2 * k, 2))) AS rmse, avg(abs(speed_kmh - 2 * k)) AS mae, max_by(speed_kmh - 2 * k, seq) AS final_error, sum(step) AS path_m FROM s GROUP BY session_id), e AS (SELECT *, CASE WHEN path_m >= 1 THEN 100 * abs(final_error) / path_m ELSE CAST('infinity' AS DOUBLE) END AS drift_pct FROM d)"
 
 
 @step_query(DRIFT + " SELECT session_id, round(rmse, 6) AS rmse, round(mae, 6) AS mae, round(final_error, 6) AS final_error, round(path_m, 6) AS path_m, round(drift_pct, 6) AS drift_pct FROM e")
