@@ -2,7 +2,9 @@
 
 import pytest
 
-from waymark.llm.html_extract import main_text
+from tests.oracle import SF
+
+from waymark.llm.html_extract import PRIOR, Parser, extract, features, labels, main_text, smoothness
 
 WORDY = "<p>First paragraph with some words in it, long enough to be read by people.</p><p>Second one, also long enough to be read, with more words.</p>"
 
@@ -31,3 +33,54 @@ def test_articles_of_others_stay_out():
     others = f"<div class='related-posts'><article>{WORDY}</article></div>"
     assert main_text(f"<body>{others}</body>") == ""
     assert "First paragraph" in main_text(f"<body><div class='page-wrap has-comments'><article>{WORDY}</article></div></body>")
+
+
+def test_the_cut_overrules_the_classifier():
+    page = f"<body><div class=x><div>{WORDY}a short aside, see{WORDY}</div><div><div><a href=1>One</a></div><div>Plain words between the links</div><div><a href=2>Two</a></div><div><a href=3>Three</a></div></div></div></body>"
+    blocks = Parser().feed(page)
+    alone = (features(blocks) @ PRIOR > 0).tolist()
+    cut = labels(blocks)
+    assert alone != cut
+    assert [b.text for b, x in zip(blocks, cut, strict=True) if not x] == ["One", "Plain words between the links", "Two", "Three"]
+
+
+def plain_cut(gains, edges):
+    """The least cost over all labellings."""
+    n = len(gains)
+    return min(sum(abs(g) for i, g in enumerate(gains) if (m >> i & 1) != (g > 0)) + sum(w for i, j, w in edges if (m >> i & 1) != (m >> j & 1)) for m in range(1 << n))
+
+
+def test_small_pages_like_all_labellings(spark):
+    pages = [r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect()]
+    seen = 0
+    for page in pages:
+        blocks = Parser().feed(page or "")
+        if not 0 < len(blocks) <= 13:
+            blocks = blocks[:13]
+        gains, edges = (features(blocks) @ PRIOR).tolist(), smoothness(blocks)
+        found = labels(blocks)
+        cost = sum(abs(g) for g, x in zip(gains, found, strict=True) if x != (g > 0)) + sum(w for i, j, w in edges if found[i] != found[j])
+        assert cost == pytest.approx(plain_cut(gains, edges), abs=1e-6)
+        seen += 1
+        if seen == 25:
+            break
+    assert seen == 25
+
+
+def plain_text(page):
+    """Main text of the test pages by their own names alone: what is inside an article or main element and no marked place."""
+    return [b.text for b in Parser().feed(page) if b.main and not b.away]
+
+
+def test_query_like_names_alone(spark):
+    from waymark.llm.queries import QUERIES
+
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    for r in QUERIES["op8_min_cut_extraction"](spark, SF).collect():
+        assert r["text"].split("\n\n") == (plain_text(pages[r["page_id"]] or "") or [""])
+
+
+def test_no_pages_and_odd_pages(spark):
+    kind = "page_id long, url string, html string"
+    assert extract(spark.createDataFrame([], kind)).count() == 0
+    assert [r["text"] for r in extract(spark.createDataFrame([(1, None, None), (1, None, None), (2, None, "<article><svg><p>lost")], kind)).orderBy("page_id").collect()][:2] == ["", ""]
