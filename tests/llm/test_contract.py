@@ -7,7 +7,7 @@ from math import log10
 import pytest
 from tests.oracle import SF, connect, of_frame, of_sql
 
-from waymark.llm import packing
+from waymark.llm import lm_scoring, packing
 from waymark.llm.queries import ORACLES, QUERIES
 
 
@@ -60,12 +60,23 @@ def test_scores(spark, texts):
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
     counts = Counter(w for d, t in texts.items() if not held[d] for w in [*words(t), "\0end"])
     n, v = sum(counts.values()), len(counts)
+    model, _ = lm_scoring.fit(spark.createDataFrame([(t,) for d, t in texts.items() if not held[d]], "text string"))
+    of = {w: int(model.of[i]) for i, w in enumerate(model.counts)}
+    assert {w.decode() for w in of} == {w for w in counts if w != "\0end"} | {""} and len({*of.values()}) > 32
+
+    def kind(word):
+        raw = b"" if word == "\0end" else word.encode()
+        return of[raw] if raw in of else int(model.of[len(of) + lm_scoring.ending(raw)])
+
     gains = []
     for r in QUERIES["op3_class_lm_scoring"](spark, SF).collect():
         tokens = [*words(texts[r["doc_id"]]), "\0end"]
         base = sum(log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in tokens)
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(tokens), sum(counts[w] > 0 for w in tokens), n)
         assert r["base_score"] == pytest.approx(base, abs=1e-6)
+        kinds = [0, *map(kind, tokens)]
+        plain = sum(model.transition[a, b] + log10(counts[w] + 0.1) - model.emission_base[b] for a, b, w in zip(kinds, kinds[1:], tokens))
+        assert r["score"] == pytest.approx(plain, abs=1e-6)
         if r["held_out"]:
             gains.append(r["score"] - r["base_score"])
     assert sum(gains) > 0  # classes predict held-out text better than words alone
