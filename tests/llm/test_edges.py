@@ -255,3 +255,9 @@ def test_network_like_plain_convolution():
     (lang,), (score,) = language_id.Scorer(net).texts([text])
     assert score == pytest.approx((plain / plain.sum()).max(), abs=1e-4)
     assert lang == net.languages[int(plain.argmax())]
+
+
+@pytest.mark.parametrize("name", ["_size", "shard", "Slot"])
+def test_reserved_names_are_refused(spark, name):
+    with pytest.raises(ValueError, match="reserved"):
+        sharding.shard_rows(spark.range(3).withColumn(name, F.lit(1)), 2, ["id"])

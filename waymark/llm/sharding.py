@@ -77,9 +77,11 @@ def shard_rows(rows: DataFrame, n_shards: int, order_by: list[str], *, seed: int
     """Add shard int and slot long: counts of shards differ by one at most, slots have no gaps.
 
     `rows` is written once to the checkpoint folder: give it the columns you need. Columns whose
-    names begin with `_` are reserved. Null keys sort first, repeated rows get places of their own,
+    names begin with `_`, shard and slot are reserved, an error otherwise. Null keys sort first, repeated rows get places of their own,
     an empty table stays empty.
     """
+    if taken := [c for c in rows.columns if c.startswith("_") or c.lower() in ("shard", "slot")]:
+        raise ValueError(f"reserved column names: {taken}")
     numbered, n = number_rows(rows, order_by)
     place = permuted("_number", max(n, 1), seed, rounds)
     return numbered.withColumn("_place", place).withColumns({"shard": (F.col("_place") % n_shards).cast("int"), "slot": F.expr(f"_place div {n_shards}L")}).drop("_number", "_place")
