@@ -4,11 +4,16 @@ The automaton holds every substring of every normalised test item. A document's
 through it and the length of the longest match that ends at each word is tracked; where that length
 reaches the window, the words of the window are hit. A word that no item has sends the automaton to
 its root, so only stretches of known words are walked.
+
+An automaton holds a bounded part of the items. One part is the rule; of more, each takes its own
+pass over the documents and adds its hits to those of the passes before, which is exact: a word is hit
+if any item's window covers it, whichever part the item is in.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 from hashlib import sha256
 from itertools import repeat
 
@@ -17,28 +22,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of test items that one automaton may hold: it is broadcast.
-MAX_BENCHMARK_BYTES = 64 << 20
+from waymark.llm.common import discard, unused, written
+
+#: Bytes of test items that one automaton holds: it is built on the driver and broadcast. While it is
+#: built it takes about 140 bytes a byte.
+PART_BYTES = 8 << 20
 
 #: Bytes of a word: 0-9, a-z and all of other characters; A-Z become a-z, the rest separate words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
+#: Of each text: hit or not, for each word; the items with a window in it.
+Matches = list[tuple[np.ndarray, set[str]]]
+
+
 def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(WORD_BYTES).split()
 
 
 class SuffixAutomaton:
-    """All substrings of `items`, (id, text) each, with what streaming needs at each state."""
+    """All substrings of `items`, (id, words) each, with what streaming needs at each state.
 
-    def __init__(self, items: Iterable[tuple[str, str]], window: int):
+    Once built, a state with one way out has it in two arrays; only the others keep a dictionary.
+    """
+
+    def __init__(self, items: Iterable[tuple[str, list[bytes]]], window: int):
         self.window, self.alphabet = window, {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         seen: dict[int, set[str]] = {}
         whole: dict[int, set[str]] = {}
-        for item, text in items:
-            words, state = words_of(text), 0
+        for item, words in items:
+            state = 0
             for i, word in enumerate(words):
                 state = self._extend(state, self.alphabet.setdefault(word, len(self.alphabet)))
                 if i + 1 >= window:
@@ -46,6 +61,7 @@ class SuffixAutomaton:
             if 0 < len(words) < window:
                 whole.setdefault(state, set()).add(item)
         self._index(seen, whole)
+        self._pack()
 
     def _new(self, length: int, link: int, following: dict[int, int]) -> int:
         self.next.append(following)
@@ -84,16 +100,35 @@ class SuffixAutomaton:
             up = self.link[v]
             if v in seen and self.length[up] >= self.window:
                 seen.setdefault(up, set()).update(seen[v])
-        self.within: dict[int, frozenset[str]] = {}
+        self.sets: list[frozenset[str]] = []
+        self.within = array("i", repeat(-1, len(self.length)))
+        numbers: dict[frozenset[str], int] = {}
         self.short: dict[int, list[tuple[int, str]]] = {}
         for v in order:
             up = self.link[v]
             if self.length[v] >= self.window:
-                self.within[v] = self.within[up] if self.length[up] >= self.window else frozenset(seen[v])
+                if self.length[up] >= self.window:
+                    self.within[v] = self.within[up]
+                else:
+                    items = frozenset(seen[v])
+                    self.within[v] = numbers.setdefault(items, len(numbers))
             if ends := [*self.short.get(up, []), *((self.length[v], item) for item in sorted(whole.get(v, ())))]:
                 self.short[v] = ends
+        self.sets.extend(numbers)
         self.least = min([self.window, *(self.length[v] for v in whole)])
 
+    def _pack(self) -> None:
+        """word, to: the way out of a state that has one; ways: those of all others."""
+        self.word, self.to = array("i", repeat(-1, len(self.next))), array("i", repeat(-1, len(self.next)))
+        self.ways: dict[int, dict[int, int]] = {}
+        for state, following in enumerate(self.next):
+            if len(following) == 1:
+                ((self.word[state], self.to[state]),) = following.items()
+            elif following:
+                self.ways[state] = following
+        self.link, self.length = array("i", self.link), array("i", self.length)
+        del self.next
+
     def stream(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """(hit or not, for each word; the items with a window in `words`)."""
         hit, found = np.zeros(len(words), dtype=bool), set()
@@ -105,17 +140,19 @@ class SuffixAutomaton:
         return hit, found
 
     def _walk(self, stretch: list[int], begin: int, hit: np.ndarray, found: set[str]) -> None:
-        following, link, length, window = self.next, self.link, self.length, self.window
+        only, to, ways, link, length, window = self.word, self.to, self.ways, self.link, self.length, self.window
+        none: dict[int, int] = {}
         state = matched = 0
         for i, word in enumerate(stretch, begin + 1):
-            while state and word not in following[state]:
+            # The root has a way out with every known word, so the search ends there.
+            while (following := to[state] if only[state] == word else ways.get(state, none).get(word, -1)) < 0:
                 state = link[state]
                 matched = length[state]
-            state = following[state][word]
+            state = following
             matched += 1
             if matched >= window:
                 hit[i - window : i] = True
-                found |= self.within[state]
+                found |= self.sets[self.within[state]]
             for size, item in self.short.get(state, ()):
                 if size <= matched:
                     hit[i - size : i] = True
@@ -127,13 +164,85 @@ def contaminated(n_hit: int, n_words: int, coverage: int = 20) -> bool:
     return n_hit > 0 and coverage * n_hit >= n_words
 
 
-def build_automaton(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> SuffixAutomaton:
-    """Gather the test items, after a check of their size; items without id or text have no windows."""
+def parts_of(items: Iterable[tuple[str, str]], window: int, most: int = PART_BYTES) -> Iterator[list[tuple[str, list[bytes]]]]:
+    """Items of at most about `most` bytes together; an empty list if there are none.
+
+    An item with more goes in pieces that share window - 1 words, so every window is in one of them.
+    """
+    part: list[tuple[str, list[bytes]]] = []
+    size = given = 0
+    for item, text in items:
+        words = words_of(text)
+        stride = len(words) if len(text) <= most else max(window, most // 8)
+        for at in range(0, max(len(words) - window + 1, 1), max(stride, 1)):
+            piece = words[at : at + stride + window - 1]
+            weight = sum(map(len, piece)) + len(piece)
+            if part and size + weight > most:
+                yield part
+                part, size, given = [], 0, given + 1
+            part.append((item, piece))
+            size += weight
+    if part or not given:
+        yield part
+
+
+def automata(benchmark: DataFrame, window: int, id_col: str, text_col: str) -> Iterator[SuffixAutomaton]:
+    """One automaton after the other over parts of the test items; items without id or text have no windows."""
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item IS NOT NULL AND text IS NOT NULL").distinct()
-    size = items.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
-    if size > MAX_BENCHMARK_BYTES:
-        raise ValueError(f"test items have {size} bytes, an automaton holds {MAX_BENCHMARK_BYTES}: run over parts of the benchmark in turn")
-    return SuffixAutomaton([(r["item"], r["text"]) for r in items.orderBy("item", "text").toLocalIterator()], window)
+    rows = items.orderBy("item", "text").toLocalIterator()
+    for part in parts_of(((r["item"], r["text"]) for r in rows), window, PART_BYTES):
+        yield SuffixAutomaton(part, window)
+
+
+def _streamed(docs: DataFrame, benchmark: DataFrame, window: int, text_col: str, item_col: str, item_text_col: str, finish: Callable[[pa.RecordBatch, Matches], pa.RecordBatch], schema) -> DataFrame:
+    """What `finish` makes of each batch of `docs` and of the (hits, items) of its texts.
+
+    A pass that others follow writes its hits, as bits, and items beside the columns of `docs`.
+    """
+    sc, at = docs.sparkSession.sparkContext, docs.columns.index(text_col)
+    hits, items = unused(docs, "hits"), unused(docs, "items")
+    width, before = len(docs.columns), None
+
+    def matches(batch: pa.RecordBatch, automaton: SuffixAutomaton) -> Matches:
+        rows = []
+        for i, text in enumerate(batch.column(at)):
+            hit, found = automaton.stream(words_of(text.as_py()))
+            if batch.num_columns > width:
+                hit |= np.unpackbits(np.frombuffer(batch.column(width)[i].as_py(), dtype=np.uint8), count=len(hit)).view(bool)
+                found |= set(batch.column(width + 1)[i].as_py())
+            rows.append((hit, found))
+        return rows
+
+    def own(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width])
+
+    def last(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield finish(own(batch), matches(batch, shipped.value))
+
+        return run
+
+    def between(shipped) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                rows = matches(batch, shipped.value)
+                added = [pa.array([np.packbits(h).tobytes() for h, _ in rows], pa.binary()), pa.array([sorted(f) for _, f in rows], pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:width], *added], names=[*batch.schema.names[:width], hits, items])
+
+        return run
+
+    bits = docs.select("*", F.lit(b"").alias(hits), F.array(F.lit("")).alias(items)).schema
+    parts = automata(benchmark, window, item_col, item_text_col)
+    automaton = next(parts)
+    for following in parts:
+        shipped = sc.broadcast(automaton)
+        docs = written(docs.mapInArrow(between(shipped), bits))
+        shipped.destroy()
+        if before is not None:
+            discard(before)
+        before, automaton = docs, following
+    return docs.mapInArrow(last(sc.broadcast(automaton)), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -142,37 +251,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, id
     A window is `window` consecutive words of an item, or all of a shorter item. A null or empty
     text has no words and is clean; repeated rows are judged alike; an empty benchmark hits nothing.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, window, item_col, item_text_col))
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shipped.value
-        for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                hit, found = automaton.stream(words_of(text.as_py()))
-                n_hit = int(np.count_nonzero(hit))
-                rows.append((len(hit), n_hit, len(found), sha256(",".join(sorted(found)).encode()).hexdigest(), contaminated(n_hit, len(hit))))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+    def judge(batch: pa.RecordBatch, matches: Matches) -> pa.RecordBatch:
+        rows = []
+        for hit, found in matches:
+            n_hit = int(np.count_nonzero(hit))
+            rows.append((len(hit), n_hit, len(found), sha256(",".join(sorted(found)).encode()).hexdigest(), contaminated(n_hit, len(hit))))
+        columns = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    return narrow.mapInArrow(judge, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return _streamed(narrow, benchmark, window, "text", item_col, item_text_col, judge, f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of `docs`, all their columns, whose text is not contaminated; the others go whole."""
-    shipped = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, window, item_col, item_text_col))
-    at = docs.columns.index(text_col)
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shipped.value
-        for batch in batches:
-            hits = [automaton.stream(words_of(text.as_py()))[0] for text in batch.column(at)]
-            yield batch.filter(pa.array([not contaminated(int(np.count_nonzero(h)), len(h)) for h in hits], pa.bool_()))
+    def keep(batch: pa.RecordBatch, matches: Matches) -> pa.RecordBatch:
+        return batch.filter(pa.array([not contaminated(int(np.count_nonzero(h)), len(h)) for h, _ in matches], pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return _streamed(docs, benchmark, window, text_col, item_col, item_text_col, keep, docs.schema)
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -180,12 +280,10 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, tex
 
     The characters outside the spans stay as they are. Null texts stay null.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(build_automaton(benchmark, window, item_col, item_text_col))
     at = docs.columns.index(text_col)
 
-    def cut(text: str | None, automaton: SuffixAutomaton) -> str | None:
+    def cut(text: str | None, hit: np.ndarray) -> str | None:
         raw = (text or "").encode()
-        hit, _ = automaton.stream(words_of(text))
         if not hit.any():
             return text
         is_word = np.frombuffer(raw.translate(WORD_BYTES), dtype=np.uint8) != 32
@@ -197,10 +295,8 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, window: int = 13, tex
             done = edges[2 * after - 1]
         return b"".join([*kept, raw[done:]]).decode()
 
-    def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = shipped.value
-        for batch in batches:
-            texts = pa.array([cut(text.as_py(), automaton) for text in batch.column(at)], pa.string())
-            yield pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
+    def rewrite(batch: pa.RecordBatch, matches: Matches) -> pa.RecordBatch:
+        texts = pa.array([cut(text.as_py(), hit) for text, (hit, _) in zip(batch.column(at), matches, strict=True)], pa.string())
+        return pa.RecordBatch.from_arrays([texts if i == at else c for i, c in enumerate(batch.columns)], names=batch.schema.names)
 
-    return docs.mapInArrow(rewrite, docs.schema)
+    return _streamed(docs, benchmark, window, text_col, item_col, item_text_col, rewrite, docs.schema)
