@@ -26,7 +26,7 @@ from waymark.llm.common import discard, unused, written
 
 #: Bytes of test items that one automaton holds: it is built on the driver and broadcast. While it is
 #: built it takes about 140 bytes a byte.
-PART_BYTES = 8 << 20
+PART_BYTES = 4 << 20
 
 #: Bytes of a word: 0-9, a-z and all of other characters; A-Z become a-z, the rest separate words.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
