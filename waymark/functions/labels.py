@@ -10,6 +10,8 @@ from waymark.functions.geodesy import half_up, normalised_degrees
 # Names of the eight winds, and the 60 km/h beyond which an uncorroborated fix is spoofed.
 WINDS = ("N", "NE", "E", "SE", "S", "SW", "W", "NW")
 SPOOF_KMH, EXCESSIVE_INNOVATION_M = 60.0, 100.0
+# Fixed values of the adaptive matching model: log weight of a broken route, and the floor of log weights.
+BROKEN_LOG, LEAST_LOG = -60.0, -100.0
 
 
 def cardinal(heading: Column) -> Column:
@@ -110,15 +112,58 @@ def emission(distance: Column, accuracy: Column, default: float = 4.07) -> Colum
     return -F.log(F.sqrt(2 * F.pi()) * sigma) - 0.5 * (distance / sigma) * (distance / sigma)
 
 
-def adaptive_sigma(accuracy: Column, is_dr: Column, step: Column) -> Column:
-    """Deviation of an observation: by accuracy for fixes, growing with the steps since the anchor in dead reckoning."""
-    grown = F.greatest(F.coalesce(accuracy, F.lit(10.0)), 8 + F.least(F.lit(8.0), 0.4 * step))
-    return F.when(is_dr, F.greatest(F.lit(6.0), F.least(F.lit(20.0), grown))).otherwise(F.greatest(F.lit(2.0), F.least(accuracy, F.lit(8.0))))
+def adaptive_sigma(accuracy: Column, is_dr: Column, step: Column, default: float = 4.07) -> Column:
+    """Deviation of an observation: by accuracy for fixes, growing with the steps since the anchor in dead reckoning.
+
+    An accuracy that is null or not positive counts as 10 m in dead reckoning; a fix needs more than 1 m.
+    """
+    grown = F.greatest(F.when(accuracy > 0, accuracy).otherwise(10.0), 8 + F.least(F.lit(8.0), 0.4 * step))
+    fix = F.when(accuracy > 1, F.greatest(F.lit(2.0), F.least(accuracy, F.lit(8.0)))).otherwise(default)
+    return F.when(is_dr, F.greatest(F.lit(6.0), F.least(F.lit(20.0), grown))).otherwise(fix)
+
+
+def adaptive_emission(distance: Column, sigma: Column) -> Column:
+    """Log density of a candidate under `sigma`, not below the floor."""
+    return F.greatest(F.lit(LEAST_LOG), -F.log(F.sqrt(2 * F.pi()) * sigma) - 0.5 * (distance / sigma) * (distance / sigma))
 
 
 def dynamic_beta(speed: Column, dt: Column, is_dr: Column) -> Column:
     return F.greatest(F.lit(5.0), F.least(F.lit(25.0), 5 + 0.25 * speed * dt + F.when(is_dr, 4.0).otherwise(0.0)))
 
 
+def dynamic_transition(route: Column, straight: Column, beta: Column) -> Column:
+    """Log weight of a move by its route and straight lengths, not below the floor; a null or infinite route is broken."""
+    whole = route.isNotNull() & (route < float("inf"))
+    return F.when(whole, F.greatest(F.lit(LEAST_LOG), -F.log(beta) - F.abs(route - straight) / beta)).otherwise(BROKEN_LOG)
+
+
+def step_instruction(kind: Column, modifier: Column, street: Column) -> Column:
+    """The second wording of a route step, with the street where it has a name."""
+    named, kind = F.coalesce(street, F.lit("")) != "", F.coalesce(kind, F.lit("turn"))
+    onto = F.when(named, F.concat(F.lit("onto "), street)).otherwise("")
+    turn = F.when(F.coalesce(modifier, F.lit("")) != "", F.concat(F.lit(" "), modifier)).otherwise("")
+
+    def say(before: str, after: str = " ") -> Column:
+        return F.trim(F.concat(F.lit(before), F.lit(after), onto))
+
+    def turned(before: str | Column, after: str = " ") -> Column:
+        return F.trim(F.concat(F.lit(before) if isinstance(before, str) else before, turn, F.lit(after), onto))
+
+    return (
+        F.when((kind == "depart") & named, F.concat(F.lit("Depart on "), street))
+        .when(kind == "depart", "Head out towards destination")
+        .when(kind == "arrive", "Arrive at destination")
+        .when(kind == "turn", turned("Turn"))
+        .when(kind == "new name", say("Continue"))
+        .when(kind == "continue", say("Continue straight"))
+        .when(kind == "merge", turned("Merge"))
+        .when(kind == "fork", turned("Keep", " at fork "))
+        .when(kind.isin("roundabout", "rotary"), say("Enter roundabout and take exit"))
+        .when(kind == "on ramp", say("Take ramp"))
+        .when(kind == "off ramp", say("Take exit"))
+        .otherwise(turned(kind))
+    )
+
+
 def one_decimal(x: Column) -> Column:
     return half_up(x, 1)

@@ -98,3 +98,58 @@ def span_geojson(rows: DataFrame, keys: list[str], order: str, lat: str = "lat",
     points = F.transform(F.array_sort(F.collect_list(F.struct(order, lng, lat))), lambda p: F.array(p[lng], p[lat]))
     lines = rows.groupBy(*keys).agg(points.alias("_points"))
     return lines.select(*keys, F.size("_points").cast("long").alias("n_points"), F.to_json(F.struct(F.lit("LineString").alias("type"), F.col("_points").alias("coordinates"))).alias("geometry"))
+
+
+#: The columns of the telemetry export in order, each with its source column and decimals.
+#: None stands for text, -1 for a truth value.
+EXPORT = (("Timestamp_Epoch_Ms", "t_ms", None), ("Time_ISO", "_iso", None), ("Source_Type", "_source", None), ("Latitude", "lat", 6), ("Longitude", "lng", 6), ("Accuracy_Meters", "accuracy_m", 1), ("Speed_KmH", "speed_kmh", 1), ("Heading_Deg", "heading_deg", 1), ("Altitude_Meters", "altitude_m", 1), ("Is_Dead_Reckoning", "_dr", -1), ("IMU_VarA", "var_a", 6), ("IMU_VarG", "var_g", 6), ("GNSS_Speed_Raw_KmH", "raw_speed_kmh", 2), ("GNSS_Accuracy_Raw", "raw_accuracy_m", 1), ("ZUPT_State", "_zupt", None), ("Gnss_Rejected", "gnss_rejected", -1), ("GNSS_Uncorroborated", "gnss_uncorroborated", -1), ("Raw_CB_Latitude", "cb_lat", 6), ("Raw_CB_Longitude", "cb_lng", 6), ("Raw_CB_Accuracy", "cb_accuracy_m", 1), ("Raw_CB_Speed_mps", "cb_speed_mps", 2), ("Raw_CB_Heading", "cb_heading_deg", 1), ("Raw_CB_Timestamp", "cb_t_ms", None), ("GNSS_Applied_This_Tick", "gnss_applied", -1), ("Raw_DR_VelX_ms", "ins_vel_x", 4), ("Raw_DR_VelY_ms", "ins_vel_y", 4), ("AI_Corrected_VelX_ms", "ai_vel_x", 4), ("AI_Corrected_VelY_ms", "ai_vel_y", 4), ("AI_Confidence", "ai_confidence", 4), ("GPS_GroundTruth_Lat", "_true_lat", 6), ("GPS_GroundTruth_Lng", "_true_lng", 6), ("Matched_Latitude", "matched_lat", 6), ("Matched_Longitude", "matched_lng", 6))
+#: The columns of the prototype's tick log in order, with their decimals.
+TICK_LOG = (("timestamp", None), ("accel_x", 4), ("accel_y", 4), ("accel_z", 4), ("gyro_x", 4), ("gyro_y", 4), ("gyro_z", 4), ("gnss_lat", 8), ("gnss_lng", 8), ("gnss_accuracy", 2), ("lat", 8), ("lng", 8), ("vel_x", 4), ("vel_y", 4), ("vel_z", 4), ("heading", 2), ("source_mode", None), ("gnss_state", None), ("pure_ins_lat", 8), ("pure_ins_lng", 8))
+
+
+def telemetry_export(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The 33 text columns of the telemetry export, after the columns `keep` as text; source columns that `rows` lacks are empty.
+
+    A rejected fix counts as dead reckoning, a missing rest state follows from the speed, and the
+    truth is the raw callback's position where no other is given. Missing truth values read FALSE.
+    """
+    has = set(rows.columns)
+    rejected = F.coalesce(F.col("gnss_rejected"), F.lit(False)) if "gnss_rejected" in has else F.lit(False)
+    out = F.coalesce(F.col("is_dr"), F.lit(False)) | rejected
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*(F.col(n) for n in names if n in has), F.lit(None).cast("double"))
+
+    moving = F.when(F.coalesce(F.col("speed_kmh") > 0.5, F.lit(False)), "RELEASED").otherwise("LOCKED")
+    given = F.when(F.col("zupt_state") != "", F.col("zupt_state")) if "zupt_state" in has else F.lit(None).cast("string")
+    derived = rows.withColumns({"_iso": F.date_format(F.timestamp_millis("t_ms"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"), "_source": F.when(out, "DEAD_RECKONING").otherwise("GNSS"), "_dr": out, "_zupt": F.coalesce(given, moving), "_true_lat": first("true_lat", "cb_lat"), "_true_lng": first("true_lng", "cb_lng")})
+
+    def column(source: str, places: int | None) -> Column:
+        known = source in derived.columns
+        if places == -1:
+            return F.coalesce(F.col(source), F.lit(False)) if known else F.lit(False)
+        return F.col(source) if known else F.lit(None).cast("string" if places is None else "double")
+
+    return formatted(derived.select(*keep, *(column(c, p).alias(n) for n, c, p in EXPORT)), [*((k, None) for k in keep), *((n, None if p == -1 else p) for n, _, p in EXPORT)])
+
+
+def write_telemetry_export(rows: DataFrame, path: str, *, origin: str | None = None, destination: str | None = None, distance_km: float | None = None, start_iso: str | None = None) -> None:
+    """The export as one file of one session: lines of metadata, header, rows in order of `seq`, CRLF after each line.
+
+    The rows, bounded by what one trip has, are sorted into one partition; write many sessions as Parquet instead.
+    """
+    facts = ((origin, "Origin: %s"), (destination, "Destination: %s"), (distance_km, "Distance: %s km"), (start_iso, "Session Start: %s"))
+    head = [f"# {text % value}" for value, text in facts if value] + [",".join(n for n, _, _ in EXPORT)]
+    keyed = telemetry_export(rows, keep=("seq",)).select(F.concat_ws(",", *(n for n, _, _ in EXPORT)).alias("value"), F.lit(1).alias("_part"), F.col("seq").cast("long").alias("_at"))
+    top = rows.sparkSession.createDataFrame([(line, 0, i) for i, line in enumerate(head)], "value string, _part int, _at long")
+    top.unionByName(keyed).coalesce(1).sortWithinPartitions("_part", "_at").select("value").write.option("lineSep", "\r\n").text(path)
+
+
+def tick_log(rows: DataFrame) -> DataFrame:
+    """The 20 columns of the prototype's log as one text column `line`; a null number is empty."""
+    return csv_lines(rows, list(TICK_LOG))
+
+
+def write_labelled(rows: DataFrame, path: str, key: str = "session_id") -> None:
+    """One folder of CSV with a header for each session, written in parallel, each session's rows in order of `seq`."""
+    rows.repartition(key).sortWithinPartitions(key, "seq").write.option("header", True).partitionBy(key).csv(path)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geodesy as G
 from waymark.functions.checkpoints import cut
+from waymark.functions.labels import step_instruction
 
 METRES_A_DEGREE = G.RADIUS_MEAN * 3.141592653589793 / 180
 
@@ -99,18 +100,45 @@ def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str],
     sides), it is added to the distance before ranking, and pairs where it is null do not count. Long lists of one bucket are split by the
     skew handling of the join.
     """
+    exact = _pairs_within(points, segments, radius, size, most_latitude)
+    cost = F.col("distance_m")
+    if penalty is not None:
+        exact, cost = exact.withColumn("_penalty", penalty).where("_penalty IS NOT NULL"), cost + F.col("_penalty")
+    ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.round(cost, 6), "edge_id"))).where(F.col("rank") <= k)
+    return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_east", "_penalty")
+
+
+def _pairs_within(points: DataFrame, segments: DataFrame, radius: float, size: float, most_latitude: float) -> DataFrame:
+    """Pairs of point and segment within `radius` metres, with share, distance_m and length_m."""
     margin = radius / METRES_A_DEGREE
     filed = with_buckets(segments, size, margin, margin / cos(radians(most_latitude)))
     # the only trigonometry of a pair, once a point: metres of a degree of longitude
     placed = points.withColumns({"_row": bucket(F.col("lat"), size), "_col": bucket(F.col("lng"), size), "_east": METRES_A_DEGREE * F.cos(F.radians("lat"))})
     near = placed.join(filed, ["_row", "_col"])
     share, distance, length = _on_plane()
-    exact = near.withColumns({"share": share, "distance_m": distance, "length_m": length}).where(F.col("distance_m") <= radius)
-    cost = F.col("distance_m")
-    if penalty is not None:
-        exact, cost = exact.withColumn("_penalty", penalty).where("_penalty IS NOT NULL"), cost + F.col("_penalty")
-    ranked = exact.withColumn("rank", F.row_number().over(W.partitionBy(*keys).orderBy(F.round(cost, 6), "edge_id"))).where(F.col("rank") <= k)
-    return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_east", "_penalty")
+    return near.withColumns({"share": share, "distance_m": distance, "length_m": length}).where(F.col("distance_m") <= radius)
+
+
+def polyline_segments(edges: DataFrame) -> DataFrame:
+    """Two-point segments of edges (edge_id, points: array of (lat, lng)) with the metres of their edge before them."""
+    legs = edges.select("edge_id", F.posexplode(F.zip_with(F.slice("points", 1, F.size("points") - 1), F.slice("points", 2, F.size("points") - 1), lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("leg", "ends"))
+    placed = legs.select("edge_id", "leg", F.col("ends.a.lat").alias("lat1"), F.col("ends.a.lng").alias("lng1"), F.col("ends.b.lat").alias("lat2"), F.col("ends.b.lng").alias("lng2"))
+    length = G.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
+    before = F.sum(length).over(W.partitionBy("edge_id").orderBy("leg")) - length
+    return placed.withColumn("before_m", before)
+
+
+def polyline_candidates(points: DataFrame, edges: DataFrame, *, keys: list[str], radius: float = 60.0, k: int = 8, size: float = 0.001, most_latitude: float = 70.0) -> DataFrame:
+    """The `k` nearest edges (edge_id, points: array of (lat, lng)) within `radius` metres of each point.
+
+    An edge counts by its nearest segment, of equally near ones the first; `offset_m` is the way
+    along the edge to the projection. Edges of fewer than two points have no segments.
+    """
+    pairs = _pairs_within(points, polyline_segments(edges.where(F.size("points") >= 2)), radius, size, most_latitude)
+    at = F.struct((F.col("before_m") + F.col("share") * F.col("length_m")).alias("offset_m"), (F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1"))).alias("proj_lat"), (F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))).alias("proj_lng"), "distance_m")
+    best = pairs.groupBy(*keys, "edge_id").agg(F.min_by(at, F.struct(F.round("distance_m", 6), "leg")).alias("_at"))
+    order = W.partitionBy(*keys).orderBy(F.round("_at.distance_m", 6), "edge_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "edge_id", "rank", "_at.*")
 
 
 def _on_plane() -> tuple[Column, Column, Column]:
@@ -228,15 +256,31 @@ def out_edges(edges: DataFrame) -> DataFrame:
     return edges.select("edge_id", F.col("to_node").alias("_at")).join(edges.select(F.col("edge_id").alias("next_edge"), F.col("from_node").alias("_at")), "_at").select("edge_id", "next_edge")
 
 
-def route_options(responses: DataFrame, body: str = "body") -> DataFrame:
+def route_options(responses: DataFrame, body: str = "body", default_kmh: float = 40.0) -> DataFrame:
     """Routes of saved routing answers (JSON, GeoJSON order): km, minutes of at least 1, points as (lat, lng), label.
 
-    The first route is Recommended; the fastest and the shortest of the others are named so.
+    The first route is Recommended; the fastest and the shortest of the others are named so. A route
+    without a positive duration takes that of its km at `default_kmh`; a missing distance is 0.
     """
     kind = "routes array<struct<distance double, duration double, geometry struct<coordinates array<array<double>>>>>"
     routes = responses.select("request_id", F.posexplode(F.from_json(body, kind)["routes"]).alias("option", "route"))
-    measured = routes.select("request_id", F.col("option").cast("long").alias("option"), G.half_up(F.col("route.distance") / 1000, 1).alias("km"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("route.duration") / 60 + 0.5)).alias("minutes"), F.transform("route.geometry.coordinates", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng"))).alias("points"))
+    km = G.half_up(F.coalesce("route.distance", F.lit(0.0)) / 1000, 1)
+    seconds = F.when(F.col("route.duration") > 0, F.col("route.duration")).otherwise(F.floor(km / default_kmh * 3600 + 0.5))
+    measured = routes.select("request_id", F.col("option").cast("long").alias("option"), km.alias("km"), F.greatest(F.lit(1).cast("long"), F.floor(seconds / 60 + 0.5)).alias("minutes"), F.transform("route.geometry.coordinates", lambda p: F.struct(p[1].alias("lat"), p[0].alias("lng"))).alias("points"))
     one = W.partitionBy("request_id")
     fastest, shortest = F.min_by("option", F.struct("minutes", "option")).over(one), F.min_by("option", F.struct("km", "option")).over(one)
     label = F.when(F.col("option") == 0, "Recommended").when(F.col("option") == fastest, "Fastest").when(F.col("option") == shortest, "Shortest").otherwise("Alternative")
     return measured.withColumn("label", label)
+
+
+def route_steps(responses: DataFrame, body: str = "body") -> DataFrame:
+    """Steps of all legs of each route of saved routing answers, numbered from 0 through the route, with their wording.
+
+    A step without a manoeuvre is a turn, one without a name an unnamed street; metres and seconds are whole.
+    """
+    kind = "routes array<struct<legs array<struct<steps array<struct<maneuver struct<type string, modifier string>, name string, distance double, duration double>>>>>>"
+    routes = responses.select("request_id", F.posexplode(F.from_json(body, kind)["routes"]).alias("option", "route"))
+    steps = routes.select("request_id", "option", F.posexplode(F.flatten(F.transform("route.legs", lambda leg: F.coalesce(leg["steps"], F.array())))).alias("step", "s"))
+    named, turn = F.coalesce(F.when(F.col("s.name") != "", F.col("s.name")), F.lit("Unnamed Street")), F.coalesce("s.maneuver.type", F.lit("turn"))
+    whole = [F.floor(F.coalesce(f"s.{c}", F.lit(0.0)) + 0.5) for c in ("distance", "duration")]
+    return steps.select("request_id", F.col("option").cast("long").alias("option"), F.col("step").cast("long").alias("step"), turn.alias("kind"), named.alias("street"), whole[0].alias("distance_m"), whole[1].alias("duration_s"), step_instruction(turn, F.col("s.maneuver.modifier"), F.col("s.name")).alias("instruction"))

@@ -93,3 +93,12 @@ def _nth(ids: DataFrame, n: int) -> int:
             return inside[n - before]
         before += row["n"]
     return high
+
+
+def write_dataset(windows: DataFrame, path: str, *, size: int = 20, stride: int = 5, clip: float = 50.0) -> None:
+    """The windows as Parquet under `windows`, the number of windows of each session under `sessions`, and the settings and total as JSON under `manifest`."""
+    windows.write.parquet(f"{path}/windows")
+    stored = windows.sparkSession.read.parquet(f"{path}/windows")
+    stored.groupBy(KEY).agg(F.count(F.lit(1)).alias("n_windows")).write.parquet(f"{path}/sessions")
+    facts = stored.agg(F.count(F.lit(1)).alias("total_windows"))
+    facts.select("total_windows", F.lit(clip).alias("clip_threshold"), F.lit(size).alias("window_size"), F.lit(stride).alias("stride")).write.json(f"{path}/manifest")

@@ -222,3 +222,48 @@ def replay_metrics(rows: DataFrame, moving_kmh: float = 5.0) -> DataFrame:
     """Fixes, rejected ones while moving and while standing, and the largest change of speed between rows."""
     stepped = rows.withColumn("_dv", F.abs(F.col("speed_kmh") - F.lag("speed_kmh").over(along())))
     return stepped.groupBy(KEY).agg(F.count_if(~F.col("is_dr")).alias("n_fixes"), F.count_if(F.col("is_dr") & (F.col("speed_kmh") > moving_kmh)).alias("rejected_moving"), F.count_if(F.col("is_dr") & (F.col("speed_kmh") <= moving_kmh)).alias("rejected_standing"), F.max("_dv").alias("max_delta_kmh"))
+
+
+def staleness(rows: DataFrame, *, time: str = "t_ms", stale_s: float = 10.0, speed_s: float = 2.5, source_s: float = 6.0) -> DataFrame:
+    """Age in seconds of the last fix at each row, and whether it is stale, its speed fresh and its source fresh.
+
+    The age is null before the first fix, which is then neither stale nor fresh.
+    """
+    fixed = F.last(F.when(~F.col("is_dr"), F.col(time)), ignorenulls=True).over(along())
+    aged = rows.withColumn("age_s", (F.col(time) - fixed) / 1000.0)
+    known = {"stale": F.round("age_s") > stale_s, "speed_fresh": F.col("age_s") < speed_s, "source_fresh": F.col("age_s") < source_s}
+    return aged.withColumns({n: F.coalesce(c, F.lit(False)) for n, c in known.items()})
+
+
+def imu_anomalies(rows: DataFrame, axes: list[str], *, time: str = "t_ms", repeats: int = 15, gap_ms: int = 10_000) -> DataFrame:
+    """Samples of a frozen sensor (`repeats` identical ones after the first) and of a clock that falls back or leaps, with the severity."""
+    w = along()
+    same = F.lit(True)
+    for axis in axes:
+        same = same & (F.col(axis) == F.lag(axis).over(w))
+    counted = consecutive(rows, same, "_same")
+    dt = F.col(time) - F.lag(time).over(w)
+    flagged = counted.withColumns({"frozen": F.col("_same") >= repeats, "clock": F.coalesce((dt < 0) | (dt > gap_ms), F.lit(False))})
+    return flagged.withColumn("severity", F.when(F.col("frozen"), "HIGH").when(F.col("clock"), "MEDIUM").otherwise("NONE")).drop("_same")
+
+
+def held_correction(rows: DataFrame, value: str, confidence: str, state: str, name: str, least: float = 0.05) -> DataFrame:
+    """The last correction a row has seen, null with good fixes or where that correction's confidence is too low; it never expires."""
+    last = F.last(F.when(F.col(value).isNotNull(), F.struct(F.col(value).alias("v"), F.col(confidence).alias("c"))), ignorenulls=True).over(along())
+    return rows.withColumn("_last", last).withColumn(name, F.when((F.col(state) != "GOOD") & (F.col("_last.c") >= least), F.col("_last.v"))).drop("_last")
+
+
+def compared_methods(drifts: DataFrame, base: str, sane: float = 1e6) -> DataFrame:
+    """Mean and median drift of each method (rows: method, drift_pct), and by how much its mean is below that of `base`, in percent.
+
+    Drifts that are null, no number or not below `sane` do not count.
+    """
+    by = drifts.where((F.col("drift_pct") < sane) & ~F.isnan("drift_pct")).groupBy("method").agg(F.count(F.lit(1)).alias("n_sessions"), F.avg("drift_pct").alias("mean_drift"), F.median("drift_pct").alias("median_drift"))
+    mean = F.max(F.when(F.col("method") == base, F.col("mean_drift"))).over(W.partitionBy(F.lit(1)))  # a row a method
+    return by.withColumn("gain_pct", 100 * (1 - F.try_divide(F.col("mean_drift"), mean)))
+
+
+def magnitude_statistics(rows: DataFrame, triples: dict[str, list[str]]) -> DataFrame:
+    """Least, greatest, mean and population deviation of the length of each named triple of columns, by session."""
+    lengths = {n: F.sqrt(sum((F.col(c) * F.col(c) for c in axes), F.lit(0.0))) for n, axes in triples.items()}
+    return rows.groupBy(KEY).agg(*(f(x).alias(f"{p}_{n}") for n, x in lengths.items() for p, f in (("min", F.min), ("max", F.max), ("mean", F.avg), ("std", F.stddev_pop))))

@@ -10,6 +10,7 @@ from waymark.operators.trips import unwrapped
 
 #: Logical names of the phone log and the vehicle log and the header texts that name them.
 S_COLUMNS = {"time": "TIME SINCE START", "acc_x": "ACCELEROMETER X", "acc_y": "ACCELEROMETER Y", "acc_z": "ACCELEROMETER Z", "grav_x": "GRAVITY X", "grav_y": "GRAVITY Y", "grav_z": "GRAVITY Z", "gyro_yaw": "GYROSCOPE YAW", "gyro_pitch": "GYROSCOPE PITCH", "gyro_roll": "GYROSCOPE ROLL", "orient_yaw": "ORIENTATION YAW", "orient_pitch": "ORIENTATION PITCH", "orient_roll": "ORIENTATION ROLL", "gps_lat": "LOCATION LATITUDE", "gps_lon": "LOCATION LONGITUDE", "gps_speed": "LOCATION SPEED", "gps_accuracy": "LOCATION ACCURACY", "gps_orient": "LOCATION ORIENTATION", "gps_sats": "SATELLITES IN RANGE"}
+V_COLUMNS = {"time": "Time Since Start of Day (seconds)", "lat": "Latitude (degrees)", "lon": "Longitude (degrees)", "speed": "Velocity (km/hr)", "heading": "Heading (degrees)", "height": "Height (km)", "vert_vel": "Vertical velocity (km/hr)", "sample_period": "Sample period (seconds)", "yaw_rate": "Yaw Rate (deg/sec)", "veh_speed": "Indicated Vehicle Speed (km/hr)", "long_acc": "Indicated Longitudinal Acceleration (g)", "lat_acc": "Indicated Lateral Acceleration (g)", "ws_fl": "Wheel Speed Front Left (rad/sec)", "ws_fr": "Wheel Speed Front Right (rad/sec)", "ws_rl": "Wheel Speed Rear Left (rad/sec)", "ws_rr": "Wheel Speed Rear Right (rad/sec)", "gps_sats": "No of GPS Satellites Available"}
 TELEMETRY_DEFAULTS = {"Accuracy_Meters": 15.0, "Speed_KmH": 0.0, "Heading_Deg": 0.0}
 
 
@@ -42,6 +43,36 @@ def read_phone_log(spark: SparkSession, path: str, columns: dict[str, str] | Non
     return unwrapped(rows, "time", "_t").withColumn("time", F.col("_t")).drop("_t") if "time" in rows.columns else rows
 
 
+def read_vehicle_log(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """A vehicle log; session_id is the file. Its clock, seconds of the day, is left as it is."""
+    return read_log(spark, path, columns or V_COLUMNS).withColumnRenamed("file", "session_id")
+
+
+def read_labelled(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled sessions (`*_labeled.csv` under `path`): numbers as doubles, session_id from the file's name, seq its row number."""
+    raw = spark.read.option("header", True).csv(f"{path.rstrip('/')}/*_labeled.csv")
+    name = F.regexp_extract(F.input_file_name(), r"([^/]*)_labeled\.csv$", 1)
+    rows = raw.select(*(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(c) for c in raw.columns), name.alias("session_id"), F.monotonically_increasing_id().alias("_id"))
+    return rows.withColumn("seq", F.row_number().over(W.partitionBy("session_id").orderBy("_id")).cast("long")).drop("_id")
+
+
+def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edge list of a road graph: edges (u, v, key, osmid, oneway, name), of which osmid and name are JSON, and nodes (node_id, lat, lng).
+
+    Of a list the first element counts; without osmid the id is u, v and key joined by underscores.
+    A missing name is empty, a missing oneway false; edges with an unknown end are left out.
+    """
+
+    def one(c: str) -> Column:
+        text = F.col(c).cast("string")
+        bare = F.trim(text, F.lit('"'))
+        return F.when(F.startswith(F.ltrim(text), F.lit("[")), F.get_json_object(text, "$[0]")).otherwise(bare)
+
+    a, b = (nodes.select(F.col("node_id").alias(end), F.col("lat").alias(f"lat{i}"), F.col("lng").alias(f"lng{i}")) for i, end in ((1, "u"), (2, "v")))
+    placed = edges.join(a, "u").join(b, "v")
+    return placed.select(F.coalesce(one("osmid"), F.concat_ws("_", "u", "v", "key")).alias("edge_id"), F.col("u").alias("from_node"), F.col("v").alias("to_node"), "lat1", "lng1", "lat2", "lng2", F.coalesce(F.col("oneway"), F.lit(False)).alias("oneway"), F.coalesce(one("name"), F.lit("")).alias("name"))
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
     """Telemetry CSV of any of its layouts, by header names: lines that begin with # are skipped, rows without a position dropped.
 
