@@ -128,20 +128,20 @@ def polyline_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ADAPTIVE = f"""WITH {TELEMETRY}, a AS (SELECT *, seq - coalesce(max(CASE WHEN NOT is_dr THEN seq END) OVER w, 0) AS dr_step, lag(speed_kmh) OVER w AS was, lag(is_dr) OVER w AS dr0, greatest(0.1, (t_ms - lag(t_ms) OVER w) / 1000.0) AS dt, accuracy_m - 30 AS acc FROM tel WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
-b AS (SELECT *, CASE WHEN is_dr THEN greatest(6, least(20, greatest(CASE WHEN acc > 0 THEN acc ELSE 10 END, 8 + least(8, 0.4 * dr_step)))) WHEN acc > 1 THEN greatest(2, least(acc, 8)) ELSE 4.07 END AS sigma, CASE WHEN was IS NOT NULL THEN greatest(5, least(25, 5 + 0.25 * greatest(speed_kmh, was) / 3.6 * dt / 1000 + CASE WHEN is_dr OR dr0 THEN 4 ELSE 0 END)) END AS beta FROM a)
-SELECT session_id, seq, round(sigma, 9) AS sigma, round(beta, 9) AS beta, round(greatest(-100, -ln(sqrt(2 * pi()) * sigma) - 0.5 * pow(k / sigma, 2)), 9) AS emission, round(CASE WHEN beta IS NULL THEN NULL WHEN event_type = 'view' THEN -60 ELSE greatest(-100, -ln(beta) - abs(k * 9 - speed_kmh) / beta) END, 9) AS transition FROM b"""
+b AS (SELECT *, CASE WHEN is_dr THEN greatest(6, least(20, greatest(CASE WHEN acc > 0 THEN acc ELSE 10 END, 8 + least(8, 0.4 * dr_step)))) WHEN acc > 1 THEN greatest(2, least(acc, 8)) ELSE 4.07 END AS sigma, CASE WHEN was IS NOT NULL THEN greatest(5, least(25, 5 + 0.25 * greatest(speed_kmh, was) / 3.6 * (dt / (1000 * pi())) + CASE WHEN is_dr OR dr0 THEN 4 ELSE 0 END)) END AS beta FROM a)
+SELECT session_id, seq, round(sigma, 6) AS sigma, round(beta, 6) AS beta, round(greatest(-100, -ln(sqrt(2 * pi()) * sigma) - 0.5 * pow(k / sigma, 2)), 6) AS emission, round(CASE WHEN beta IS NULL THEN NULL WHEN event_type = 'view' THEN -60 ELSE greatest(-100, -ln(beta) - abs(k * 9 - speed_kmh) / beta) END, 6) AS transition FROM b"""
 
 
 @query(ADAPTIVE)
 def adaptive_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Deviation, scale and log weights of the adaptive matching model; one step of the clock stands for a thousandth."""
+    """Deviation, scale and log weights of the adaptive matching model; the clock is slowed by an irrational factor, so that no value lies between two roundings."""
     w = T.along()
     rows = T.steps_since_anchor(telemetry(spark, sf_dir)).withColumns({"was": F.lag("speed_kmh").over(w), "dr0": F.lag("is_dr").over(w), "dt": F.greatest(F.lit(0.1), (F.col("t_ms") - F.lag("t_ms").over(w)) / 1000.0)})
     sigma = L.adaptive_sigma(F.col("accuracy_m") - 30, F.col("is_dr"), F.col("dr_step"))
-    beta = F.when(F.col("was").isNotNull(), L.dynamic_beta(F.greatest("speed_kmh", "was") / 3.6, F.col("dt") / 1000, F.col("is_dr") | F.col("dr0")))
+    beta = F.when(F.col("was").isNotNull(), L.dynamic_beta(F.greatest("speed_kmh", "was") / 3.6, F.col("dt") / (1000 * F.pi()), F.col("is_dr") | F.col("dr0")))
     route = F.when(F.col("event_type") != "view", F.col("k") * 9)
     scaled = rows.withColumns({"sigma": sigma, "beta": beta})
-    return rounded(scaled.select("session_id", "seq", "sigma", "beta", L.adaptive_emission(F.col("k"), F.col("sigma")).alias("emission"), F.when(F.col("beta").isNotNull(), L.dynamic_transition(route, F.col("speed_kmh"), F.col("beta"))).alias("transition")), 9)
+    return rounded(scaled.select("session_id", "seq", "sigma", "beta", L.adaptive_emission(F.col("k"), F.col("sigma")).alias("emission"), F.when(F.col("beta").isNotNull(), L.dynamic_transition(route, F.col("speed_kmh"), F.col("beta"))).alias("transition")), 6)
 
 
 # --- exports ---------------------------------------------------------------------------------------
