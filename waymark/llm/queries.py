@@ -12,6 +12,7 @@ from waymark.llm.decontamination import contamination
 from waymark.llm.html_extract import extract
 from waymark.llm.language_id import identify, in_fold
 from waymark.llm.lm_scoring import score_documents
+from waymark.llm.merkle import manifest_digest
 from waymark.llm.near_dedup import near_duplicates
 from waymark.llm.packing import pack
 from waymark.llm.sharding import shard_documents
@@ -63,6 +64,18 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents"))
+
+
+def crc32_sql(number: str) -> str:
+    """SQL for the unsigned crc32 of a number's decimal digits, bit by bit."""
+    digits = f"CAST({number} AS VARCHAR)"
+    bits = "list_reduce(list_prepend(xor(c, b), range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)"
+    values = f"list_transform(range(1, length({digits}) + 1), lambda i: CAST(ascii(substr({digits}, i, 1)) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {values}), lambda c, b: {bits}), 4294967295)"
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_recompression_dedup": op2_recompression_dedup,
@@ -74,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_cut_extraction": op8_min_cut_extraction,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 ORACLES: dict[str, str] = {
@@ -121,4 +135,23 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
   FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10""",
+    "op12_merkle_manifest": f"""
+WITH RECURSIVE fields AS (SELECT row_number() OVER () AS r, doc_id, source,
+  coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
+  coalesce(strlen(text) || ':' || text, '-') AS body, coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-') AS lowered,
+  coalesce({crc32_sql('doc_id')} % 5 = 0, false) AS hit FROM documents),
+leaves AS (SELECT r, doc_id, source, sha256(head || body) AS leaf, CASE WHEN hit THEN sha256(head || lowered) ELSE sha256(head || body) END AS used FROM fields),
+placed AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS place, count(*) OVER (PARTITION BY source) AS n FROM leaves),
+up(source, level, place, n, hash, preimage) AS (SELECT source, 0, place, n, leaf, '' FROM placed
+  UNION ALL SELECT source, level + 1, place // 16, (any_value(n) + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)), string_agg(hash, '' ORDER BY place) FROM up WHERE n > 1 GROUP BY source, level, place // 16),
+tops AS (SELECT source, hash, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS n FROM up WHERE n = 1),
+roof(level, place, n, hash, preimage) AS (SELECT 0, place, n, hash, '' FROM tops
+  UNION ALL SELECT level + 1, place // 16, (any_value(n) + 15) // 16, sha256(string_agg(hash, '' ORDER BY place)), string_agg(hash, '' ORDER BY place) FROM roof WHERE n > 1 GROUP BY level, place // 16),
+walk(r, doc_id, source, leaf, level, place, n, hash, siblings) AS (SELECT r, doc_id, source, leaf, 0, place, n, used, '' FROM placed
+  UNION ALL SELECT w.r, w.doc_id, w.source, w.leaf, w.level + 1, w.place // 16, u.n, sha256(substr(u.preimage, 1, 64 * (w.place % 16)) || w.hash || substr(u.preimage, 64 * (w.place % 16) + 65)), w.siblings || substr(u.preimage, 1, 64 * (w.place % 16)) || substr(u.preimage, 64 * (w.place % 16) + 65)
+  FROM walk w JOIN up u ON w.source IS NOT DISTINCT FROM u.source AND u.level = w.level + 1 AND u.place = w.place // 16 WHERE w.n > 1),
+climb(r, doc_id, leaf, subroot, level, place, n, hash, siblings) AS (SELECT w.r, w.doc_id, w.leaf, t.hash, 0, t.place, t.n, w.hash, w.siblings FROM walk w JOIN tops t ON w.source IS NOT DISTINCT FROM t.source WHERE w.n = 1
+  UNION ALL SELECT c.r, c.doc_id, c.leaf, c.subroot, c.level + 1, c.place // 16, u.n, sha256(substr(u.preimage, 1, 64 * (c.place % 16)) || c.hash || substr(u.preimage, 64 * (c.place % 16) + 65)), c.siblings || substr(u.preimage, 1, 64 * (c.place % 16)) || substr(u.preimage, 64 * (c.place % 16) + 65)
+  FROM climb c JOIN roof u ON u.level = c.level + 1 AND u.place = c.place // 16 WHERE c.n > 1)
+SELECT doc_id, leaf, subroot, (SELECT hash FROM roof WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, c.hash AS folded_root, c.hash = (SELECT hash FROM roof WHERE n = 1) AS verified FROM climb c WHERE c.n = 1""",
 }
