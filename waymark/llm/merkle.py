@@ -14,6 +14,7 @@ next slot, up to the root.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,19 +77,19 @@ def levels(leaves: DataFrame) -> list[DataFrame]:
 
 
 def descended(up: list[DataFrame], above: DataFrame) -> DataFrame:
-    """The lowest level with `path`, an array of (preimage, slot) from its parent to the root, and `top`, its tree's digest; `above` has tree and the path of each tree's own digest."""
+    """The lowest level, all its columns, with `path`, an array of (preimage, slot) from its parent to the root, and `top`, its tree's digest; `above` has tree and the path of each tree's own digest."""
     tops = above.select(F.col("tree").alias("_t"), F.col("path").alias("_path"))
 
     def crowned(level: DataFrame) -> DataFrame:
         one = level.where("size = 1")
-        return one.join(tops, F.col("tree").eqNullSafe(F.col("_t"))).select("tree", "place", "hash", "preimage", F.col("_path").alias("path"), F.col("hash").alias("top"))
+        return one.join(tops, F.col("tree").eqNullSafe(F.col("_t"))).select(*level.columns, F.col("_path").alias("path"), F.col("hash").alias("top"))
 
     found = crowned(up[-1])
     for level in up[-2::-1]:
         parents = found.select(F.col("tree").alias("_t"), F.col("place").alias("_q"), F.col("preimage").alias("_preimage"), F.col("path").alias("_path"), "top")
         children = level.where("size > 1").join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.expr(f"place div {FAN}") == F.col("_q")))
         step = F.struct(F.col("_preimage").alias("preimage"), (F.col("place") % FAN).cast("int").alias("slot"))
-        below = children.select("tree", "place", "hash", "preimage", F.concat(F.array(step), "_path").alias("path"), "top")
+        below = children.select(*level.columns, F.concat(F.array(step), "_path").alias("path"), "top")
         found = below.unionByName(crowned(level))
     return found
 
@@ -110,20 +111,16 @@ class Manifest:
         return found
 
     def paths(self) -> DataFrame:
-        """tree (source), place, hash (leaf), top (subroot) and path to the root of each leaf."""
-        source = self.dataset[0].select("place", F.col("source").alias("_source"))
+        """The leaves, all their columns (source is tree), with top (subroot) and path to the root."""
         down = descended(self.dataset, self.dataset[-1].where("size = 1").selectExpr("tree", f"{NO_PATH} AS path"))
-        above = down.select("place", "path").join(source, "place").select(F.col("_source").alias("tree"), "path")
-        return descended(self.sources, above).drop("preimage")
+        return descended(self.sources, down.select(F.col("source").alias("tree"), "path")).drop("preimage")
 
 
 def build(leaves: DataFrame) -> Manifest:
-    """The manifest of (source, place, size, hash): a tree for each source, one over all of them, in order of source (null first, then by bytes)."""
-    sources = levels(leaves.select(F.col("source").alias("tree"), "place", "size", "hash"))
-    tops = sources[0].where("size = 1")
-    for level in sources[1:]:
-        tops = tops.unionByName(level.where("size = 1"))
-    ordered = written(numbered(tops.select(F.col("tree").alias("source"), "hash"), ["source"]).withColumnRenamed(PLACE, "place"))
+    """The manifest of (source, place, size, hash) and any other columns: a tree for each source, one over all of them, in order of source (null first, then by bytes)."""
+    sources = levels(leaves.withColumnRenamed("source", "tree"))
+    tops = [level.where("size = 1").select(F.col("tree").alias("source"), "hash") for level in sources]
+    ordered = written(numbered(reduce(DataFrame.unionByName, tops), ["source"]).withColumnRenamed(PLACE, "place"))
     n = ordered.count()
     dataset = levels(ordered.select(F.lit(0).alias("tree"), "place", F.lit(n).cast("long").alias("size"), "hash", "source"))
     root = dataset[-1].first()
@@ -144,9 +141,6 @@ def manifest_digest(docs: DataFrame) -> DataFrame:
     leaves = written(docs.select("doc_id", "source", leaf_of(values).alias("hash"), tampered.alias("_tampered")))
     rows = written(placed(leaves, "source", ["doc_id", "hash"]).withColumnsRenamed({PLACE: "place", SIZE: "size"}))
     manifest = build(rows)
-    paths = manifest.paths()
-    about = rows.select(F.col("source").alias("_source"), F.col("place").alias("_q"), "doc_id", "_tampered")
-    joined = about.join(paths, F.col("_source").eqNullSafe(F.col("tree")) & (F.col("_q") == F.col("place")))
     root = F.lit(manifest.root).cast("string")
-    found = joined.select("doc_id", F.col("hash").alias("leaf"), F.col("top").alias("subroot"), root.alias("root"), proof_of(F.col("path")).alias("proof_sha256"), folded(F.col("path"), F.coalesce("_tampered", "hash")).alias("folded_root"))
+    found = manifest.paths().select("doc_id", F.col("hash").alias("leaf"), F.col("top").alias("subroot"), root.alias("root"), proof_of(F.col("path")).alias("proof_sha256"), folded(F.col("path"), F.coalesce("_tampered", "hash")).alias("folded_root"))
     return found.withColumn("verified", F.col("folded_root") == F.col("root"))
