@@ -15,6 +15,7 @@ from waymark.llm.lm_scoring import score_documents
 from waymark.llm.merkle import manifest_digest
 from waymark.llm.near_dedup import near_duplicates
 from waymark.llm.packing import pack
+from waymark.llm.prefix_trie import prefix_trie
 from waymark.llm.sharding import shard_documents
 from waymark.llm.substring_dedup import dedup_digest
 from waymark.llm.topk_search import exact_topk
@@ -68,6 +69,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digest(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def crc32_sql(number: str) -> str:
     """SQL for the unsigned crc32 of a number's decimal digits, bit by bit."""
     digits = f"CAST({number} AS VARCHAR)"
@@ -88,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -154,4 +160,15 @@ climb(r, doc_id, leaf, subroot, level, place, n, hash, siblings) AS (SELECT w.r,
   UNION ALL SELECT c.r, c.doc_id, c.leaf, c.subroot, c.level + 1, c.place // 16, u.n, sha256(substr(u.preimage, 1, 64 * (c.place % 16)) || c.hash || substr(u.preimage, 64 * (c.place % 16) + 65)), c.siblings || substr(u.preimage, 1, 64 * (c.place % 16)) || substr(u.preimage, 64 * (c.place % 16) + 65)
   FROM climb c JOIN roof u ON u.level = c.level + 1 AND u.place = c.place // 16 WHERE c.n > 1)
 SELECT doc_id, leaf, subroot, (SELECT hash FROM roof WHERE n = 1) AS root, sha256(siblings) AS proof_sha256, c.hash AS folded_root, c.hash = (SELECT hash FROM roof WHERE n = 1) AS verified FROM climb c WHERE c.n = 1""",
+    "op13_conversation_trie": f"""
+WITH turns AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS nth FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, any_value({crc32_sql("conv_id")}) % 6 AS h, list(struct_pack(r := role, t := text) ORDER BY nth) AS ts FROM turns GROUP BY conv_id),
+whole AS (SELECT o.conv_id, list_concat(coalesce(b.ts[1 : o.h], []), o.ts[o.h + 1 :]) AS ts FROM own o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),
+prefixes AS (SELECT conv_id, d AS depth, ts[1 : d] AS p, ts[1 : d - 1] AS up, len(ts) = d AS ends FROM whole, unnest(range(0, len(ts) + 1)) AS t(d)),
+nodes AS (SELECT p, any_value(depth) AS depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM prefixes GROUP BY p),
+children AS (SELECT up, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY up),
+known AS (SELECT n.*, coalesce(n_children, 0) AS n_children, CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(p[depth].t) END AS saved FROM nodes n LEFT JOIN children c ON n.p = c.up),
+below AS (SELECT p[1 : d] AS top, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM known, unnest(range(0, depth + 1)) AS t(d) GROUP BY top)
+SELECT k.conv_id, CAST(k.depth AS BIGINT) AS depth, u.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(k.ids) AS ends_sha256
+FROM known k JOIN below b ON b.top = k.p LEFT JOIN nodes u ON k.depth > 0 AND u.p = k.up""",
 }
