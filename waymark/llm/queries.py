@@ -15,6 +15,7 @@ from waymark.llm.lm_scoring import score_documents
 from waymark.llm.merkle import manifest_digest
 from waymark.llm.near_dedup import near_duplicates
 from waymark.llm.packing import pack
+from waymark.llm.prefix_doubling import doubling_digest
 from waymark.llm.prefix_trie import prefix_trie
 from waymark.llm.sharding import shard_documents
 from waymark.llm.substring_dedup import dedup_digest
@@ -65,6 +66,10 @@ def op10_feistel_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+def op11_prefix_doubling_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doubling_digest(table(spark, sf_dir, "documents"), length=400)
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_digest(table(spark, sf_dir, "documents"))
 
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_min_cut_extraction": op8_min_cut_extraction,
     "op9_superminhash_dedup": op9_superminhash_dedup,
     "op10_feistel_sharding": op10_feistel_sharding,
+    "op11_prefix_doubling_dedup": op11_prefix_doubling_dedup,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_conversation_trie": op13_conversation_trie,
 }
