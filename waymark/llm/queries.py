@@ -147,6 +147,18 @@ scored AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
   FROM usable q JOIN usable c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM scored QUALIFY rank <= 10""",
+    "op11_prefix_doubling_dedup": """
+WITH bytes AS (SELECT row_number() OVER () AS r, doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+sized AS (SELECT r, doc_id, h, strlen(h) // 2 AS n FROM bytes),
+windows AS (SELECT r, i, md5(substr(h, 2 * i + 1, 800)) AS s FROM sized, unnest(range(0, n - 399)) AS t(i) WHERE n >= 400),
+repeated AS (SELECT r, i FROM windows WHERE s IN (SELECT s FROM windows GROUP BY s HAVING count(*) > 1)),
+marked AS (SELECT r, i, coalesce(i - lag(i) OVER (PARTITION BY r ORDER BY i) > 400, true) AS new FROM repeated),
+numbered AS (SELECT r, i, sum(CAST(new AS INTEGER)) OVER (PARTITION BY r ORDER BY i) AS span FROM marked),
+spans AS (SELECT r, span, min(i) AS a, max(i) + 400 AS b FROM numbered GROUP BY r, span),
+gone AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM spans GROUP BY r)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN starts IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda k: substr(h, CASE WHEN k = 0 THEN 1 ELSE 2 * ends[k] + 1 END, CASE WHEN k = len(starts) THEN 2 * n ELSE 2 * starts[k + 1] END - CASE WHEN k = 0 THEN 0 ELSE 2 * ends[k] END)), '') END)) AS kept_sha256
+FROM sized LEFT JOIN gone USING (r)""",
     "op12_merkle_manifest": f"""
 WITH RECURSIVE fields AS (SELECT row_number() OVER () AS r, doc_id, source,
   coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') AS head,
