@@ -84,23 +84,29 @@ def bucket(degrees: Column, size: float) -> Column:
     return F.floor(degrees / F.lit(size))
 
 
-def with_buckets(segments: DataFrame, size: float, margin_lat: float = 0.0, margin_lng: float = 0.0) -> DataFrame:
-    """Each segment once for each bucket its bounding box, widened by the margins, touches."""
-    low_lat, high_lat = F.least("lat1", "lat2") - margin_lat, F.greatest("lat1", "lat2") + margin_lat
-    low_lng, high_lng = F.least("lng1", "lng2") - margin_lng, F.greatest("lng1", "lng2") + margin_lng
-    rows = segments.withColumn("_row", F.explode(F.sequence(bucket(low_lat, size), bucket(high_lat, size))))
-    return rows.withColumn("_col", F.explode(F.sequence(bucket(low_lng, size), bucket(high_lng, size))))
+def with_buckets(segments: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """Each segment once for each bucket its bounding box touches, widened by `margin` degrees of latitude each way and as many metres east and west.
+
+    A metre has more degrees of longitude the nearer to a pole, so the margin is that of the
+    segment's own end farther from the equator. Columns go round at 180 degrees.
+    """
+    rows_of = [bucket(F.least("lat1", "lat2") - margin, size), bucket(F.greatest("lat1", "lat2") + margin, size)]
+    wide = F.least(F.lit(180.0), margin / F.cos(F.radians(F.least(F.lit(89.999), F.greatest(F.abs("lat1"), F.abs("lat2")) + margin))))
+    low, high = bucket(F.least("lng1", "lng2") - wide, size), bucket(F.greatest("lng1", "lng2") + wide, size)
+    every = round(360 / size)
+    filed = segments.withColumn("_row", F.explode(F.sequence(*rows_of)))
+    return filed.withColumn("_col", F.explode(F.sequence(low, F.least(high, low + every - 1)))).withColumn("_col", F.pmod("_col", F.lit(every)))
 
 
-def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str], radius: float = 50.0, k: int = 5, size: float = 0.001, most_latitude: float = 70.0, penalty: Column | None = None) -> DataFrame:
+def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str], radius: float = 50.0, k: int = 5, size: float = 0.001, penalty: Column | None = None) -> DataFrame:
     """The `k` nearest segments within `radius` metres of each point; of those equally near to a micrometre the smaller edge_id first.
 
     Segments are filed under all buckets within the radius, so a point looks into its own bucket
-    only. The margin holds up to `most_latitude` degrees. With a `penalty` (of columns of both
-    sides), it is added to the distance before ranking, and pairs where it is null do not count. Long lists of one bucket are split by the
-    skew handling of the join.
+    only. With a `penalty` (of columns of both sides), it is added to the distance before ranking,
+    and pairs where it is null do not count. Long lists of one bucket are split by the skew handling
+    of the join.
     """
-    exact = _pairs_within(points, segments, radius, size, most_latitude)
+    exact = _pairs_within(points, segments, radius, size)
     cost = F.col("distance_m")
     if penalty is not None:
         exact, cost = exact.withColumn("_penalty", penalty).where("_penalty IS NOT NULL"), cost + F.col("_penalty")
@@ -108,12 +114,11 @@ def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str],
     return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_east", "_penalty")
 
 
-def _pairs_within(points: DataFrame, segments: DataFrame, radius: float, size: float, most_latitude: float) -> DataFrame:
+def _pairs_within(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
     """Pairs of point and segment within `radius` metres, with share, distance_m and length_m."""
-    margin = radius / METRES_A_DEGREE
-    filed = with_buckets(segments, size, margin, margin / cos(radians(most_latitude)))
+    filed = with_buckets(segments, size, radius / METRES_A_DEGREE)
     # the only trigonometry of a pair, once a point: metres of a degree of longitude
-    placed = points.withColumns({"_row": bucket(F.col("lat"), size), "_col": bucket(F.col("lng"), size), "_east": METRES_A_DEGREE * F.cos(F.radians("lat"))})
+    placed = points.withColumns({"_row": bucket(F.col("lat"), size), "_col": F.pmod(bucket(F.col("lng"), size), F.lit(round(360 / size))), "_east": METRES_A_DEGREE * F.cos(F.radians("lat"))})
     near = placed.join(filed, ["_row", "_col"])
     share, distance, length = _on_plane()
     return near.withColumns({"share": share, "distance_m": distance, "length_m": length}).where(F.col("distance_m") <= radius)
@@ -128,22 +133,27 @@ def polyline_segments(edges: DataFrame) -> DataFrame:
     return placed.withColumn("before_m", before)
 
 
-def polyline_candidates(points: DataFrame, edges: DataFrame, *, keys: list[str], radius: float = 60.0, k: int = 8, size: float = 0.001, most_latitude: float = 70.0) -> DataFrame:
+def polyline_candidates(points: DataFrame, edges: DataFrame, *, keys: list[str], radius: float = 60.0, k: int = 8, size: float = 0.001) -> DataFrame:
     """The `k` nearest edges (edge_id, points: array of (lat, lng)) within `radius` metres of each point.
 
     An edge counts by its nearest segment, of equally near ones the first; `offset_m` is the way
     along the edge to the projection. Edges of fewer than two points have no segments.
     """
-    pairs = _pairs_within(points, polyline_segments(edges.where(F.size("points") >= 2)), radius, size, most_latitude)
+    pairs = _pairs_within(points, polyline_segments(edges.where(F.size("points") >= 2)), radius, size)
     at = F.struct((F.col("before_m") + F.col("share") * F.col("length_m")).alias("offset_m"), (F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1"))).alias("proj_lat"), (F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))).alias("proj_lng"), "distance_m")
     best = pairs.groupBy(*keys, "edge_id").agg(F.min_by(at, F.struct(F.round("distance_m", 6), "leg")).alias("_at"))
     order = W.partitionBy(*keys).orderBy(F.round("_at.distance_m", 6), "edge_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "edge_id", "rank", "_at.*")
 
 
+def _short_way(degrees: Column) -> Column:
+    """A difference of longitudes, across the 180th degree where that is shorter."""
+    return F.when(degrees > 180, degrees - 360).when(degrees < -180, degrees + 360).otherwise(degrees)
+
+
 def _on_plane() -> tuple[Column, Column, Column]:
     """(share, distance, length) of a pair in metres, on the plane that touches at the point."""
-    (ax, ay), (bx, by) = (((F.col(f"lng{i}") - F.col("lng")) * F.col("_east"), (F.col(f"lat{i}") - F.col("lat")) * METRES_A_DEGREE) for i in (1, 2))
+    (ax, ay), (bx, by) = ((_short_way(F.col(f"lng{i}") - F.col("lng")) * F.col("_east"), (F.col(f"lat{i}") - F.col("lat")) * METRES_A_DEGREE) for i in (1, 2))
     zero = F.lit(0.0)
     share = G.along_segment(zero, zero, ax, ay, bx, by, 1e-12)
     x, y = ax + share * (bx - ax), ay + share * (by - ay)

@@ -14,7 +14,7 @@ from waymark.operators import persistence as P
 from waymark.operators import roads as R
 from waymark.operators import training as D
 from waymark.operators import trips as T
-from waymark.plans.adapter import LAT0, LNG0, ROADS, SIDE, TELEMETRY, road_nodes, road_segments, table, telemetry
+from waymark.plans.adapter import LAT0, LNG0, ROADS, SIDE, TELEMETRY, both_ways, road_nodes, road_segments, table, telemetry
 from waymark.plans.trip_queries import BASE, hav, rounded
 from waymark.sources.files import overpass_nodes, overpass_ways, pair_sessions
 
@@ -120,52 +120,56 @@ def session_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- roads -----------------------------------------------------------------------------------------
 
 
-def _answers(spark: SparkSession, geometry: bool) -> DataFrame:
-    """One saved answer for each row of the lattice: a way along it and, every fifth row, one across."""
-    nodes = road_nodes(spark)
+#: Rows of the lattice in one saved answer, and of a way across.
+BLOCK = 40
+
+
+def _answers(spark: SparkSession, sf_dir: str, geometry: bool) -> DataFrame:
+    """A saved answer for each 40 rows of the lattice: a way along each row and, every fifth column, one across."""
+    nodes = road_nodes(spark, sf_dir).withColumn("part", F.expr(f"`row` div {BLOCK}"))
     point = F.struct(F.col("lat").alias("lat"), F.col("lng").alias("lon"))
 
-    def ways(key: str, at: str, offset: int) -> DataFrame:
-        line = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(at, "node_id", point.alias("g")))).alias("p"))
-        return line.select(F.lit("way").alias("type"), (F.col(key) + offset).alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.transform("p", lambda x: x["node_id"]).alias("nodes"), F.transform("p", lambda x: x["g"]).alias("geometry"), F.create_map(F.lit("highway"), F.lit("residential"), F.lit("oneway"), F.when(F.col(key) % 2 == 0, "yes").otherwise("no")).alias("tags"))
+    def ways(keys: list[str], at: str, number: Column, oneway: str) -> DataFrame:
+        line = nodes.groupBy("part", *keys).agg(F.array_sort(F.collect_list(F.struct(at, "node_id", point.alias("g")))).alias("p"))
+        return line.select("part", F.lit("way").alias("type"), number.alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), F.transform("p", lambda x: x["node_id"]).alias("nodes"), F.transform("p", lambda x: x["g"]).alias("geometry"), F.create_map(F.lit("highway"), F.lit("residential"), F.lit("oneway"), F.when(F.col(oneway) % 2 == 0, "yes").otherwise("no")).alias("tags"))
 
-    every = ways("row", "col", 0).union(ways("col", "row", 1000).where("id % 5 = 0"))
+    every = ways(["row"], "col", F.col("row"), "row").union(ways(["col"], "row", -(1 + F.col("col") + SIDE * F.col("part")), "col").where(f"(-id - 1) % {SIDE} % 5 = 0"))
     if not geometry:
         empty = every.schema
-        single = nodes.select(F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", F.col("lng").alias("lon"), F.lit(None).cast(empty["nodes"].dataType).alias("nodes"), F.lit(None).cast(empty["geometry"].dataType).alias("geometry"), F.lit(None).cast(empty["tags"].dataType).alias("tags"))
+        single = nodes.select("part", F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", F.col("lng").alias("lon"), F.lit(None).cast(empty["nodes"].dataType).alias("nodes"), F.lit(None).cast(empty["geometry"].dataType).alias("geometry"), F.lit(None).cast(empty["tags"].dataType).alias("tags"))
         every = every.union(single)
-    return every.groupBy((F.col("id") % 16).alias("part")).agg(F.collect_list(F.struct(*every.columns)).alias("elements")).select(F.to_json(F.struct("elements")).alias("body"))
+    return every.groupBy("part").agg(F.collect_list(F.struct(*every.columns[1:])).alias("elements")).select(F.to_json(F.struct("elements")).alias("body"))
 
 
-WAYS = f"""{ROADS}, wp AS (SELECT CAST("row" AS BIGINT) AS way_id, "row" % 2 = 0 AS oneway, col AS pos, node_id, lat, lng FROM nodes UNION ALL SELECT CAST(col + 1000 AS BIGINT), col % 2 = 0, "row", node_id, lat, lng FROM nodes WHERE (col + 1000) % 5 = 0)"""
-CUTS = f"""{WAYS}, u AS (SELECT node_id, count(*) AS uses FROM wp GROUP BY node_id), c AS (SELECT wp.*, uses >= 2 OR pos = 0 OR pos = {SIDE - 1} AS is_cut FROM wp JOIN u USING (node_id)), k AS (SELECT *, lead(pos) OVER (PARTITION BY way_id ORDER BY pos) AS next_at, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS next_node FROM c WHERE is_cut),
+WAYS = f"""{ROADS}, wp AS (SELECT CAST("row" AS BIGINT) AS way_id, "row" % 2 = 0 AS oneway, col AS pos, node_id, lat, lng FROM nodes UNION ALL SELECT -(1 + col + {SIDE} * ("row" // {BLOCK})), col % 2 = 0, "row" % {BLOCK}, node_id, lat, lng FROM nodes WHERE col % 5 = 0)"""
+CUTS = f"""{WAYS}, u AS (SELECT node_id, count(*) AS uses FROM wp GROUP BY node_id), c AS (SELECT wp.*, uses >= 2 OR pos = 0 OR pos = max(pos) OVER (PARTITION BY way_id) AS is_cut FROM wp JOIN u USING (node_id)), k AS (SELECT *, lead(pos) OVER (PARTITION BY way_id ORDER BY pos) AS next_at, lead(node_id) OVER (PARTITION BY way_id ORDER BY pos) AS next_node FROM c WHERE is_cut),
 seg AS (SELECT wp.*, lead(lat) OVER w AS lat0, lead(lng) OVER w AS lng0 FROM wp WINDOW w AS (PARTITION BY way_id ORDER BY pos)), len AS (SELECT k.way_id, k.oneway, k.node_id AS a, k.next_node AS b, k.next_at - k.pos + 1 AS n_points, sum({hav("seg.lat", "seg.lng", "seg.lat0", "seg.lng0")}) AS length_m FROM k JOIN seg ON seg.way_id = k.way_id AND seg.pos >= k.pos AND seg.pos < k.next_at WHERE k.next_at IS NOT NULL GROUP BY ALL)"""
 
 
 @query(f"""WITH {CUTS} SELECT way_id || '_' || a || '_' || b AS edge_id, a AS from_node, b AS to_node, CAST(n_points AS BIGINT) AS n_points, round(length_m, 4) AS length_m FROM len UNION ALL SELECT way_id || '_' || a || '_' || b || '_rev', b, a, CAST(n_points AS BIGINT), round(length_m, 4) FROM len WHERE NOT oneway""".replace("GROUP BY ALL", "GROUP BY k.way_id, k.oneway, k.node_id, k.next_node, k.next_at, k.pos"))
 def junction_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.junction_edges(overpass_ways(_answers(spark, True))).select("edge_id", "from_node", "to_node", "n_points", "length_m"), 4)
+    return rounded(R.junction_edges(overpass_ways(_answers(spark, sf_dir, True))).select("edge_id", "from_node", "to_node", "n_points", "length_m"), 4)
 
 
 @query(f"""WITH {WAYS}, s AS (SELECT *, lead(lat) OVER w AS lat0, lead(lng) OVER w AS lng0 FROM wp WINDOW w AS (PARTITION BY way_id ORDER BY pos)) SELECT way_id, CAST(pos AS BIGINT) AS at, round({hav("lat", "lng", "lat0", "lng0")}, 4) AS length_m FROM s WHERE lat0 IS NOT NULL""")
 def way_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ways, nodes = overpass_nodes(_answers(spark, False))
+    ways, nodes = overpass_nodes(_answers(spark, sf_dir, False))
     return rounded(R.way_segments(ways, nodes, ["footway", "steps", "pedestrian", "path", "cycleway"]).select("way_id", "at", "length_m"), 4)
 
 
 @query(f"""WITH {ROADS} SELECT node_id, count(*) AS degree FROM (SELECT from_node AS node_id FROM segments UNION ALL SELECT to_node FROM segments) GROUP BY node_id""")
 def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.node_degrees(road_segments(spark))
+    return R.node_degrees(road_segments(spark, sf_dir))
 
 
 @query(f"""WITH RECURSIVE {ROADS}, e AS (SELECT from_node AS a, to_node AS b FROM segments WHERE road_type = 'primary' UNION ALL SELECT to_node, from_node FROM segments WHERE road_type = 'primary'), reach(n, m) AS (SELECT DISTINCT a, a FROM e UNION SELECT n, b FROM reach JOIN e ON m = a) SELECT n AS node_id, min(m) AS component FROM reach GROUP BY n""")
 def road_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.components(road_segments(spark).where("road_type = 'primary'"))
+    return R.components(road_segments(spark, sf_dir).where("road_type = 'primary'"))
 
 
 @query(f"""WITH {ROADS} SELECT edge_id, CASE WHEN from_node % 2 = 0 THEN 1 ELSE 2 END AS cell_order FROM segments""".replace("1 ELSE 2 END", "CAST(1 AS BIGINT) ELSE CAST(2 AS BIGINT) END"))
 def merged_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = road_segments(spark).select("edge_id", "from_node")
+    s = road_segments(spark, sf_dir).select("edge_id", "from_node")
     cells = [s.where("from_node % 2 = 0").withColumn("cell_order", F.lit(1).cast("long")), s.withColumn("cell_order", F.lit(2).cast("long"))]
     return R.merged_edges(cells).select("edge_id", "cell_order")
 
@@ -182,14 +186,14 @@ NEAR = f"WITH {TELEMETRY}, {ROADS}, d AS (SELECT session_id, seq, lat, lng, accu
 
 @query(NEAR + """ SELECT session_id, seq, edge_id, CAST(row_number() OVER w AS BIGINT) AS rank, round(distance, 4) AS distance_m, round(-ln(sqrt(2 * pi()) * s) - 0.5 * pow(distance / s, 2), 4) AS emission FROM (SELECT *, CASE WHEN accuracy_m > 1 THEN greatest(2, least(accuracy_m, 30)) ELSE 4.07 END AS s FROM d WHERE distance <= 50) WINDOW w AS (PARTITION BY session_id, seq ORDER BY round(distance, 6), edge_id) QUALIFY row_number() OVER w <= 5""")
 def edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = R.edge_candidates(telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng", "accuracy_m"), road_segments(spark), keys=["session_id", "seq"])
+    found = R.edge_candidates(telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng", "accuracy_m"), road_segments(spark, sf_dir), keys=["session_id", "seq"])
     return rounded(found.select("session_id", "seq", "edge_id", "rank", "distance_m", L.emission(F.col("distance_m"), F.col("accuracy_m")).alias("emission")), 4)
 
 
 @query(NEAR + """, b AS (SELECT session_id, seq, min_by(edge_id, struct_pack(d := round(distance, 6), e := edge_id)) AS edge_id, min(distance) AS distance FROM d WHERE distance <= 20 GROUP BY session_id, seq) SELECT tel.session_id, tel.seq, edge_id, round(distance, 4) AS distance_m FROM tel LEFT JOIN b ON tel.session_id = b.session_id AND tel.seq = b.seq""")
 def snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng", "accuracy_m")
-    return rounded(R.snapped(points, road_segments(spark), keys=["session_id", "seq"]).select("session_id", "seq", "edge_id", "distance_m"), 4)
+    return rounded(R.snapped(points, road_segments(spark, sf_dir), keys=["session_id", "seq"]).select("session_id", "seq", "edge_id", "distance_m"), 4)
 
 
 def _heading_snaps() -> str:
@@ -203,14 +207,14 @@ def _heading_snaps() -> str:
 @query(_heading_snaps())
 def live_snapped_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng", (F.col("k") * 3.6).alias("heading"), (F.col("speed_kmh") / 3.6).alias("speed"))
-    streets = road_segments(spark).withColumn("oneway", F.col("road_type") == "primary")
+    streets = road_segments(spark, sf_dir).withColumn("oneway", F.col("road_type") == "primary")
     found = R.snapped(points, streets, keys=["session_id", "seq"], heading="heading", speed="speed")
     return rounded(found.select("session_id", "seq", "edge_id", "distance_m", "confidence"), 4)
 
 
 @query(f"""WITH {TELEMETRY}, {ROADS}, d AS (SELECT session_id, seq, node_id, sqrt(pow(tel.lat - nodes.lat, 2) + pow(tel.lng - nodes.lng, 2)) AS degrees FROM tel, nodes WHERE abs(tel.lat - nodes.lat) < 0.002 AND abs(tel.lng - nodes.lng) < 0.002) SELECT session_id, seq, round(min(degrees), 8) AS degrees FROM d GROUP BY session_id, seq""")
 def nearest_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.nearest_nodes(telemetry(spark, sf_dir), road_nodes(spark), keys=["session_id", "seq"]).select("session_id", "seq", "degrees"), 8)
+    return rounded(R.nearest_nodes(telemetry(spark, sf_dir), road_nodes(spark, sf_dir), keys=["session_id", "seq"]).select("session_id", "seq", "degrees"), 8)
 
 
 @query(f"""WITH {TELEMETRY} SELECT session_id, count(*) AS n_missing FROM tel WHERE floor(lng / 0.025) % 2 = 0 GROUP BY session_id""")
@@ -234,7 +238,7 @@ def route_remaining(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {ROADS} SELECT a.edge_id, b.edge_id AS next_edge FROM segments a JOIN segments b ON a.to_node = b.from_node""")
 def out_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.out_edges(road_segments(spark))
+    return R.out_edges(road_segments(spark, sf_dir))
 
 
 @query("""WITH r AS (SELECT o_orderkey AS request_id, range AS option, CAST(o_totalprice AS DOUBLE) * (1 + (o_orderkey * (range + 3)) % 5) AS d, CAST(o_totalprice AS DOUBLE) / 100 * (1 + (o_orderkey * (range + 7)) % 3) AS t FROM orders, range(3)), m AS (SELECT request_id, option, floor(d / 1000 * 10 + 0.5) / 10 AS km, greatest(1, CAST(floor(t / 60 + 0.5) AS BIGINT)) AS minutes FROM r),
@@ -367,9 +371,8 @@ def prefetch_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def matched_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = road_segments(spark)
-    twins = s.select((-F.col("edge_id")).alias("edge_id"), F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("lat2").alias("lat1"), F.col("lng2").alias("lng1"), F.col("lat1").alias("lat2"), F.col("lng1").alias("lng2"), "road_type")
-    return rounded(M.match(telemetry(spark, sf_dir), s.unionByName(twins)), 8)
+    s = road_segments(spark, sf_dir)
+    return rounded(M.match(telemetry(spark, sf_dir), both_ways(s)), 8)
 
 
 @query(BASE + """, d AS (SELECT session_id, max_by(step, seq) AS raw_error_m, avg(step) AS matched_error_m, sum(step) AS raw_progress_m, sum(step) * 0.01 * min(k) AS matched_progress_m, NOT max_by(is_dr, seq) AS anchored FROM s GROUP BY session_id)

@@ -10,7 +10,7 @@ from waymark.operators import persistence as P
 from waymark.operators import roads as R
 from waymark.operators import spans as S
 from waymark.operators import trips as T
-from waymark.plans.adapter import ROADS, TELEMETRY, road_nodes, road_segments, table, telemetry
+from waymark.plans.adapter import ROADS, TELEMETRY, both_ways, road_nodes, road_segments, table, telemetry
 from waymark.plans.fleet_queries import NEAR, _metres_to_segment
 from waymark.plans.trip_queries import hav, rounded
 from waymark.sources.files import graph_edges
@@ -65,7 +65,7 @@ def _verdicts() -> str:
 def _snapped_spans(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     rows = telemetry(spark, sf_dir)
     parts = S.span_rows(rows, F.col("is_dr") | _rejected())
-    found = R.snapped(parts, road_segments(spark), keys=[*S.SPAN, "seq"])
+    found = R.snapped(parts, road_segments(spark, sf_dir), keys=[*S.SPAN, "seq"])
     return rows, found.withColumnsRenamed({"proj_lat": "matched_lat", "proj_lng": "matched_lng"})
 
 
@@ -85,10 +85,9 @@ def spans_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def spans_map_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with the hidden-Markov matcher, each span with its anchors as one sequence; tests compare it with a plain version."""
-    s = road_segments(spark)
-    twins = s.select((-F.col("edge_id")).alias("edge_id"), F.col("to_node").alias("from_node"), F.col("from_node").alias("to_node"), F.col("lat2").alias("lat1"), F.col("lng2").alias("lng1"), F.col("lat1").alias("lat2"), F.col("lng1").alias("lng2"), "road_type")
+    s = road_segments(spark, sf_dir)
     rows = telemetry(spark, sf_dir)
-    found = S.matched_spans(rows, s.unionByName(twins), F.col("is_dr") | _rejected())
+    found = S.matched_spans(rows, both_ways(s), F.col("is_dr") | _rejected())
     return rounded(S.written_back(rows, found, S.span_verdicts(found)).select("session_id", "seq", "span", "verdict", "matched_lat", "matched_lng"), 8)
 
 
@@ -105,7 +104,7 @@ def _live() -> str:
 @query(_live())
 def live_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = telemetry(spark, sf_dir).withColumns({"heading": F.col("k") * 3.6, "speed": F.col("speed_kmh") / 3.6})
-    return rounded(S.snapped_live(rows, road_segments(spark), heading="heading", speed="speed").select("session_id", "seq", "snapped", "final_lat", "final_lng"), 8)
+    return rounded(S.snapped_live(rows, road_segments(spark, sf_dir), heading="heading", speed="speed").select("session_id", "seq", "snapped", "final_lat", "final_lng"), 8)
 
 
 LINES = f"""lines AS (SELECT *, sum(len) OVER (PARTITION BY edge_id ORDER BY leg) - len AS before FROM (SELECT CAST(a."row" AS BIGINT) AS edge_id, a.col AS leg, a.lat AS lat1, a.lng AS lng1, b.lat AS lat2, b.lng AS lng2, {hav("a.lat", "a.lng", "b.lat", "b.lng")} AS len FROM nodes a JOIN nodes b ON a."row" = b."row" AND b.col = a.col + 1))"""
@@ -122,7 +121,7 @@ def _polylines() -> str:
 @query(_polylines())
 def polyline_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates among whole streets of 41 points."""
-    lines = road_nodes(spark).groupBy(F.col("row").alias("edge_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "lat", "lng"))), lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("points"))
+    lines = road_nodes(spark, sf_dir).groupBy(F.col("row").alias("edge_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "lat", "lng"))), lambda p: F.struct(p["lat"].alias("lat"), p["lng"].alias("lng"))).alias("points"))
     found = R.polyline_candidates(telemetry(spark, sf_dir).select("session_id", "seq", "lat", "lng"), lines, keys=["session_id", "seq"])
     return found.select("session_id", "seq", "edge_id", F.col("rank").cast("long").alias("rank"), F.round("distance_m", 4).alias("distance_m"), F.round("offset_m", 3).alias("offset_m"))
 
@@ -223,11 +222,11 @@ def magnitude_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {ROADS} SELECT CASE WHEN from_node % 3 = 0 THEN CAST(edge_id AS VARCHAR) WHEN from_node % 3 = 1 THEN CAST(edge_id + 1 AS VARCHAR) ELSE CAST(from_node AS VARCHAR) || '_' || CAST(to_node AS VARCHAR) || '_0' END AS edge_id, from_node, to_node, round(lat1, 6) AS lat1, round(lng2, 6) AS lng2, from_node % 2 = 0 AS oneway, CASE WHEN from_node % 3 = 0 THEN 'Main' WHEN from_node % 3 = 1 THEN 'First' ELSE '' END AS name FROM segments""")
 def graph_edges_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges with plain, list-valued and missing ids and names."""
-    s, third = road_segments(spark), F.col("from_node") % 3
+    s, third = road_segments(spark, sf_dir), F.col("from_node") % 3
     ids = F.when(third == 0, F.col("edge_id").cast("string")).when(third == 1, F.format_string("[%d, 7]", F.col("edge_id") + 1))
     names = F.when(third == 0, "Main").when(third == 1, '["First", "Second"]')
     edges = s.select(F.col("from_node").alias("u"), F.col("to_node").alias("v"), F.lit(0).alias("key"), ids.alias("osmid"), names.alias("name"), F.when(F.col("from_node") % 2 == 0, F.lit(True)).alias("oneway"))
-    return rounded(graph_edges(edges, road_nodes(spark)).select("edge_id", "from_node", "to_node", "lat1", "lng2", "oneway", "name"))
+    return rounded(graph_edges(edges, road_nodes(spark, sf_dir)).select("edge_id", "from_node", "to_node", "lat1", "lng2", "oneway", "name"))
 
 
 @query("""WITH o AS (SELECT o_orderkey AS request_id, CAST(range AS BIGINT) AS step, o_orderkey % 11 AS q, range AS i, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN (o_orderkey + range) % 3 = 0 THEN NULL ELSE 'Street ' || CAST(o_orderkey % 5 AS VARCHAR) END AS street FROM orders, range(3)),
