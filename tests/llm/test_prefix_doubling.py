@@ -74,7 +74,8 @@ def test_ranks_tell_equal_phrases(spark):
     rng = random.Random(7)
     text = "".join(rng.choice("abcdefghij ") for _ in range(4000))
     texts = spark.createDataFrame([(0, text[:3000]), (1, text[500:]), (2, text[::-1])], "tid long, text string")
-    rounds = doubling.doubled(texts, 400)
+    rounds, runs = doubling.doubled(texts, 400)
+    assert runs.count() == 0
     assert len(rounds) > 2
     for ranks in rounds:
         times = ranks.groupBy("rank").agg(F.count("*").alias("n"), F.count_distinct("tid").alias("texts")).collect()

@@ -1,7 +1,7 @@
 """Removal of long repeated byte strings by distributed prefix doubling.
 
 Ranking every byte position would move many times the corpus in each round, so positions are first
-thinned by content. In every stretch of positions (128 for 400 bytes) the one whose next `GRAM` bytes have the
+thinned by content. In every stretch of positions (160 for 400 bytes) the one whose next `GRAM` bytes have the
 least hash is an anchor. What decides an anchor lies around it, so equal strings of `length` bytes
 have the same anchors from their first stretch to their last, whatever surrounds them. Between two
 anchors lies a phrase.
@@ -13,7 +13,8 @@ leaves; the others go on until the offset is past `length` bytes. Two overlappin
 whether any q phrases occur again: those of the first and of the last 2^j.
 
 For the windows (`length` bytes) that begin between two anchors this settles most at once: where the
-phrases that hold all of them occur again, so do they. What remains are windows at the ends of
+phrases that hold all of them occur again, so do they. Inside a run of one phrase they occur again a
+phrase further on, which needs no ranks; the first ones of a run stand for the others. What remains are windows at the ends of
 repeats. One is compared only with windows that have the same phrases between their first and last
 stretch, by 64-bit prints of the whole window, and only one occurrence of settled ones takes part.
 """
@@ -62,10 +63,8 @@ def hashes(data: bytes) -> np.ndarray:
 
 
 def reach_of(length: int) -> int:
-    """Positions of a stretch: a power of two such that the first and the last stretch of `length` bytes do not meet."""
-    reach = 1 << max((length - GRAM) // 3, 1).bit_length() - 1
-    while reach > 1 and 2 * (reach + GRAM - 1) >= length:
-        reach //= 2
+    """Positions of a stretch: as many as leave the first and the last stretch of `length` bytes well apart."""
+    reach = min((length - GRAM) * 5 // 12, (length - 1) // 2 - GRAM + 1)
     if reach < 2:
         raise ValueError(f"strings of {length} bytes are too short: at least {2 * (GRAM + 1) + 1}")
     return reach
@@ -81,9 +80,11 @@ class Phrases:
         n, place = len(data), np.uint64(0xFFFFFFFF)  # a text has less than 2^32 bytes; of equal halves of a hash the leftmost counts
         least = (self.hash & ~place) | np.arange(n, dtype=np.uint64)
         step = 1
-        while step < self.reach:  # least over 2, 4, ... positions
+        while 2 * step <= self.reach:  # least over 2, 4, ... positions
             least[:-step] = np.minimum(least[:-step], least[step:]) if n > step else least[:-step]
             step *= 2
+        if n > (rest := self.reach - step) > 0:
+            least[:-rest] = np.minimum(least[:-rest], least[rest:])
         self.first = (least & place).astype(np.int64)  # the anchor of the stretch that begins here
         text = np.repeat(np.arange(len(texts)), np.diff(self.begin))
         whole = np.arange(n) + self.reach + GRAM - 1 <= self.begin[1:][text]
@@ -101,6 +102,55 @@ class Phrases:
         sums, n = self._sums(k), len(self.hash)
         return here, mix((sums[self.at[here + 1] + 1] - sums[self.at[here]]) * powers(INVERSES[k], n)[self.at[here]])
 
+    def around(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each anchor the one up to whose bytes the windows reach that begin before the next anchor, and whether there is one."""
+        n = len(self.at)
+        if not n:
+            return np.empty(0, np.int64), np.empty(0, bool)
+        last = np.append(np.flatnonzero(self.text[1:] != self.text[:-1]), n - 1)[self.text_number()]
+        c = np.arange(n)
+        d = np.searchsorted(self.at, self.at[np.minimum(c + 1, n - 1)] - 1 + self.length - GRAM)
+        return np.minimum(d, n - 1), (c < last) & (d <= last)
+
+    def text_number(self) -> np.ndarray:
+        """The texts that have anchors, numbered without gaps."""
+        return np.cumsum(np.concatenate(([False], self.text[1:] != self.text[:-1])))[: len(self.at)]
+
+    def runs(self, here: np.ndarray, names: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Whether the windows from each anchor on lie in a run of one phrase that goes on before or after them, and whether the run begins there.
+
+        Such windows occur again a phrase further on or back. Those from the run's first anchor stand
+        for all others in the search for further places.
+        """
+        n = len(self.at)
+        phrase = np.full((len(names), n), 0, dtype=np.uint64)
+        known = np.zeros(n, dtype=bool)
+        known[here] = True
+        for k, name in enumerate(names):
+            phrase[k, here] = name
+        same = (phrase[:, 1:] == phrase[:, :-1]).all(axis=0) & known[1:] & known[:-1]
+        begins = np.concatenate(([True], ~same))[:n]
+        number = np.cumsum(begins) - 1
+        first = np.flatnonzero(begins)
+        low, high = first[number], np.append(first[1:], n)[number] - 1
+        c = np.arange(n)
+        d, inside = self.around()
+        return inside & known & (high >= d - 1) & ((high >= d) | (low < c)), low == c
+
+    def levels(self, left_out: np.ndarray) -> np.ndarray:
+        """How many ranks (of 1, 2, 4, ... phrases) each anchor may be asked for: as many as an anchor before it needs whose windows reach it; those of anchors left out need none."""
+        n = len(self.at)
+        reached = np.minimum(np.searchsorted(self.at, self.at + self.length + self.reach), n)
+        own = np.where(left_out, 0, np.log2(np.maximum(reached - np.arange(n), 1)).astype(np.int32) + 1)
+        found = np.zeros(n, dtype=np.int32)
+        for level in range(1, int(own.max(initial=0)) + 1):
+            edges = np.zeros(n + 1, dtype=np.int64)
+            asks = np.flatnonzero(own >= level)
+            np.add.at(edges, asks, 1)
+            np.add.at(edges, reached[asks], -1)
+            found[np.cumsum(edges[:-1]) > 0] = level
+        return found
+
     def prints(self) -> np.ndarray:
         """64-bit print of the window that begins at each position; one that reaches into another text has no meaning."""
         sums, n, inside = self._sums(0), len(self.hash), self.length - GRAM + 1
@@ -124,20 +174,25 @@ def together(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, list[byt
 
 
 def anchors(texts: DataFrame, length: int) -> DataFrame:
-    """tid, i (number of an anchor in its text), name and check (two hashes of its phrase), levels (rounds that its text may need) over (tid, text)."""
+    """Two kinds of rows over (tid, text): tid, i (number of an anchor in its text), name and check (two hashes of its phrase), levels (ranks that may be asked of it); and, levels 0, stretches of windows (first in i, n in name) inside a run of one phrase."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, held in together(batch, "text"):
                 p = Phrases(held, length)
-                here, name = p.names(0)
-                owner = p.text[here]
+                (here, name), (_, check) = p.names(0), p.names(1)
+                inside, begins = p.runs(here, [name, check])
+                levels = p.levels(inside & ~begins)[here]
                 begin = np.searchsorted(p.text, np.arange(len(held)))
-                span = np.searchsorted(p.at, p.at + length + p.reach) - np.arange(len(p.at))
-                most = np.zeros(len(held), np.int64)
-                np.maximum.at(most, p.text, span)
-                levels = np.log2(np.maximum(most, 1)).astype(np.int32)[owner] + 1
-                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(owner + row)), pa.array((here - begin[owner]).astype(np.int32)), pa.array(name.view(np.int64)), pa.array(p.names(1)[1].view(np.int64)), pa.array(levels.astype(np.int32))], names=["tid", "i", "name", "check", "levels"])
+                asked = levels > 0
+                c = np.flatnonzero(inside)
+                new = np.concatenate(([True], np.diff(c) != 1))[: len(c)]
+                first, last = c[new], np.append(c[np.flatnonzero(new)[1:] - 1], c[-1:])
+                owner = np.concatenate((p.text[here][asked], p.text[first]))
+                at = np.concatenate(((here - begin[p.text[here]])[asked], p.at[first] - p.begin[p.text[first]]))
+                size = (p.at[last + 1] - p.at[first]).astype(np.int64)
+                zero = np.zeros(len(first), np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("tid").take(pa.array(owner + row)), pa.array(at.astype(np.int32)), pa.array(np.concatenate((name[asked].view(np.int64), size))), pa.array(np.concatenate((check[asked].view(np.int64), zero))), pa.array(np.concatenate((levels[asked], zero)).astype(np.int32))], names=["tid", "i", "name", "check", "levels"])
 
     return texts.mapInArrow(find, "tid long, i int, name long, check long, levels int")
 
@@ -149,16 +204,17 @@ def reranked(rows: DataFrame, pair: list[str]) -> DataFrame:
     return written(rows.join(ranks, pair).select("tid", "i", F.col("_rank").alias("rank"), "levels"))
 
 
-def doubled(texts: DataFrame, length: int) -> list[DataFrame]:
-    """Ranks of 1, 2, 4, ... phrases: tid, i and rank of each anchor where these phrases occur again somewhere."""
+def doubled(texts: DataFrame, length: int) -> tuple[list[DataFrame], DataFrame]:
+    """(ranks of 1, 2, 4, ... phrases: tid, i and rank of each anchor where these phrases occur again somewhere; tid, first and n of windows inside runs of a phrase)."""
     start = written(anchors(texts, length))
-    found = [reranked(start, ["name", "check"])]
+    runs = written(start.where("levels = 0").select("tid", F.col("i").alias("first"), F.col("name").cast("int").alias("n")))
+    found = [reranked(start.where("levels > 0"), ["name", "check"])]
     discard(start)
     while True:
         offset = 1 << (len(found) - 1)
         going = found[-1].where(F.col("levels") > len(found))
         if going.isEmpty():
-            return found
+            return found, runs
         ahead = going.select("tid", (F.col("i") - offset).alias("i"), F.col("rank").alias("then"))
         pairs = written(going.join(ahead, ["tid", "i"]))
         found.append(reranked(pairs, ["rank", "then"]))
@@ -274,7 +330,7 @@ def equal_windows(live: DataFrame, windows: int) -> DataFrame:
 def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     """tid and stretches (first, n) of the windows that occur more than once among the distinct texts (tid, text)."""
     around, inside = ["e1", "e2", "eq", "off"], ["m1", "m2", "mq"]
-    rounds = doubled(texts, length)
+    rounds, runs = doubled(texts, length)
     ranked = reduce(DataFrame.unionByName, [found.select("tid", F.lit(level).alias("level"), "i", "rank") for level, found in enumerate(rounds)])
     ranks = ranked.groupBy("tid").agg(F.collect_list(F.struct("level", "i", "rank")).alias("ranks"))
     rows = written(stretches(texts.join(ranks, "tid").select("tid", "text", "ranks"), length))
@@ -293,10 +349,10 @@ def repeated_windows(texts: DataFrame, length: int) -> DataFrame:
     open_ = written(open_.select(*inside, "windows", (F.col("windows") > TOGETHER // 8).alias("hot")))
     windows = open_.agg(F.sum("windows")).first()[0] or 0
     live = searched.join(open_.drop("windows"), inside).select("tid", "first", *inside, "prints", "hot")
-    found = told.where("settled").select("tid", "first", "n").unionByName(equal_windows(live, windows))
+    found = told.where("settled").select("tid", "first", "n").unionByName(runs).unionByName(equal_windows(live, windows))
     stretches_ = written(found.groupBy("tid").agg(F.collect_list(F.struct("first", "n")).alias("stretches")))
-    discard(told)
-    discard(open_)
+    for done in (told, open_, runs):
+        discard(done)
     return stretches_
 
 
