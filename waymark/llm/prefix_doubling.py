@@ -59,7 +59,7 @@ def hashes(data: bytes) -> np.ndarray:
     for r in range(8):
         part = eight[r::8]
         part[:] = np.frombuffer(padded, dtype="<u8", offset=r, count=len(part))
-    return mix(mix(eight[:n]) + eight[8 : n + 8])
+    return mix(eight[:n] * np.uint64(BASES[1]) + eight[8 : n + 8])
 
 
 def reach_of(length: int) -> int:
@@ -86,11 +86,12 @@ class Phrases:
         if n > (rest := self.reach - step) > 0:
             least[:-rest] = np.minimum(least[:-rest], least[rest:])
         self.first = (least & place).astype(np.int64)  # the anchor of the stretch that begins here
-        text = np.repeat(np.arange(len(texts)), np.diff(self.begin))
-        whole = np.arange(n) + self.reach + GRAM - 1 <= self.begin[1:][text]
+        whole = np.zeros(n, dtype=bool)
+        for begin, end in zip(self.begin[:-1].tolist(), self.begin[1:].tolist(), strict=True):
+            whole[begin : max(begin, end - self.reach - GRAM + 2)] = True
         at = self.first[whole]
-        new = np.concatenate(([True], at[1:] != at[:-1])) if len(at) else np.empty(0, bool)
-        self.at, self.text = at[new], text[whole][new]
+        self.at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+        self.text = np.searchsorted(self.begin, self.at, side="right") - 1
 
     def _sums(self, k: int) -> np.ndarray:
         n = len(self.hash)
@@ -259,13 +260,13 @@ def _stretches(p: Phrases, of: np.ndarray, ranks: dict[str, np.ndarray], tid: pa
         return r1, r2, np.where((r1 >= 0) & (r2 >= 0) & inside, q, 0)
 
     starts = np.concatenate([np.arange(a, b - length + 1) for a, b in zip(p.begin[:-1], p.begin[1:], strict=True)] or [np.empty(0, np.int64)])
-    f = np.searchsorted(p.at, p.first[starts])
-    g = np.searchsorted(p.at, p.first[starts + length - p.reach - GRAM + 1])
-    c = np.searchsorted(p.at, starts, side="right") - 1
-    text = np.searchsorted(p.begin, starts, side="right") - 1
+    number = np.zeros(n, dtype=np.int32)
+    number[p.at] = 1
+    number = np.cumsum(number, dtype=np.int32) - 1  # the last anchor up to each position
+    f, g, c = number[p.first[starts]], number[p.first[starts + length - p.reach - GRAM + 1]], number[starts]
     new = np.flatnonzero(np.concatenate(([True], (f[1:] != f[:-1]) | (g[1:] != g[:-1]) | (c[1:] != c[:-1]) | (starts[1:] != starts[:-1] + 1)))) if len(starts) else np.empty(0, np.int64)
     first, size = starts[new], np.diff(np.append(new, len(starts)))
-    f, g, c, text = f[new], g[new], c[new], text[new]
+    f, g, c, text = f[new], g[new], c[new], np.searchsorted(p.begin, first, side="right") - 1
     m1, m2, mq = repeated(f, g)
     live = np.flatnonzero(mq)
     first, size, c, text, m1, m2, mq = (x[live] for x in (first, size, c, text, m1, m2, mq))
@@ -364,14 +365,11 @@ def repeats(docs: DataFrame, text_col: str, length: int) -> DataFrame:
     return texts.join(found, "tid", "left").where("copies > 1 OR stretches IS NOT NULL")
 
 
-def removed_bytes(n_bytes: int, copies: int, stretches_: list[dict] | None, length: int) -> np.ndarray:
-    """Whether each byte of a text goes."""
+def removed_bytes(n_bytes: int, copies: int, first: np.ndarray, n: np.ndarray, length: int) -> np.ndarray:
+    """Whether each byte of a text goes, with windows in stretches of n from `first` on."""
     if copies > 1:
         return np.ones(n_bytes, dtype=bool)
-    edges = np.zeros(n_bytes + 1, dtype=np.int64)
-    for s in stretches_ or []:
-        edges[s["first"]] += 1
-        edges[s["first"] + s["n"] - 1 + length] -= 1
+    edges = np.bincount(first, minlength=n_bytes + 1) - np.bincount(first + n - 1 + length, minlength=n_bytes + 1)
     return np.cumsum(edges[:-1]) > 0
 
 
@@ -381,9 +379,12 @@ def cut_repeats(docs: DataFrame, *, length: int = 400, text_col: str = "text") -
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, copies, found in zip(batch.column("text"), batch.column("copies").to_pylist(), batch.column("stretches"), strict=True):
+            lists = batch.column("stretches")
+            first, n = (lists.flatten().field(c).to_numpy() for c in ("first", "n"))
+            ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy())
+            for text, copies, low, high in zip(batch.column("text"), batch.column("copies").to_pylist(), np.append(0, ends), ends, strict=False):
                 data = np.frombuffer(text.as_buffer(), dtype=np.uint8)
-                gone = removed_bytes(len(data), copies, found.as_py(), length)
+                gone = removed_bytes(len(data), copies, first[low:high], n[low:high], length)
                 rows.append((int(gone.sum()), int(np.count_nonzero(np.diff(gone, prepend=False) & gone)), data[~gone].tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 3
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.binary())], names=["key", "n_removed", "n_spans", "kept"])
