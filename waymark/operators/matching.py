@@ -1,137 +1,134 @@
-"""Hidden-Markov map matching: candidates by a Spark join, then one Viterbi pass a session.
+"""Hidden-Markov map matching as joins and one streaming max-plus pass.
 
-The pass keeps back pointers of one session; route lengths come from a Dijkstra search, until all
-wanted nodes are settled, over the road graph, which is broadcast after a check of its size (match larger areas cell by cell).
+Candidates come from a spatial join, moves from the joined candidates of neighbouring rows, and the
+lengths between them from the overlay of `routes`; no task holds the road graph. What is left for a
+session is a product of small matrices in order: rows stream through sorted partitions, and the path
+is settled as far back as all survivors share it, so a session of any length needs little memory.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import exp, inf, log, pi, sqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from waymark.functions.checkpoints import cut
 from waymark.functions.geodesy import RADIUS_MEAN, haversine
+from waymark.functions.labels import emission
 from waymark.operators.roads import edge_candidates
+from waymark.operators.routes import between_candidates, shortest
 from waymark.operators.trips import KEY, ORDER
 
-#: Edges of a graph that may be broadcast.
-MAX_EDGES = 2_000_000
 # Fixed values of the model: log penalty of a broken path, metres of tolerated backward motion, its factor.
 BROKEN, BACKWARD_M, BACKWARD_FACTOR = -50.0, 25.0, 1.5
-
-
-def metres(lat1: float, lng1: float, lat2: float, lng2: float) -> float:
-    a, b = np.radians(lat1), np.radians(lat2)
-    h = np.sin((b - a) / 2) ** 2 + np.cos(a) * np.cos(b) * np.sin(np.radians(lng2 - lng1) / 2) ** 2
-    return float(2 * RADIUS_MEAN * np.arctan2(np.sqrt(h), np.sqrt(1 - h)))
-
-
-class RoadGraph:
-    """Adjacency lists of directed edges, with lengths; keeps searches, to go on from where they stopped."""
-
-    #: Nodes that the kept searches may have settled; beyond, the oldest searches go.
-    REMEMBERED = 3_000_000
-
-    def __init__(self, edges: Iterator[tuple[int, int, float]]):
-        self.out: dict[int, list[tuple[int, float]]] = {}
-        self.entered: set[int] = set()
-        self.known: dict[int, tuple[dict[int, float], list[tuple[float, int]]]] = {}
-        self.settled = 0
-        for u, v, length in edges:
-            self.out.setdefault(u, []).append((v, length))
-            self.entered.add(v)
-
-    def distances(self, source: int, wanted: set[int], most: float = inf) -> dict[int, float]:
-        """Shortest lengths from `source` to the wanted nodes it reaches, within `most` metres."""
-        if source not in self.known:
-            while self.settled > self.REMEMBERED:
-                self.settled -= len(self.known.pop(next(iter(self.known)))[0])
-            self.known[source] = {}, [(0.0, source)]
-        found, open_nodes = self.known[source]
-        before, missing = len(found), {v for v in wanted if v not in found and (v in self.entered or v == source)}
-        while missing and open_nodes and open_nodes[0][0] <= most:
-            far, u = heapq.heappop(open_nodes)
-            if u in found:
-                continue
-            found[u] = far
-            missing.discard(u)
-            for v, length in self.out.get(u, ()):
-                if v not in found:
-                    heapq.heappush(open_nodes, (far + length, v))
-        self.settled += len(found) - before
-        return {v: found[v] for v in wanted if v in found and found[v] <= most}
-
-
-@dataclass
-class Candidate:
-    edge: int | None  # None: off the roads
-    start: int | None
-    end: int | None
-    oneway: bool
-    length: float
-    offset: float
-    lat: float
-    lng: float
-    distance: float
-
-
-def same_edge(a: Candidate, b: Candidate) -> float | None:
-    """Route along one edge; None if it has to leave it."""
-    if b.offset >= a.offset:
-        return b.offset - a.offset
-    back = a.offset - b.offset
-    if not a.oneway:
-        return back
-    return back * BACKWARD_FACTOR if back < BACKWARD_M else None
-
-
-def viterbi(points: list[tuple[float, float, float | None]], candidates: list[list[Candidate]], graph: RoadGraph, *, sigma: float, beta: float, most: float = inf) -> tuple[list[Candidate], float]:
-    """Most likely candidate of each point, and the log likelihood. Of equal scores the first candidate wins."""
-
-    def emission(c: Candidate, accuracy: float | None) -> float:
-        s = max(2.0, min(accuracy, 30.0)) if accuracy is not None and accuracy > 1 else sigma
-        return -log(sqrt(2 * pi) * s) - 0.5 * (c.distance / s) ** 2
-
-    scores = [emission(c, points[0][2]) for c in candidates[0]]
-    back: list[list[int]] = []
-    for t in range(1, len(points)):
-        (lat0, lng0, _), (lat, lng, accuracy) = points[t - 1], points[t]
-        still = metres(lat0, lng0, lat, lng) < 0.5
-        starts = {c.start for c in candidates[t] if c.edge is not None}
-        reach = {u: graph.distances(u, starts, most) for u in {c.end for c in candidates[t - 1] if c.edge is not None}}
-        new, chosen = [], []
-        for b in candidates[t]:
-            best, best_at = -inf, 0
-            for i, a in enumerate(candidates[t - 1]):
-                same = a.edge is not None and a.edge == b.edge
-                if still and same:
-                    move = 0.0
-                else:
-                    route = same_edge(a, b) if same else None
-                    if route is None and a.edge is not None and b.edge is not None:
-                        between = reach[a.end].get(b.start)
-                        route = None if between is None else max(0.0, a.length - a.offset) + between + max(0.0, b.offset)
-                    move = BROKEN if route is None else -log(beta) - abs(route - metres(a.lat, a.lng, b.lat, b.lng)) / beta
-                if scores[i] + move > best:
-                    best, best_at = scores[i] + move, i
-            new.append(best + emission(b, accuracy))
-            chosen.append(best_at)
-        scores = new
-        back.append(chosen)
-    at = max(range(len(scores)), key=scores.__getitem__)
-    total, path = scores[at], [at]
-    for chosen in reversed(back):
-        path.append(chosen[path[-1]])
-    return [candidates[t][i] for t, i in enumerate(reversed(path))], total
-
-
-def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: float = 5.0, radius: float = 50.0, k: int = 5, most_route: float = inf) -> DataFrame:
+#: Fields of a candidate; off the roads edge_id is null.
+CANDIDATE = ("edge_id", "from_node", "to_node", "oneway", "length_m", "offset_m", "proj_lat", "proj_lng", "distance_m")
+
+
+class Survivors:
+    """Back pointers of the rows whose choice is still open."""
+
+    def __init__(self, first: int):
+        self.rows: list[tuple[int, np.ndarray | None]] = [(first, None)]
+        self.look = 64
+
+    def add(self, row: int, back: np.ndarray) -> list[tuple[int, int]]:
+        """Rows (and their choice) that this one settles: those before the last row that all survivors share."""
+        self.rows.append((row, back))
+        if len(self.rows) < self.look:
+            return []
+        alive = np.arange(len(back))
+        for at in range(len(self.rows) - 1, 0, -1):
+            alive = np.unique(self.rows[at][1][alive])
+            if len(alive) == 1:
+                found = self.path(int(alive[0]), at - 1)
+                self.rows = [(self.rows[at][0], None), *self.rows[at + 1 :]]
+                self.look = 64
+                return found
+        self.look = 2 * len(self.rows)
+        return []
+
+    def path(self, choice: int, at: int) -> list[tuple[int, int]]:
+        """Rows up to place `at` with their choice, from the choice there."""
+        found = [(self.rows[at][0], choice)]
+        for k in range(at, 0, -1):
+            choice = int(self.rows[k][1][choice])
+            found.append((self.rows[k - 1][0], choice))
+        return found[::-1]
+
+
+def viterbi(steps: DataFrame) -> DataFrame:
+    """Most likely candidate of each row: KEY, ORDER, choice (from 0), of (KEY, ORDER, emissions, moves).
+
+    `moves` has the log weight from each candidate of the row before to each of this one, that of
+    the row before first; null on a session's first row. Of equal scores the first candidate wins. A
+    last row of each session, ORDER null, has the score of the whole path in `total` and its rows in `n`.
+    """
+    kind = steps.schema[KEY].dataType.simpleString()
+    narrow = steps.select(KEY, ORDER, "emissions", "moves").repartition(KEY).sortWithinPartitions(KEY, ORDER)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = None
+        out: list[tuple] = []
+        session, open_rows, scores, n = object(), None, None, 0
+
+        def ended() -> None:
+            best = int(np.argmax(scores))
+            rows = open_rows.path(best, len(open_rows.rows) - 1)
+            out.extend((session, row, choice, None, None) for row, choice in rows)
+            out.append((session, None, None, float(scores[best]), n))
+
+        def flushed() -> pa.RecordBatch:
+            columns = list(zip(*out, strict=True)) or [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema, strict=True)], names=[KEY, ORDER, "choice", "total", "n"])
+
+        for batch in batches:
+            schema = [batch.column(0).type, pa.int64(), pa.int32(), pa.float64(), pa.int64()]
+            emissions, moves = batch.column(2), batch.column(3)
+            for i, (key, row) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                here = emissions[i].values.to_numpy()
+                if open_rows is None or key != session:
+                    if open_rows is not None:
+                        ended()
+                    session, open_rows, scores, n = key, Survivors(row), here, 1
+                    continue
+                reached = scores[:, None] + moves[i].values.to_numpy().reshape(len(scores), len(here))
+                back = np.argmax(reached, axis=0)
+                scores, n = reached[back, np.arange(len(here))] + here, n + 1
+                out.extend((session, at, choice, None, None) for at, choice in open_rows.add(row, back))
+            yield flushed()
+        if open_rows is not None:
+            ended()
+            yield flushed()
+
+    return narrow.mapInArrow(run, f"{KEY} {kind}, {ORDER} long, choice int, total double, n long")
+
+
+def moves_between(rows: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each candidate of a row and each of the row before it: KEY, ORDER, i, a (before), j, b, and columns `keep` with their values before as `was_<c>`."""
+    w = W.partitionBy(KEY).orderBy(ORDER)
+    lagged = rows.withColumns({f"was_{c}": F.lag(c).over(w) for c in ("options", *keep)}).where("was_options IS NOT NULL")
+    both = lagged.select(KEY, ORDER, *keep, *(f"was_{c}" for c in keep), "options", F.posexplode("was_options").alias("i", "a"))
+    return both.select(KEY, ORDER, *keep, *(f"was_{c}" for c in keep), "i", "a", F.posexplode("options").alias("j", "b"))
+
+
+def listed(moves: DataFrame, move: Column) -> DataFrame:
+    """KEY, ORDER and the row's `moves` in the order that `viterbi` reads."""
+    cells = F.array_sort(F.collect_list(F.struct("i", "j", move.alias("move"))))
+    return moves.groupBy(KEY, ORDER).agg(F.transform(cells, lambda c: c["move"]).alias("moves"))
+
+
+def chosen(rows: DataFrame, path: DataFrame) -> DataFrame:
+    """`rows` with their chosen option as `at`."""
+    return rows.join(path.where("choice IS NOT NULL").select(KEY, ORDER, "choice"), [KEY, ORDER]).withColumn("at", F.get("options", F.col("choice"))).drop("choice")
+
+
+def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: float = 5.0, radius: float = 50.0, k: int = 5, most_route: float | None = None) -> DataFrame:
     """session_id, seq, matched_lat, matched_lng, edge_id (null off the roads) and the session's confidence.
 
     `points` has lat, lng and accuracy_m; `edges` has edge_id, from_node, to_node, lat1, lng1, lat2,
@@ -139,29 +136,33 @@ def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: flo
     both. Only nodes that no route joins count as broken, unless `most_route` metres bound the routes.
     """
     flagged = edges if "oneway" in edges.columns else edges.withColumn("oneway", F.lit(False))
-    if flagged.limit(MAX_EDGES + 1).count() > MAX_EDGES:
-        raise ValueError(f"more than {MAX_EDGES} edges: match by area")
-    length = haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"), RADIUS_MEAN)
-    rows = flagged.select("from_node", "to_node", length.alias("length")).toPandas()
-    shipped = points.sparkSession.sparkContext.broadcast(RoadGraph(zip(rows["from_node"].tolist(), rows["to_node"].tolist(), rows["length"].tolist(), strict=True)))
-
     found = edge_candidates(points.select(KEY, ORDER, "lat", "lng", "accuracy_m"), flagged, keys=[KEY, ORDER], radius=radius, k=k)
-    listed = found.groupBy(KEY, ORDER).agg(F.array_sort(F.collect_list(F.struct("rank", "edge_id", "from_node", "to_node", "oneway", "length_m", "offset_m", "proj_lat", "proj_lng", "distance_m"))).alias("near"))
-    whole = points.select(KEY, ORDER, "lat", "lng", "accuracy_m").join(listed, [KEY, ORDER], "left")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(ORDER)
-        places = [(a, b, None if c is None or np.isnan(c) else c) for a, b, c in zip(pdf["lat"], pdf["lng"], pdf["accuracy_m"], strict=True)]
-        options = []
-        for near, (lat, lng, _) in zip(pdf["near"], places, strict=True):
-            rows = [] if near is None else [Candidate(r["edge_id"], r["from_node"], r["to_node"], bool(r["oneway"]), r["length_m"], r["offset_m"], r["proj_lat"], r["proj_lng"], r["distance_m"]) for r in near]
-            options.append(rows or [Candidate(None, None, None, True, 0.0, 0.0, lat, lng, 0.0)])
-        path, total = viterbi(places, options, shipped.value, sigma=sigma, beta=beta, most=most_route)
-        sure = min(1.0, exp(total / len(path) / 10))
-        return pd.DataFrame({KEY: pdf[KEY].to_numpy(), ORDER: pdf[ORDER].to_numpy(), "matched_lat": [c.lat for c in path], "matched_lng": [c.lng for c in path], "edge_id": pd.array([c.edge for c in path], dtype="Int64"), "confidence": sure})
-
-    kind = points.schema[KEY].dataType.simpleString()
-    return whole.groupBy(KEY).applyInPandas(run, f"{KEY} {kind}, {ORDER} long, matched_lat double, matched_lng double, edge_id long, confidence double")
+    near = found.groupBy(KEY, ORDER).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *CANDIDATE))), lambda c: F.struct(*(c[f].alias(f) for f in CANDIDATE))).alias("near"))
+    kinds = {f.name: f.dataType for f in near.schema["near"].dataType.elementType.fields}
+    alone = {"oneway": F.lit(True), "length_m": F.lit(0.0), "offset_m": F.lit(0.0), "proj_lat": F.col("lat"), "proj_lng": F.col("lng"), "distance_m": F.lit(0.0)}
+    off_road = F.array(F.struct(*(alone.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in CANDIDATE)))
+    known = F.when(~F.isnan("accuracy_m"), F.col("accuracy_m")).alias("accuracy_m")
+    rows = points.select(KEY, ORDER, "lat", "lng", known).join(near, [KEY, ORDER], "left").withColumn("options", F.coalesce("near", off_road)).drop("near")
+    rows = cut(rows)
+
+    a, b = F.col("a"), F.col("b")
+    moves = cut(moves_between(rows, ["lat", "lng"]))
+    along = between_candidates(F.lit(None).cast("double"), backward_m=BACKWARD_M, backward_factor=BACKWARD_FACTOR, two_way=~a["oneway"])
+    ends = {"source": F.when(along.isNull(), a["to_node"]), "target": F.when(along.isNull(), b["from_node"])}
+    length = haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"), RADIUS_MEAN)
+    pairs = moves.select(*(c.alias(n) for n, c in ends.items()))
+    lengths = shortest(flagged.withColumn("length_m", length), pairs, most=most_route)
+    joined = moves.withColumns(ends).join(lengths, ["source", "target"], "left")
+    around = F.greatest(F.lit(0.0), a["length_m"] - a["offset_m"]) + F.col("metres") + F.greatest(F.lit(0.0), b["offset_m"])
+    route = F.coalesce(along, F.when(a["edge_id"].isNotNull() & b["edge_id"].isNotNull(), around))
+    straight = haversine(a["proj_lat"], a["proj_lng"], b["proj_lat"], b["proj_lng"], RADIUS_MEAN)
+    still = haversine(F.col("was_lat"), F.col("was_lng"), F.col("lat"), F.col("lng"), RADIUS_MEAN) < 0.5
+    move = F.when(still & (a["edge_id"] == b["edge_id"]), 0.0).when(route.isNull(), BROKEN).otherwise(-np.log(beta) - F.abs(route - straight) / beta)
+    emissions = F.transform("options", lambda c: emission(c["distance_m"], F.col("accuracy_m"), sigma))
+    path = cut(viterbi(rows.withColumn("emissions", emissions).join(listed(joined, move), [KEY, ORDER], "left")))
+    sure = path.where("total IS NOT NULL").select(KEY, F.least(F.lit(1.0), F.exp(F.col("total") / F.col("n") / 10)).alias("confidence"))
+    at = F.col("at")
+    return chosen(rows, path).join(sure, KEY).select(KEY, ORDER, at["proj_lat"].alias("matched_lat"), at["proj_lng"].alias("matched_lng"), at["edge_id"].alias("edge_id"), "confidence")
 
 
 def do_no_harm(spans: DataFrame, *, tolerance_m: float = 1.0, least_ratio: float = 0.7, least_m: float = 5.0) -> DataFrame:

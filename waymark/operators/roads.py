@@ -106,7 +106,7 @@ def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str],
     and pairs where it is null do not count. Long lists of one bucket are split by the skew handling
     of the join.
     """
-    exact = _pairs_within(points, segments, radius, size)
+    exact = segments_within(points, segments, radius, size)
     cost = F.col("distance_m")
     if penalty is not None:
         exact, cost = exact.withColumn("_penalty", penalty).where("_penalty IS NOT NULL"), cost + F.col("_penalty")
@@ -114,7 +114,7 @@ def edge_candidates(points: DataFrame, segments: DataFrame, *, keys: list[str],
     return ranked.withColumns({"offset_m": F.col("share") * F.col("length_m"), "proj_lat": F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1")), "proj_lng": F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))}).drop("_row", "_col", "_east", "_penalty")
 
 
-def _pairs_within(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
+def segments_within(points: DataFrame, segments: DataFrame, radius: float, size: float) -> DataFrame:
     """Pairs of point and segment within `radius` metres, with share, distance_m and length_m."""
     filed = with_buckets(segments, size, radius / METRES_A_DEGREE)
     # the only trigonometry of a pair, once a point: metres of a degree of longitude
@@ -133,17 +133,29 @@ def polyline_segments(edges: DataFrame) -> DataFrame:
     return placed.withColumn("before_m", before)
 
 
+def nearest_on_segments(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """Of pairs of points and segments (`polyline_segments`) the nearest for each of `keys`, of equally near ones the smallest edge and its first leg: keys, edge_id, offset_m, proj_lat, proj_lng, distance_m."""
+    if "distance_m" not in pairs.columns:
+        placed = pairs.withColumn("_east", METRES_A_DEGREE * F.cos(F.radians("lat")))
+        share, distance, length = _on_plane()
+        pairs = placed.withColumns({"share": share, "distance_m": distance, "length_m": length})
+    offset = F.col("before_m") + F.col("share") * F.col("length_m")
+    lat, lng = (F.col(f"{c}1") + F.col("share") * (F.col(f"{c}2") - F.col(f"{c}1")) for c in ("lat", "lng"))
+    at = F.struct("edge_id", offset.alias("offset_m"), lat.alias("proj_lat"), lng.alias("proj_lng"), "distance_m")
+    best = pairs.groupBy(*keys).agg(F.min_by(at, F.struct(F.round("distance_m", 6), "edge_id", "leg")).alias("_at"))
+    return best.select(*keys, *(F.col("_at")[c].alias(c) for c in ("edge_id", "offset_m", "proj_lat", "proj_lng", "distance_m") if c not in keys))
+
+
 def polyline_candidates(points: DataFrame, edges: DataFrame, *, keys: list[str], radius: float = 60.0, k: int = 8, size: float = 0.001) -> DataFrame:
     """The `k` nearest edges (edge_id, points: array of (lat, lng)) within `radius` metres of each point.
 
     An edge counts by its nearest segment, of equally near ones the first; `offset_m` is the way
     along the edge to the projection. Edges of fewer than two points have no segments.
     """
-    pairs = _pairs_within(points, polyline_segments(edges.where(F.size("points") >= 2)), radius, size)
-    at = F.struct((F.col("before_m") + F.col("share") * F.col("length_m")).alias("offset_m"), (F.col("lat1") + F.col("share") * (F.col("lat2") - F.col("lat1"))).alias("proj_lat"), (F.col("lng1") + F.col("share") * (F.col("lng2") - F.col("lng1"))).alias("proj_lng"), "distance_m")
-    best = pairs.groupBy(*keys, "edge_id").agg(F.min_by(at, F.struct(F.round("distance_m", 6), "leg")).alias("_at"))
-    order = W.partitionBy(*keys).orderBy(F.round("_at.distance_m", 6), "edge_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "edge_id", "rank", "_at.*")
+    pairs = segments_within(points, polyline_segments(edges.where(F.size("points") >= 2)), radius, size)
+    best = nearest_on_segments(pairs, [*keys, "edge_id"])
+    order = W.partitionBy(*keys).orderBy(F.round("distance_m", 6), "edge_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*keys, "edge_id", "rank", "offset_m", "proj_lat", "proj_lng", "distance_m")
 
 
 def _short_way(degrees: Column) -> Column:

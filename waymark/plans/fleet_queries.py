@@ -12,9 +12,10 @@ from waymark.operators import estimators as E
 from waymark.operators import matching as M
 from waymark.operators import persistence as P
 from waymark.operators import roads as R
+from waymark.operators import routes as V
 from waymark.operators import training as D
 from waymark.operators import trips as T
-from waymark.plans.adapter import LAT0, LNG0, ROADS, SIDE, TELEMETRY, both_ways, road_nodes, road_segments, table, telemetry
+from waymark.plans.adapter import LAT0, LNG0, ROADS, SIDE, STEP, TELEMETRY, TWO_WAY, both_ways, road_nodes, road_segments, table, telemetry
 from waymark.plans.trip_queries import BASE, hav, rounded
 from waymark.sources.files import overpass_nodes, overpass_ways, pair_sessions
 
@@ -369,6 +370,26 @@ def prefetch_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.fold(rows, E.PrefetchTrigger, ["t_ms", "lat", "lng", "v"], E.PrefetchTrigger.OUTPUTS)
 
 
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of crossings: those nearest to a row and to the next one of its session."""
+    node = (F.floor((F.col("lat") - LAT0) / STEP + 0.5) * SIDE + F.floor((F.col("lng") - LNG0) / STEP + 0.5)).cast("long")
+    rows = telemetry(spark, sf_dir).withColumn("source", node)
+    return rows.withColumn("target", F.lead("source").over(T.along())).where("target IS NOT NULL").select("source", "target").distinct()
+
+
+@query(f"""WITH RECURSIVE {TELEMETRY}, {TWO_WAY}, walked AS (SELECT floor((lat - {LAT0}) / {STEP} + 0.5) * {SIDE} + floor((lng - {LNG0}) / {STEP} + 0.5) AS source, lead(floor((lat - {LAT0}) / {STEP} + 0.5) * {SIDE} + floor((lng - {LNG0}) / {STEP} + 0.5)) OVER (PARTITION BY session_id ORDER BY seq) AS target FROM tel),
+asked AS (SELECT DISTINCT CAST(source AS BIGINT) AS source, CAST(target AS BIGINT) AS target FROM walked WHERE target IS NOT NULL),
+roads AS (SELECT from_node AS a, to_node AS b, min({hav("lat1", "lng1", "lat2", "lng2")}) AS m FROM streets GROUP BY from_node, to_node),
+far(source, node, metres) USING KEY (source, node) AS (SELECT source, source, CAST(0 AS DOUBLE) FROM (SELECT DISTINCT source FROM asked)
+  UNION SELECT f.source, r.b, min(f.metres + r.m) FROM far f JOIN roads r ON r.a = f.node LEFT JOIN recurring.far k ON k.source = f.source AND k.node = r.b WHERE f.metres <= 3000 AND f.metres + r.m < coalesce(k.metres, 1e300) GROUP BY f.source, r.b)
+SELECT asked.source, asked.target, round(CASE WHEN asked.source = asked.target THEN 0 WHEN asked.target IN (SELECT a FROM roads) THEN metres END, 4) AS metres FROM asked LEFT JOIN far ON far.source = asked.source AND far.node = asked.target""")
+def bounded_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths of the routes between the crossings of rows that follow each other, searched 3000 m far."""
+    streets = both_ways(road_segments(spark, sf_dir))
+    edges = streets.withColumn("length_m", G.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2")))
+    return rounded(V.bounded_routes(edges, _asked(spark, sf_dir)), 4)
+
+
 @query()
 def matched_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = road_segments(spark, sf_dir)
