@@ -86,7 +86,8 @@ def expanded_runs(rows: DataFrame, kept: DataFrame, columns: list[str]) -> DataF
     """All of `rows` with `columns` of the row that stands for each in `kept`: itself or the next one there."""
     known = F.struct(*columns)
     joined = rows.join(kept.select(KEY, ORDER, known.alias("_known")), [KEY, ORDER], "left")
-    next_one = F.first("_known", ignorenulls=True).over(along().rowsBetween(W.currentRow, W.unboundedFollowing))
+    back = W.partitionBy(KEY).orderBy(F.desc(ORDER)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    next_one = F.last("_known", ignorenulls=True).over(back)
     return joined.withColumn("_next", next_one).select(*rows.columns, *(F.col("_next")[c].alias(c) for c in columns))
 
 

@@ -167,15 +167,6 @@ def last_rows(rows: DataFrame, n: int, *order: str) -> DataFrame:
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 
-def ema(rows: DataFrame, column: str, alpha: float, name: str) -> DataFrame:
-    """First-order filter that starts at the first value. Per session one array, folded in order.
-
-    A session is gathered into one array: give this operator sessions that fit a task.
-    """
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct(ORDER, column))), lambda p: p[column])
-    return rows.groupBy(KEY).agg(ordered.alias("_v")).select(KEY, F.aggregate(F.slice("_v", 2, F.size("_v")), F.element_at("_v", 1), lambda a, x: a + alpha * (x - a)).alias(name))
-
-
 def session_diagnostics(rows: DataFrame) -> DataFrame:
     """Counts, duration, sampling rate, gaps beyond twice the median step, repeated times, ranges."""
     w = along()

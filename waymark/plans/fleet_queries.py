@@ -13,6 +13,7 @@ from waymark.operators import matching as M
 from waymark.operators import persistence as P
 from waymark.operators import roads as R
 from waymark.operators import routes as V
+from waymark.operators import scans as C
 from waymark.operators import training as D
 from waymark.operators import trips as T
 from waymark.plans.adapter import LAT0, LNG0, ROADS, SIDE, STEP, TELEMETRY, TWO_WAY, both_ways, road_nodes, road_segments, table, telemetry
@@ -296,8 +297,8 @@ SELECT q.session_id, q.seq, CASE WHEN score >= 0.7 THEN CASE WHEN mode = 'GOOD'
 
 
 def _machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = telemetry(spark, sf_dir).select("session_id", "seq", (~F.col("is_dr")).alias("available"), (F.col("accuracy_m") / 2).alias("accuracy"))
-    return E.fold(rows, E.QualityMachine, ["available", "accuracy"], E.QualityMachine.OUTPUTS)
+    rows = telemetry(spark, sf_dir).select("session_id", "seq", "is_dr", "accuracy_m")
+    return C.quality_modes(rows, ~F.col("is_dr"), F.col("accuracy_m") / 2)
 
 
 @query(MACHINE + " SELECT m.session_id, m.seq, mode, round(score, 6) AS score, mode <> 'GOOD' AS ai_active, mode = 'LOST' AS skip_gnss FROM m JOIN q ON q.session_id = m.session_id AND q.seq = m.seq WHERE m.seq > 0")
@@ -361,7 +362,22 @@ def fused_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH RECURSIVE {TELEMETRY}, e(session_id, seq, last, emitted) AS (SELECT session_id, seq, t_ms, true FROM tel WHERE seq = 1 UNION ALL SELECT t.session_id, t.seq, CASE WHEN t.t_ms - e.last >= 20000000 THEN t.t_ms ELSE e.last END, t.t_ms - e.last >= 20000000 FROM e JOIN tel t ON t.session_id = e.session_id AND t.seq = e.seq + 1) SELECT session_id, seq, emitted FROM e""")
 def thinned_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.fold(telemetry(spark, sf_dir), lambda: E.Thinning(20_000_000), ["t_ms"], E.Thinning.OUTPUTS)
+    return C.thinned(telemetry(spark, sf_dir).select("session_id", "seq", "t_ms"), "t_ms", 20_000_000).select("session_id", "seq", "emitted")
+
+
+@query(f"""WITH RECURSIVE {TELEMETRY}, z AS (SELECT session_id, seq, t_ms, t_ms + 20000000 + (seq * 7919 + session_id * 104729) % 100000000 AS due, NOT is_dr AS ok, lead(t_ms) OVER (PARTITION BY session_id ORDER BY seq) AS after FROM tel),
+e(session_id, seq, due, is_reset) AS (SELECT session_id, seq, due, coalesce(ok AND after > due, false) FROM z WHERE seq = 1 UNION ALL SELECT z.session_id, z.seq, CASE WHEN z.ok AND z.after > e.due THEN z.due ELSE e.due END, coalesce(z.ok AND z.after > e.due, false) FROM e JOIN z ON z.session_id = e.session_id AND z.seq = e.seq + 1) SELECT session_id, seq, is_reset FROM e""")
+def reanchor_resets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resets of the inertial way after intervals drawn from a hash of session and row."""
+    rows = telemetry(spark, sf_dir).select("session_id", "seq", "t_ms", (~F.col("is_dr")).alias("fix"))
+    drawn = 20_000_000 + (F.col("seq") * 7919 + F.col("session_id") * 104729) % 100_000_000
+    return C.reanchored(rows, "t_ms", drawn, F.col("fix")).select("session_id", "seq", "is_reset")
+
+
+@query(f"""WITH RECURSIVE {TELEMETRY}, e(session_id, seq, filtered) AS (SELECT session_id, seq, CAST(speed_kmh AS DOUBLE) FROM tel WHERE seq = 1 UNION ALL SELECT t.session_id, t.seq, e.filtered + 1 / (10 * pi()) * (t.speed_kmh - e.filtered) FROM e JOIN tel t ON t.session_id = e.session_id AND t.seq = e.seq + 1) SELECT session_id, seq, round(filtered, 6) AS filtered FROM e""")
+def ema_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The filtered value of each row, by an irrational factor, so that no value lies between two roundings."""
+    return rounded(C.scanned(telemetry(spark, sf_dir).select("session_id", "seq", "speed_kmh"), C.Ema(1 / (10 * np.pi)), ["speed_kmh"]))
 
 
 @query()

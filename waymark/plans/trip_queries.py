@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.functions import geodesy as G
 from waymark.functions import labels as L
 from waymark.operators import trips as T
+from waymark.operators.scans import Ema, scanned
 from waymark.plans.adapter import TELEMETRY, telemetry
 
 QUERIES: dict = {}
@@ -262,7 +263,8 @@ def gnss_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @step_query(""" SELECT session_id, round(list_reduce(list(speed_kmh ORDER BY seq), lambda a, x: a + CAST(0.05 AS DOUBLE) * (x - a)), 6) AS filtered FROM s GROUP BY session_id""")
 def ema_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(T.ema(telemetry(spark, sf_dir), "speed_kmh", 0.05, "filtered"))
+    found = scanned(telemetry(spark, sf_dir).select("session_id", "seq", "speed_kmh"), Ema(0.05), ["speed_kmh"])
+    return rounded(found.groupBy("session_id").agg(F.max_by("filtered", "seq").alias("filtered")))
 
 
 @step_query(""" SELECT session_id, seq, seq * 0.1 BETWEEN lo + 0.4 * (hi - lo) AND lo + 0.4 * (hi - lo) + 2.0 AS blackout, seq - 1 >= floor(n * CAST(0.4 AS DOUBLE)) AND seq - 1 < floor(n * CAST(0.4 AS DOUBLE)) + 20 AS blackout_row FROM (SELECT *, min(seq * CAST(0.1 AS DOUBLE)) OVER w AS lo, max(seq * CAST(0.1 AS DOUBLE)) OVER w AS hi, count(*) OVER w AS n FROM s WINDOW w AS (PARTITION BY session_id))""".replace("seq * 0.1 BETWEEN lo", "seq * CAST(0.1 AS DOUBLE) BETWEEN lo").replace("0.4 * (hi", "CAST(0.4 AS DOUBLE) * (hi"))
