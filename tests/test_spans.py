@@ -4,7 +4,9 @@ import json
 import math
 from pathlib import Path
 
+from pyspark.sql import functions as F
 from waymark.operators import matching as M
+from waymark.operators import trips as T
 from waymark.operators import persistence as P
 from waymark.operators import roads as R
 from waymark.operators import spans as S
@@ -93,8 +95,36 @@ def test_labelled_files_and_dataset(spark, tmp_path):
     (manifest,) = (json.loads(p.read_text()) for p in (tmp_path / "set" / "manifest").glob("part-*") if p.stat().st_size)
     assert manifest == {"total_windows": 1, "clip_threshold": 50.0, "window_size": 20, "stride": 5}
     P.write_labelled(rows, str(tmp_path / "out"))
-    again = spark.read.option("header", True).csv(str(tmp_path / "out"))
-    assert {(r["session_id"], r["count"]) for r in again.groupBy("session_id").count().collect()} == {("a", 25), ("b", 3)}
+    again = read_labelled(spark, str(tmp_path / "out"))
+    assert sorted((r["session_id"], r["seq"], r["x"], r["err"]) for r in again.collect()) == sorted((r["session_id"], r["seq"], r["x"], r["err"]) for r in rows.collect())
+    odd = rows.where("session_id = 'b'").withColumn("session_id", F.lit("trip 1/2 é"))
+    P.write_labelled(odd, str(tmp_path / "odd"))
+    assert {r["session_id"] for r in read_labelled(spark, str(tmp_path / "odd")).collect()} == {"trip 1/2 é"}
+
+
+def test_files_of_different_headers_in_one_folder(spark, tmp_path):
+    (tmp_path / "a b.csv").write_text("Latitude,Longitude,Speed_KmH\n1,2,3\n")
+    (tmp_path / "b.csv").write_text("# Origin: Here\nSpeed_KmH,Latitude,Longitude,Source_Type\n30,10,20,GNSS\n,11,21,\n")
+    rows = sorted((r["Latitude"], r["Longitude"], r["Speed_KmH"], r["Source_Type"], r["row"]) for r in read_telemetry(spark, str(tmp_path)).collect())
+    assert rows == [(1.0, 2.0, 3.0, None, 0), (10.0, 20.0, 30.0, "GNSS", 0), (11.0, 21.0, 0.0, None, 1)]
+    (tmp_path / "logs").mkdir()
+    for name, header in (("V-1", "Latitude (degrees),Velocity (km/hr)"), ("V-2", "Velocity (km/hr),Latitude (degrees)")):
+        (tmp_path / "logs" / f"{name}.csv").write_text(f"{header}\n5,6\n")
+    logs = read_vehicle_log(spark, str(tmp_path / "logs")).collect()
+    assert sorted((r["lat"], r["speed"]) for r in logs) == [(5.0, 6.0), (6.0, 5.0)]
+    (tmp_path / "x_labeled.csv").write_text("p,q\n1,2\n")
+    (tmp_path / "y_labeled.csv").write_text("q,p,r\n1,2,3\n")
+    assert sorted((r["p"], r["q"], r["r"]) for r in read_labelled(spark, str(tmp_path)).collect()) == [(1.0, 2.0, None), (2.0, 1.0, 3.0)]
+
+
+def test_truth_of_one_time_is_one_row_and_clocks_start_above_zero(spark):
+    samples = spark.createDataFrame([(1, 1, 5.0)], "session_id long, seq long, t double")
+    truth = spark.createDataFrame([(1, 5.0, 2.0, 3.0), (1, 5.0, 1.0, 9.0)], "session_id long, t double, x double, y double")
+    (row,) = T.interpolated(samples, truth, "t", ["x", "y"]).collect()
+    assert (row["true_x"], row["true_y"]) == (1.0, 9.0)
+    clock = spark.createDataFrame([(1, i, t, 1.0 * i) for i, t in enumerate([-100, 50_000, 40_000, 40_001, 90_000], 1)], "session_id long, seq long, t_ms long, x double")
+    found = {r["seq"]: r["clock"] for r in T.imu_anomalies(clock, ["x"]).collect()}
+    assert found == {1: False, 2: False, 3: True, 4: False, 5: True}
 
 
 def test_vehicle_log(spark, tmp_path):

@@ -88,9 +88,9 @@ def interpolated(samples: DataFrame, truth: DataFrame, at: str, columns: list[st
     """Linear interpolation of truth columns at the samples' times, held constant outside the truth's range.
 
     Both sides are put in one order by session and time; the nearest truth rows before and after come
-    from two running windows. Of truth rows with one time the first by value is used.
+    from two running windows. Of truth rows with one time the first by value is used, as a whole row.
     """
-    known = truth.groupBy(KEY, at).agg(*(F.min(c).alias(c) for c in columns))
+    known = truth.groupBy(KEY, at).agg(F.min(F.struct(*columns)).alias("_one")).select(KEY, at, *(F.col("_one")[c].alias(c) for c in columns))
     both = samples.select("*", *(F.lit(None).cast("double").alias(f"_{c}") for c in columns), F.lit(None).cast(samples.schema[at].dataType).alias("_t")).unionByName(known.select(KEY, at, *(F.col(c).alias(f"_{c}") for c in columns), F.col(at).alias("_t")), allowMissingColumns=True)
     back, ahead = (W.partitionBy(KEY).orderBy(order).rangeBetween(W.unboundedPreceding, 0) for order in (F.asc(at), F.desc(at)))
     names = ["_t", *(f"_{c}" for c in columns)]
@@ -227,14 +227,18 @@ def staleness(rows: DataFrame, *, time: str = "t_ms", stale_s: float = 10.0, spe
 
 
 def imu_anomalies(rows: DataFrame, axes: list[str], *, time: str = "t_ms", repeats: int = 15, gap_ms: int = 10_000) -> DataFrame:
-    """Samples of a frozen sensor (`repeats` identical ones after the first) and of a clock that falls back or leaps, with the severity."""
+    """Samples of a frozen sensor (`repeats` identical ones after the first) and of a clock that falls back or leaps, with the severity.
+
+    A clock is judged only against a time above 0.
+    """
     w = along()
     same = F.lit(True)
     for axis in axes:
         same = same & (F.col(axis) == F.lag(axis).over(w))
     counted = consecutive(rows, same, "_same")
-    dt = F.col(time) - F.lag(time).over(w)
-    flagged = counted.withColumns({"frozen": F.col("_same") >= repeats, "clock": F.coalesce((dt < 0) | (dt > gap_ms), F.lit(False))})
+    last = F.lag(time).over(w)
+    dt = F.col(time) - last
+    flagged = counted.withColumns({"frozen": F.col("_same") >= repeats, "clock": F.coalesce((last > 0) & ((dt < 0) | (dt > gap_ms)), F.lit(False))})
     return flagged.withColumn("severity", F.when(F.col("frozen"), "HIGH").when(F.col("clock"), "MEDIUM").otherwise("NONE")).drop("_same")
 
 

@@ -188,8 +188,8 @@ def staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(T.staleness(rows, time="t").select("session_id", "seq", "age_s", "stale", "speed_fresh", "source_fresh"))
 
 
-@query(f"""WITH {TELEMETRY}, a AS (SELECT session_id, seq, CASE WHEN event_type = 'signup' AND seq % 40 > 30 THEN -t_ms ELSE seq * 100 END AS t, seq // 20 AS x, k * 0 AS y FROM tel), b AS (SELECT *, x = lag(x) OVER w AND y = lag(y) OVER w AS same, t - lag(t) OVER w AS dt FROM a WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
-c AS (SELECT *, seq - coalesce(max(CASE WHEN NOT coalesce(same, false) THEN seq END) OVER (PARTITION BY session_id ORDER BY seq), 0) AS n FROM b) SELECT session_id, seq, n >= 15 AS frozen, coalesce(dt < 0 OR dt > 10000, false) AS clock, CASE WHEN n >= 15 THEN 'HIGH' WHEN dt < 0 OR dt > 10000 THEN 'MEDIUM' ELSE 'NONE' END AS severity FROM c""")
+@query(f"""WITH {TELEMETRY}, a AS (SELECT session_id, seq, CASE WHEN event_type = 'signup' AND seq % 40 > 30 THEN -t_ms ELSE seq * 100 END AS t, seq // 20 AS x, k * 0 AS y FROM tel), b AS (SELECT *, x = lag(x) OVER w AND y = lag(y) OVER w AS same, t - lag(t) OVER w AS dt, lag(t) OVER w AS was FROM a WINDOW w AS (PARTITION BY session_id ORDER BY seq)),
+c AS (SELECT *, seq - coalesce(max(CASE WHEN NOT coalesce(same, false) THEN seq END) OVER (PARTITION BY session_id ORDER BY seq), 0) AS n FROM b) SELECT session_id, seq, n >= 15 AS frozen, coalesce(was > 0 AND (dt < 0 OR dt > 10000), false) AS clock, CASE WHEN n >= 15 THEN 'HIGH' WHEN was > 0 AND (dt < 0 OR dt > 10000) THEN 'MEDIUM' ELSE 'NONE' END AS severity FROM c""")
 def imu_anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A sensor that changes its value every twenty samples, and a clock that leaps."""
     leaps = (F.col("event_type") == "signup") & (F.col("seq") % 40 > 30)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -24,17 +27,40 @@ def resolve(columns: list[str], wanted: str) -> str:
     raise KeyError(wanted)
 
 
+def by_header(spark: SparkSession, path: str, comment: str | None = None) -> list[list[str]]:
+    """The files under `path` (a pattern, folder or file), those with the same header line together.
+
+    A header is a file's first line that does not begin with `comment`. The driver holds a name and
+    a header for each file, as it does for any listing.
+    """
+    lines = spark.read.text(path).select("value", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at"))
+    if comment:
+        lines = lines.where(~F.startswith("value", F.lit(comment)))
+    firsts = lines.groupBy("file").agg(F.min_by(F.rtrim("value"), "at").alias("header")).orderBy("file").collect()
+    groups: dict[str, list[str]] = {}
+    for row in firsts:
+        groups.setdefault(row["header"], []).append(unquote(row["file"]))
+    return list(groups.values())
+
+
+def united(parts: list[DataFrame]) -> DataFrame:
+    """Rows of several layouts by column name; columns a layout lacks are null."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
 def read_log(spark: SparkSession, path: str, columns: dict[str, str]) -> DataFrame:
-    """The columns of a log that it has, under their logical names, as doubles, with the file they come from and a row number in it."""
-    raw = spark.read.option("header", True).option("encoding", "iso-8859-1").csv(path)
-    found = {}
-    for name, header in columns.items():
-        try:
-            found[name] = resolve(raw.columns, header)
-        except KeyError:
-            continue
-    rows = raw.select(*(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(n) for n, c in found.items()), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"))
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("file").orderBy("_id")).cast("long")).drop("_id")
+    """The columns of a log that it has, under their logical names, as doubles, with the file they come from and a row number in it; files may differ in their headers."""
+    parts = []
+    for files in by_header(spark, path):
+        raw = spark.read.option("header", True).option("encoding", "iso-8859-1").csv(files)
+        found = {}
+        for name, header in columns.items():
+            try:
+                found[name] = resolve(raw.columns, header)
+            except KeyError:
+                continue
+        parts.append(raw.select(*(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(n) for n, c in found.items()), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id")))
+    return united(parts).withColumn("seq", F.row_number().over(W.partitionBy("file").orderBy("_id")).cast("long")).drop("_id")
 
 
 def read_phone_log(spark: SparkSession, path: str, columns: dict[str, str] | None = None) -> DataFrame:
@@ -49,11 +75,25 @@ def read_vehicle_log(spark: SparkSession, path: str, columns: dict[str, str] | N
 
 
 def read_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled sessions (`*_labeled.csv` under `path`): numbers as doubles, session_id from the file's name, seq its row number."""
-    raw = spark.read.option("header", True).csv(f"{path.rstrip('/')}/*_labeled.csv")
-    name = F.regexp_extract(F.input_file_name(), r"([^/]*)_labeled\.csv$", 1)
-    rows = raw.select(*(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(c) for c in raw.columns), name.alias("session_id"), F.monotonically_increasing_id().alias("_id"))
-    return rows.withColumn("seq", F.row_number().over(W.partitionBy("session_id").orderBy("_id")).cast("long")).drop("_id")
+    """Labelled sessions: numbers as doubles, session_id, and seq, the row number.
+
+    Reads files `*_labeled.csv` under `path`, the session in the name, and folders `session_id=...`
+    as `write_labelled` makes them; headers may differ.
+    """
+    top = path.rstrip("/")
+    place = spark._jvm.org.apache.hadoop.fs.Path(top)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    parts = []
+    for pattern, name in (("*_labeled.csv", r"([^/]*)_labeled\.csv$"), ("session_id=*/*.csv", r"session_id=([^/]*)/[^/]*$")):
+        if not len(system.globStatus(spark._jvm.org.apache.hadoop.fs.Path(place, pattern))):
+            continue
+        for files in by_header(spark, f"{top}/{pattern}"):
+            raw = spark.read.option("header", True).csv(files)
+            session = F.url_decode(F.regexp_extract(F.url_decode(F.replace(F.input_file_name(), F.lit("+"), F.lit("%2B"))), name, 1))
+            parts.append(raw.select(*(F.expr(f"try_cast(trim(`{c}`) AS double)").alias(c) for c in raw.columns if c != "seq"), session.alias("session_id"), F.monotonically_increasing_id().alias("_id")))
+    if not parts:
+        raise FileNotFoundError(f"no labelled sessions under {path}")
+    return united(parts).withColumn("seq", F.row_number().over(W.partitionBy("session_id").orderBy("_id")).cast("long")).drop("_id")
 
 
 def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -73,20 +113,23 @@ def graph_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return placed.select(F.coalesce(one("osmid"), F.concat_ws("_", "u", "v", "key")).alias("edge_id"), F.col("u").alias("from_node"), F.col("v").alias("to_node"), "lat1", "lng1", "lat2", "lng2", F.coalesce(F.col("oneway"), F.lit(False)).alias("oneway"), F.coalesce(one("name"), F.lit("")).alias("name"))
 
 
+def _typed(column: str, name: str) -> Column:
+    kind = "boolean" if name.startswith(("Is_", "Gnss_Rejected", "GNSS_Uncorroborated", "GNSS_Applied")) else "string" if name in ("Time_ISO", "Source_Type", "ZUPT_State") else "long" if name.endswith(("Epoch_Ms", "CB_Timestamp")) else "double"
+    return F.expr(f"try_cast(nullif(trim(`{column}`), '') AS {kind})")
+
+
 def read_telemetry(spark: SparkSession, path: str) -> DataFrame:
-    """Telemetry CSV of any of its layouts, by header names: lines that begin with # are skipped, rows without a position dropped.
+    """Telemetry CSV of any of its layouts, in one folder too, by header names: lines that begin with # are skipped, rows without a position dropped.
 
     Missing accuracy is 15, missing speed and heading 0; `row` numbers the rows that stay, from 0, in each file.
     """
-    raw = spark.read.option("header", True).option("comment", "#").csv(path)
-    names = {c: c.strip() for c in raw.columns}
-
-    def typed(c: str) -> Column:
-        kind = "boolean" if names[c].startswith(("Is_", "Gnss_Rejected", "GNSS_Uncorroborated", "GNSS_Applied")) else "string" if names[c] in ("Time_ISO", "Source_Type", "ZUPT_State") else "long" if names[c].endswith(("Epoch_Ms", "CB_Timestamp")) else "double"
-        value = F.expr(f"try_cast(nullif(trim(`{c}`), '') AS {kind})")
-        return F.coalesce(value, F.lit(TELEMETRY_DEFAULTS[names[c]])) if names[c] in TELEMETRY_DEFAULTS else value
-
-    rows = raw.select(*(typed(c).alias(names[c]) for c in raw.columns), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id"))
+    parts = []
+    for files in by_header(spark, path, "#"):
+        raw = spark.read.option("header", True).option("comment", "#").csv(files)
+        names = {c: c.strip() for c in raw.columns}
+        parts.append(raw.select(*(_typed(c, n).alias(n) for c, n in names.items()), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("_id")))
+    rows = united(parts)
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in TELEMETRY_DEFAULTS.items() if c in rows.columns})
     placed = rows.where("Latitude IS NOT NULL AND Longitude IS NOT NULL AND NOT isnan(Latitude) AND NOT isnan(Longitude)")
     return placed.withColumn("row", F.row_number().over(W.partitionBy("file").orderBy("_id")).cast("long") - 1).drop("_id")
 

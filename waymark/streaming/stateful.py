@@ -6,7 +6,7 @@ import pickle
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -83,15 +83,63 @@ def with_watermark(rows: DataFrame, time: str = "ts", delay: str = "10 minutes")
     return rows.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay)
 
 
-def append_once(rows: DataFrame, path: str, keys: list[str], checkpoint: str):
-    """Start a stream that appends rows whose keys are not stored yet; a replayed batch changes nothing."""
+def append_once(rows: DataFrame, path: str, keys: list[str], checkpoint: str, *, time: str | None = None, delay: str | None = None):
+    """Start a stream that appends rows whose keys are not stored yet; a replayed batch changes nothing.
+
+    With `time` (a timestamp that a key determines), the target is cut by `day`, and a batch reads
+    the keys of its own days only; without it, a batch reads all keys stored. With `delay` as well,
+    repeats within it are dropped in the state store before, and so are rows later than that.
+    """
+    if time is not None and delay is not None:
+        rows = with_watermark(rows, time, delay).dropDuplicatesWithinWatermark(keys)
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         new = batch.dropDuplicates(keys)
+        if time is not None:
+            new = new.withColumn("day", F.to_date(time))
         target = spark._jvm.org.apache.hadoop.fs.Path(path)
         if target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
-            new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
-        new.write.mode("append").parquet(path)
+            stored = spark.read.parquet(path)
+            if time is not None:
+                stored = stored.where(F.col("day").isin([r["day"] for r in new.select("day").distinct().collect()]))
+            new = new.join(stored.select(*keys), keys, "left_anti")
+        writer = new.write.mode("append")
+        (writer if time is None else writer.partitionBy("day")).parquet(path)
 
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+
+
+class _Latest(StatefulProcessor):
+    """Keeps the last row of each session, by order; passes on the rows that become it."""
+
+    def __init__(self, columns: list[str], schema: str):
+        self.columns, self.schema = columns, schema
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("latest", self.schema)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        every = pd.concat(list(rows), ignore_index=True)
+        last = every.loc[[every[ORDER].idxmax()]]
+        if not self.state.exists() or self.state.get()[self.columns.index(ORDER)] <= last[ORDER].iloc[0]:
+            self.state.update(tuple(v.item() if hasattr(v, "item") else v for v in last[self.columns].iloc[0]))
+            yield last[[KEY, *self.columns]]
+
+    def close(self) -> None:
+        pass
+
+
+def keep_latest(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """A stream whose state is each session's last row (ORDER and `columns`), to be asked for by `latest_states` at any time."""
+    names = list(dict.fromkeys((ORDER, *columns)))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in names)
+    return rows.select(KEY, *names).groupBy(KEY).transformWithStateInPandas(_Latest(names, schema), f"{KEY} {kinds[KEY]}, {schema}", "update", "none")
+
+
+def latest_states(spark: SparkSession, checkpoint: str, *, batch: int | None = None) -> DataFrame:
+    """KEY and the last row of each session as the stream at `checkpoint` left it, after `batch` if given: a read of its state store, while it runs or after it stopped."""
+    reader = spark.read.format("statestore").option("stateVarName", "latest")
+    state = (reader if batch is None else reader.option("batchId", batch)).load(checkpoint)
+    return state.select(f"key.{KEY}", "value.*")
