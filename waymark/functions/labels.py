@@ -33,15 +33,25 @@ def duration_text(seconds: Column, hours: bool = False) -> Column:
     return F.format_string("%dm %ds", F.floor(whole / 60), whole % 60)
 
 
-def turn_text(kind: Column, modifier: Column, street: Column) -> Column:
-    """Instruction of a route step."""
-    on = F.when(F.coalesce(street, F.lit("")) == "", F.lit("")).otherwise(F.concat(F.lit(" onto "), street))
+def vehicle_instruction(kind: Column, modifier: Column, street: Column, vehicle: Column) -> Column:
+    """The first wording of a route step, by vehicle (walking, bike or any other); a step without a street is on a path."""
+
+    def given(c: Column) -> Column:
+        return F.when(c != "", c)
+
+    # Fixed texts.
+    on = F.coalesce(given(street), F.lit("path"))
+    ahead = F.coalesce(F.regexp_replace(given(modifier), "^([^-]*)-", "$1 "), F.lit("ahead"))
+    begin = F.when(vehicle == "walking", "Start walking on ").when(vehicle == "bike", "Head out cycling on ").otherwise("Head on ")
+    onto = F.concat(F.lit(" onto "), on)
     return (
-        F.when(kind == "depart", F.concat(F.lit("Start"), on))
-        .when(kind == "arrive", F.lit("Arrive at destination"))
-        .when(kind.isin("roundabout", "rotary"), F.concat(F.lit("Take the roundabout"), on))
-        .when(modifier.isNotNull() & (modifier != "straight"), F.concat(F.lit("Turn "), modifier, on))
-        .otherwise(F.concat(F.lit("Continue"), on))
+        F.when(kind == "depart", F.concat(begin, on))
+        .when(kind == "arrive", F.concat(F.lit("Arrive at destination ("), on, F.lit(")")))
+        .when(kind.isin("turn", "end of road"), F.concat(F.lit("Turn "), ahead, onto))
+        .when(kind == "fork", F.concat(F.lit("Take the "), F.coalesce(given(modifier), F.lit("slight")), F.lit(" fork"), onto))
+        .when(kind.isin("roundabout", "rotary"), F.concat(F.lit("Enter roundabout and take exit"), onto))
+        .when(kind == "continue", F.concat(F.lit("Continue on "), on))
+        .otherwise(F.concat(F.coalesce(given(kind), F.lit("Proceed")), onto))
     )
 
 
@@ -139,6 +149,7 @@ def dynamic_transition(route: Column, straight: Column, beta: Column) -> Column:
 
 def step_instruction(kind: Column, modifier: Column, street: Column) -> Column:
     """The second wording of a route step, with the street where it has a name."""
+    # Fixed texts.
     named, kind = F.coalesce(street, F.lit("")) != "", F.coalesce(kind, F.lit("turn"))
     onto = F.when(named, F.concat(F.lit("onto "), street)).otherwise("")
     turn = F.when(F.coalesce(modifier, F.lit("")) != "", F.concat(F.lit(" "), modifier)).otherwise("")

@@ -105,14 +105,16 @@ def cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT session_id, seq, ['N', 'NE', 'E', 'SE', 'S', 'SW', 'W', 'NW'][CAST(CAST(floor(((k * 3.6) % 360) / 45 + 0.5) AS BIGINT) % 8 AS INT) + 1] AS wind,
   CASE WHEN speed_kmh / 100 < 1 THEN CAST(CAST(floor(speed_kmh / 100 * 1000 + 0.5) AS BIGINT) AS VARCHAR) || ' m' ELSE 'km' END AS distance,
   CAST(CAST(floor(k * 61) AS BIGINT) // 60 AS VARCHAR) || 'm ' || CAST(CAST(floor(k * 61) AS BIGINT) % 60 AS VARCHAR) || 's' AS duration, CAST(CAST(k * 61 AS BIGINT) // 3600 AS VARCHAR) || 'h ' || CAST(CAST(k * 61 AS BIGINT) % 3600 // 60 AS VARCHAR) || 'm' AS hours,
-  CASE WHEN seq = 1 THEN 'Start onto ' || event_type WHEN k < 50 THEN 'Turn left onto ' || event_type ELSE 'Continue onto ' || event_type END AS turn,
+  CASE WHEN seq = 1 THEN ['Start walking on ', 'Head out cycling on ', 'Head on '][CAST(k AS INT) % 3 + 1] || street WHEN k < 20 THEN 'Turn sharp left onto ' || street WHEN k < 30 THEN 'Turn ahead onto ' || street WHEN k < 40 THEN 'Take the left fork onto ' || street WHEN k < 50 THEN 'Take the slight fork onto ' || street WHEN k < 60 THEN 'Enter roundabout and take exit onto ' || street WHEN k < 70 THEN 'Continue on ' || street WHEN k < 80 THEN 'Arrive at destination (' || street || ')' WHEN k < 90 THEN 'merge onto ' || street ELSE 'Proceed onto ' || street END AS turn,
   round(floor(-speed_kmh * 10 + 0.5) / 10, 6) AS half_up, CASE WHEN is_dr THEN 'DEAD RECKONING' WHEN speed_kmh > 400 THEN 'GNSS REJECTED' WHEN accuracy_m >= 10 THEN 'GNSS DEGRADED' ELSE 'GNSS' END AS badge,
-  CAST(CASE WHEN NOT is_dr AND k < 50 THEN 1 WHEN NOT is_dr THEN 2 WHEN k < 50 THEN 3 ELSE 4 END AS BIGINT) AS scenario FROM tel""")
+  CAST(CASE WHEN NOT is_dr AND k < 50 THEN 1 WHEN NOT is_dr THEN 2 WHEN k < 50 THEN 3 ELSE 4 END AS BIGINT) AS scenario FROM (SELECT *, CASE WHEN CAST(k AS INT) % 7 = 0 THEN 'path' ELSE event_type END AS street FROM tel)""")
 def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, v, dr = F.col("k"), F.col("speed_kmh"), F.col("is_dr")
     km = v / 100
-    kind = F.when(F.col("seq") == 1, "depart").otherwise("turn")
-    return rounded(telemetry(spark, sf_dir).select(*COLUMNS, L.cardinal(k * 3.6).alias("wind"), F.when(km < 1, L.distance_text(km)).otherwise("km").alias("distance"), L.duration_text(k * 61).alias("duration"), L.duration_text(k * 61, hours=True).alias("hours"), L.turn_text(kind, F.when(k < 50, "left").otherwise("straight"), F.col("event_type")).alias("turn"), G.half_up(-v, 1).alias("half_up"), L.source_badge(F.when(dr, "IDR").otherwise("GNSS"), v > 400, L.gnss_state(F.col("accuracy_m"), F.lit(None).cast("int"), F.lit(None).cast("double"))).alias("badge"), L.connectivity(~dr, k < 50).alias("scenario")))
+    kind = F.when(F.col("seq") == 1, "depart").when(k < 20, "turn").when(k < 30, "end of road").when(k < 50, "fork").when(k < 60, "rotary").when(k < 70, "continue").when(k < 80, "arrive").when(k < 90, "merge")
+    modifier = F.when(k < 20, "sharp-left").when((k >= 30) & (k < 40), "left").when(k < 25, "")
+    street, vehicle = F.when(k.cast("int") % 7 != 0, F.col("event_type")), F.element_at(F.array(*map(F.lit, ("walking", "bike", "car"))), k.cast("int") % 3 + 1)
+    return rounded(telemetry(spark, sf_dir).select(*COLUMNS, L.cardinal(k * 3.6).alias("wind"), F.when(km < 1, L.distance_text(km)).otherwise("km").alias("distance"), L.duration_text(k * 61).alias("duration"), L.duration_text(k * 61, hours=True).alias("hours"), L.vehicle_instruction(kind, modifier, street, vehicle).alias("turn"), G.half_up(-v, 1).alias("half_up"), L.source_badge(F.when(dr, "IDR").otherwise("GNSS"), v > 400, L.gnss_state(F.col("accuracy_m"), F.lit(None).cast("int"), F.lit(None).cast("double"))).alias("badge"), L.connectivity(~dr, k < 50).alias("scenario")))
 
 
 @query("""SELECT DISTINCT session_id, CAST(floor(lat / 0.025) AS BIGINT) AS cell_row, CAST(floor(lng / 0.025) AS BIGINT) AS cell_col, CAST(CAST(floor(lat / 0.025) AS BIGINT) AS VARCHAR) || '_' || CAST(CAST(floor(lng / 0.025) AS BIGINT) AS VARCHAR) AS cell_key,
