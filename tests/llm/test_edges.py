@@ -261,3 +261,8 @@ def test_network_like_plain_convolution():
 def test_reserved_names_are_refused(spark, name):
     with pytest.raises(ValueError, match="reserved"):
         sharding.shard_rows(spark.range(3).withColumn(name, F.lit(1)), 2, ["id"])
+
+
+def test_sample_of_a_huge_language_is_not_empty():
+    assert language_id.bar_of(10, 300) == 1 << 62
+    assert all(abs(language_id.bar_of(n, 300) / 2**62 * n - 900) < 1e-3 for n in (10**6, 10**9, 10**13))

@@ -156,14 +156,19 @@ def in_fold(id_col: str, folds: int, fold: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
 
+def bar_of(n: int, rows: int) -> int:
+    """Hashes (of 62 bits) below it take part in the draw from `n` rows: three times the wanted `rows` are expected."""
+    return int((1 << 62) * min(1.0, 3 * rows / n))
+
+
 def training_sample(docs: DataFrame, *, id_col: str, text_col: str, label_col: str, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> list[tuple[str, str]]:
     """(text, label) of at most `rows` rows of each label, chosen by hash, and `chars` characters of each from a place chosen by hash."""
-    hashed = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1 << 20))
+    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 2)
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(label_col).alias("label"), F.col(text_col).alias("text"), hashed.alias("place"))
     sizes = {r["label"]: r["n"] for r in labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return []
-    bars = F.create_map([F.lit(x) for name, n in sizes.items() for x in (name, int((1 << 20) * min(1.0, 3 * rows / n)))])
+    bars = F.create_map([F.lit(x) for name, n in sizes.items() for x in (name, bar_of(n, rows))])
     start = F.pmod(F.col("place"), F.greatest(F.length("text") - chars + 1, F.lit(1))).cast("int") + 1
     few = labelled.where(F.col("place") < bars[F.col("label")]).select("label", "place", F.col("text").substr(start, F.lit(chars)).alias("text"))
     ranked = few.withColumn("_rank", F.row_number().over(W.partitionBy("label").orderBy("place", "text"))).where(F.col("_rank") <= rows)
