@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions import labels as L
-from waymark.functions.checkpoints import cut
+from waymark.functions.checkpoints import written
 from waymark.functions.geodesy import haversine
 from waymark.operators.matching import chosen, listed, moves_between, viterbi
 from waymark.operators.roads import METRES_A_DEGREE, nearest_on_segments, polyline_candidates, polyline_segments, segments_within
@@ -30,13 +30,13 @@ def nearest_edges(points: DataFrame, edges: DataFrame, *, keys: list[str], first
     in boxes of that size, so a point always looks into one box and an edge lies in few. Without
     edges there are no rows.
     """
-    segments, left, found, radius = cut(polyline_segments(edges.where(F.size("points") >= 2))), cut(points), None, first_m
+    segments, left, found, radius = written(polyline_segments(edges.where(F.size("points") >= 2))), written(points), None, first_m
     while radius < 4 * FARTHEST_M and not left.isEmpty():
         size = max(0.001, 2 * radius / METRES_A_DEGREE)
         near = segments_within(left, segments, radius, 360.0 / max(1, int(360 / min(size, 360.0))))
-        best = cut(nearest_on_segments(near, keys))
+        best = written(nearest_on_segments(near, keys))
         found = best if found is None else found.unionByName(best)
-        left, radius = cut(left.join(best, keys, "left_anti")), radius * 4
+        left, radius = written(left.join(best, keys, "left_anti")), radius * 4
     if found is None:
         return nearest_on_segments(segments_within(points, segments, first_m, 0.001).where("false"), keys)
     return found
@@ -57,14 +57,14 @@ def widened_candidates(rows: DataFrame, edges: DataFrame) -> DataFrame:
     found = rows.withColumn("_limit", limit).join(lists, keys, "left").withColumn("tight", tight)
     close = F.size("tight") > 0
     found = found.withColumns({"options": F.when(close, F.col("tight")).otherwise(F.col("wide")), "step": F.when(close, "radius").when(F.col("wide").isNotNull(), "wider")})
-    found = cut(found.withColumn("_n", F.row_number().over(along())).drop("_limit", "wide", "tight"))
+    found = written(found.withColumn("_n", F.row_number().over(along())).drop("_limit", "wide", "tight"))
 
     lost = nearest_edges(found.where("_n = 1 AND options IS NULL").select(*keys, "lat", "lng"), edges, keys=keys)
     begun = found.join(lost.select(*keys, F.array(F.struct(*OPTION)).alias("_first")), keys, "left")
     step = F.when(F.col("options").isNull() & F.col("_first").isNotNull(), "nearest").otherwise(F.col("step"))
     begun = begun.withColumns({"step": step, "options": F.coalesce("options", "_first")}).drop("_first")
     before = F.last("options", ignorenulls=True).over(along().rowsBetween(W.unboundedPreceding, -1))
-    told = cut(begun.withColumn("_before", F.when(F.col("options").isNull(), F.transform(before, lambda c: c["edge_id"]))))
+    told = written(begun.withColumn("_before", F.when(F.col("options").isNull(), F.transform(before, lambda c: c["edge_id"]))))
 
     gone = told.where("options IS NULL").select(*keys, "lat", "lng", F.posexplode("_before").alias("_place", "edge_id"))
     onto = gone.join(polyline_segments(edges.where(F.size("points") >= 2)), "edge_id")
@@ -106,22 +106,22 @@ def match_adaptive(rows: DataFrame, edges: DataFrame) -> DataFrame:
     to_node, oneway, points (array of lat, lng). Slow dead reckoning is matched by its last row, whose
     place all rows of the run get. Without edges all are null.
     """
-    roads = cut(with_twins(edges))
+    roads = written(with_twins(edges))
     kept = kept_of_runs(rows).select(KEY, ORDER, "t_ms", "lat", "lng", F.coalesce("speed_kmh", F.lit(0.0)).alias("speed_kmh"), "accuracy_m", F.coalesce("is_dr", F.lit(True)).alias("is_dr"))
     w = along().rowsBetween(W.unboundedPreceding, W.currentRow)
     number, fix = F.row_number().over(along()), F.last(F.when(~F.col("is_dr"), F.col("_n")), ignorenulls=True).over(w)
     counted = kept.withColumn("_n", number).withColumn("_fix", fix)
     # the first row's own step is not counted among the emissions
-    counted = cut(counted.withColumns({"sigma": L.adaptive_sigma(F.col("accuracy_m"), F.col("is_dr"), F.col("_n") - F.coalesce("_fix", F.lit(0))), "weight": L.adaptive_sigma(F.col("accuracy_m"), F.col("is_dr"), F.col("_n") - F.coalesce("_fix", F.lit(1)))}).drop("_n", "_fix"))
+    counted = written(counted.withColumns({"sigma": L.adaptive_sigma(F.col("accuracy_m"), F.col("is_dr"), F.col("_n") - F.coalesce("_fix", F.lit(0))), "weight": L.adaptive_sigma(F.col("accuracy_m"), F.col("is_dr"), F.col("_n") - F.coalesce("_fix", F.lit(1)))}).drop("_n", "_fix"))
     found = widened_candidates(counted, roads.select("edge_id", "points")).where("options IS NOT NULL")
     ends = roads.select("edge_id", "from_node", "to_node", "length_m")
     about = found.select(KEY, ORDER, F.posexplode("options").alias("_place", "o")).select(KEY, ORDER, "_place", "o.*").join(ends, "edge_id")
     fields = (*OPTION, "from_node", "to_node", "length_m")
     lists = about.groupBy(KEY, ORDER).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", *fields))), lambda c: F.struct(*(c[f].alias(f) for f in fields))).alias("options"))
-    found = cut(found.drop("options").join(lists, [KEY, ORDER]))
+    found = written(found.drop("options").join(lists, [KEY, ORDER]))
 
     a, b = F.col("a"), F.col("b")
-    moves = cut(moves_between(found, ["t_ms", "speed_kmh", "is_dr"]))
+    moves = written(moves_between(found, ["t_ms", "speed_kmh", "is_dr"]))
     other = a["edge_id"] != b["edge_id"]
     named = moves.withColumns({"source": F.when(other, a["to_node"]), "target": F.when(other, b["from_node"])})
     p, q = F.element_at("points", 1), F.element_at("points", -1)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from waymark.functions.checkpoints import cut
+from waymark.functions.checkpoints import written
 from waymark.functions.geodesy import RADIUS_MEAN, haversine
 from waymark.functions.labels import emission
 from waymark.operators.roads import edge_candidates
@@ -143,10 +143,10 @@ def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: flo
     off_road = F.array(F.struct(*(alone.get(c, F.lit(None)).cast(kinds[c]).alias(c) for c in CANDIDATE)))
     known = F.when(~F.isnan("accuracy_m"), F.col("accuracy_m")).alias("accuracy_m")
     rows = points.select(KEY, ORDER, "lat", "lng", known).join(near, [KEY, ORDER], "left").withColumn("options", F.coalesce("near", off_road)).drop("near")
-    rows = cut(rows)
+    rows = written(rows)
 
     a, b = F.col("a"), F.col("b")
-    moves = cut(moves_between(rows, ["lat", "lng"]))
+    moves = written(moves_between(rows, ["lat", "lng"]))
     along = between_candidates(F.lit(None).cast("double"), backward_m=BACKWARD_M, backward_factor=BACKWARD_FACTOR, two_way=~a["oneway"])
     ends = {"source": F.when(along.isNull(), a["to_node"]), "target": F.when(along.isNull(), b["from_node"])}
     length = haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"), RADIUS_MEAN)
@@ -159,7 +159,7 @@ def match(points: DataFrame, edges: DataFrame, *, sigma: float = 4.07, beta: flo
     still = haversine(F.col("was_lat"), F.col("was_lng"), F.col("lat"), F.col("lng"), RADIUS_MEAN) < 0.5
     move = F.when(still & (a["edge_id"] == b["edge_id"]), 0.0).when(route.isNull(), BROKEN).otherwise(-np.log(beta) - F.abs(route - straight) / beta)
     emissions = F.transform("options", lambda c: emission(c["distance_m"], F.col("accuracy_m"), sigma))
-    path = cut(viterbi(rows.withColumn("emissions", emissions).join(listed(joined, move), [KEY, ORDER], "left")))
+    path = written(viterbi(rows.withColumn("emissions", emissions).join(listed(joined, move), [KEY, ORDER], "left")))
     sure = path.where("total IS NOT NULL").select(KEY, F.least(F.lit(1.0), F.exp(F.col("total") / F.col("n") / 10)).alias("confidence"))
     at = F.col("at")
     return chosen(rows, path).join(sure, KEY).select(KEY, ORDER, at["proj_lat"].alias("matched_lat"), at["proj_lng"].alias("matched_lng"), at["edge_id"].alias("edge_id"), "confidence")

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.checkpoints import cut
+from waymark.functions.checkpoints import written
 
 #: Most nodes of a cell, degrees of the widest cell, and quarterings after which even a fuller cell stays whole.
 NODES, WIDEST, QUARTERINGS = 512, 0.02, 20
@@ -26,17 +26,17 @@ RADIUS = 2000.0
 
 def cells_of(nodes: DataFrame, most: int = NODES, widest: float = WIDEST) -> DataFrame:
     """node_id and cell (a name) of (node_id, lat, lng): the widest squares with at most `most` nodes."""
-    done, left = None, cut(nodes)
+    done, left = None, written(nodes)
     for level in range(QUARTERINGS + 1):
         side = widest / 2**level
         named = left.withColumn("cell", F.concat_ws("/", F.lit(level), F.floor(F.col("lat") / side), F.floor(F.col("lng") / side)))
         full = named.groupBy("cell").count().where(F.col("count") > most).select("cell") if level < QUARTERINGS else named.select("cell").where("false")
         fits = named.join(full, "cell", "left_anti").select("node_id", "cell")
         done = fits if done is None else done.unionByName(fits)
-        left = cut(named.join(full, "cell", "left_semi").drop("cell"))
+        left = written(named.join(full, "cell", "left_semi").drop("cell"))
         if left.isEmpty():
             break
-    return cut(done)
+    return written(done)
 
 
 def min_plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -94,8 +94,8 @@ class Overlay:
         def cell(name: str) -> DataFrame:
             return cells.select(F.col("node_id").alias(name), F.col("cell").alias(f"{name}_cell"))
 
-        roads = cut(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("length_m").alias("metres")).join(cell("a"), "a").join(cell("b"), "b"))
-        self.pairs = cut(pairs.join(cell("source"), "source").join(cell("target"), "target"))
+        roads = written(edges.select(F.col("from_node").alias("a"), F.col("to_node").alias("b"), F.col("length_m").alias("metres")).join(cell("a"), "a").join(cell("b"), "b"))
+        self.pairs = written(pairs.join(cell("source"), "source").join(cell("target"), "target"))
         crossing = roads.where("a_cell <> b_cell")
         flags = [(crossing.select("a"), 1), (crossing.select("b"), 1), (self.pairs.select("source"), 2), (self.pairs.select("target"), 4)]
         marks = [df.toDF("node_id").distinct().withColumn("flag", F.lit(bit).cast("long")) for df, bit in flags]
@@ -103,9 +103,9 @@ class Overlay:
         rows = roads.where("a_cell = b_cell").select(F.col("a_cell").alias("cell"), F.lit(0).alias("kind"), "a", "b", "metres")
         rows = rows.union(roles.select("cell", F.lit(1), "node_id", "b", F.lit(0.0)))
         rows = rows.union(self.pairs.where("source_cell = target_cell").select("source_cell", F.lit(2), "source", "target", F.lit(0.0)))
-        self.inner = cut(rows.groupBy("cell").applyInArrow(_inside, "cell string, kind int, a long, b long, metres double"))
+        self.inner = written(rows.groupBy("cell").applyInArrow(_inside, "cell string, kind int, a long, b long, metres double"))
         shortest = crossing.groupBy("a", "b").agg(F.min("metres").alias("metres"))
-        self.overlay = cut(self.inner.where("kind = 0").select("a", "b", "metres").union(shortest))
+        self.overlay = written(self.inner.where("kind = 0").select("a", "b", "metres").union(shortest))
         self.cells = cells
 
 
@@ -146,24 +146,26 @@ def shortest(edges: DataFrame, pairs: DataFrame, *, most: float | None = None, n
     metres from itself, on the graph or not. Null ids take no part.
     """
     pairs = pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
-    done = [cut(pairs.where("source = target").withColumn("metres", F.lit(0.0)))]
+    done = [written(pairs.where("source = target").withColumn("metres", F.lit(0.0)))]
     o = Overlay(edges, pairs.where("source <> target"), nodes_of_cell, widest)
-    best = cut(o.inner.where("kind = 1").select(F.col("a").alias("source"), F.col("b").alias("node"), "metres", F.lit(True).alias("open")))
+    best = written(o.inner.where("kind = 1").select(F.col("a").alias("source"), F.col("b").alias("node"), "metres", F.lit(True).alias("open")))
     wanted, radius = o.pairs, RADIUS if most is None else min(RADIUS, most)
     while True:
         near = F.col("open") & (F.col("metres") <= radius)
         while not (going := best.where(near)).isEmpty():
             steps = going.join(o.overlay.withColumnRenamed("metres", "_m"), going["node"] == F.col("a")).select("source", F.col("b").alias("node"), (F.col("metres") + F.col("_m")).alias("metres"), F.lit(True).alias("open"))
             both = best.withColumn("open", F.col("open") & ~near).union(steps)
-            best = cut(both.groupBy("source", "node").agg(F.min(F.struct("metres", "open")).alias("x")).select("source", "node", "x.metres", "x.open"))
-        found = cut(_answers(o, best.drop("open"), wanted))
+            # ways of one length differ in the last bits of their sums; that is no reason to go on from a node again
+            least = F.min(F.struct(F.round("metres", 9).alias("about"), "open", "metres"))
+            best = written(both.groupBy("source", "node").agg(least.alias("x")).select("source", "node", "x.metres", "x.open"))
+        found = written(_answers(o, best.drop("open"), wanted))
         last = (most is not None and radius >= most) or best.where("open").isEmpty()
         settled = found.where(F.col("metres") <= radius) if not last or most is not None else found
         done.append(settled)
-        wanted = cut(wanted.join(settled, ["source", "target"], "left_anti"))
+        wanted = written(wanted.join(settled, ["source", "target"], "left_anti"))
         if last or wanted.isEmpty():
             break
-        best = cut(best.join(wanted.select("source").distinct(), "source", "left_semi"))
+        best = written(best.join(wanted.select("source").distinct(), "source", "left_semi"))
         radius = 2 * radius if most is None else min(2 * radius, most)
     found = done[0]
     for part in done[1:]:
@@ -181,7 +183,7 @@ def bounded_routes(edges: DataFrame, pairs: DataFrame, *, most: float = 3000.0)
     wanted = pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
     leaving = edges.select(F.col("from_node").alias("target")).distinct()
     into = edges.groupBy(F.col("from_node").alias("u"), F.col("to_node").alias("target")).agg(F.min("length_m").alias("length_m"))
-    last = cut(wanted.where("source <> target").join(leaving, "target", "left_semi").join(into, "target"))
+    last = written(wanted.where("source <> target").join(leaving, "target", "left_semi").join(into, "target"))
     near = shortest(edges, last.select("source", F.col("u").alias("target")), most=most).withColumnRenamed("target", "u")
     found = last.join(near, ["source", "u"]).groupBy("source", "target").agg(F.min(F.col("metres") + F.col("length_m")).alias("metres"))
     found = found.union(wanted.where("source = target").withColumn("metres", F.lit(0.0)))
