@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions import geodesy as G
 from waymark.functions.checkpoints import cut
-from waymark.functions.labels import step_instruction
+from waymark.functions.labels import step_instruction, vehicle_instruction
 
 METRES_A_DEGREE = G.RADIUS_MEAN * 3.141592653589793 / 180
 
@@ -295,8 +295,8 @@ def route_options(responses: DataFrame, body: str = "body", default_kmh: float =
     return measured.withColumn("label", label)
 
 
-def route_steps(responses: DataFrame, body: str = "body") -> DataFrame:
-    """Steps of all legs of each route of saved routing answers, numbered from 0 through the route, with their wording.
+def route_steps(responses: DataFrame, body: str = "body", vehicle: str | None = None) -> DataFrame:
+    """Steps of all legs of each route of saved routing answers, numbered from 0 through the route, with their wording: that of the `vehicle` (walking, bike or any other), if given.
 
     A step without a manoeuvre is a turn, one without a name an unnamed street; metres and seconds are whole.
     """
@@ -305,4 +305,18 @@ def route_steps(responses: DataFrame, body: str = "body") -> DataFrame:
     steps = routes.select("request_id", "option", F.posexplode(F.flatten(F.transform("route.legs", lambda leg: F.coalesce(leg["steps"], F.array())))).alias("step", "s"))
     named, turn = F.coalesce(F.when(F.col("s.name") != "", F.col("s.name")), F.lit("Unnamed Street")), F.coalesce("s.maneuver.type", F.lit("turn"))
     whole = [F.floor(F.coalesce(f"s.{c}", F.lit(0.0)) + 0.5) for c in ("distance", "duration")]
-    return steps.select("request_id", F.col("option").cast("long").alias("option"), F.col("step").cast("long").alias("step"), turn.alias("kind"), named.alias("street"), whole[0].alias("distance_m"), whole[1].alias("duration_s"), step_instruction(turn, F.col("s.maneuver.modifier"), F.col("s.name")).alias("instruction"))
+    words = F.col("s.maneuver.modifier"), F.col("s.name")
+    spoken = step_instruction(turn, *words) if vehicle is None else vehicle_instruction(F.col("s.maneuver.type"), *words, F.lit(vehicle))
+    return steps.select("request_id", F.col("option").cast("long").alias("option"), F.col("step").cast("long").alias("step"), turn.alias("kind"), named.alias("street"), whole[0].alias("distance_m"), whole[1].alias("duration_s"), spoken.alias("instruction"))
+
+
+def route_summaries(responses: DataFrame, body: str = "body") -> DataFrame:
+    """request_id, option and summary of each route of saved routing answers: that of its first leg, else the street of its first step."""
+    kind = "routes array<struct<legs array<struct<summary string, steps array<struct<name string>>>>>>"
+    routes = responses.select("request_id", F.posexplode(F.from_json(body, kind)["routes"]).alias("option", "route"))
+    legs = F.coalesce("route.legs", F.array().cast("array<struct<summary string, steps array<struct<name string>>>>"))
+    steps = F.flatten(F.transform(legs, lambda leg: F.coalesce(leg["steps"], F.array().cast("array<struct<name string>>"))))
+    first = F.get(steps, F.lit(0))["name"]
+    street = F.when(F.size(steps) == 0, "Standard Route").otherwise(F.coalesce(F.when(first != "", first), F.lit("Unnamed Street")))
+    given = F.get(legs, F.lit(0))["summary"]
+    return routes.select("request_id", F.col("option").cast("long").alias("option"), F.coalesce(F.when(given != "", given), F.concat(F.lit("Via "), street)).alias("summary"))

@@ -229,12 +229,8 @@ def graph_edges_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph_edges(edges, road_nodes(spark, sf_dir)).select("edge_id", "from_node", "to_node", "lat1", "lng2", "oneway", "name"))
 
 
-@query("""WITH o AS (SELECT o_orderkey AS request_id, CAST(range AS BIGINT) AS step, o_orderkey % 11 AS q, range AS i, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN (o_orderkey + range) % 3 = 0 THEN NULL ELSE 'Street ' || CAST(o_orderkey % 5 AS VARCHAR) END AS street FROM orders, range(3)),
-k AS (SELECT *, ['depart', 'turn', 'arrive', 'new name', 'continue', 'merge', 'fork', 'roundabout', 'on ramp', 'off ramp', 'notify'][CAST(q AS INT) + 1] AS kind, CASE WHEN i = 1 THEN NULL ELSE 'left' END AS m, CASE WHEN street IS NULL THEN '' ELSE 'onto ' || street END AS onto, CASE WHEN i = 1 THEN '' ELSE ' left' END AS tm FROM o)
-SELECT request_id, CAST(0 AS BIGINT) AS option, step, kind, coalesce(street, 'Unnamed Street') AS street, CAST(floor(price / 10 * (i + 1) + 0.5) AS BIGINT) AS distance_m, CAST(floor(price / 100 * (i + 1) + 0.5) AS BIGINT) AS duration_s,
-trim(CASE kind WHEN 'depart' THEN CASE WHEN street IS NULL THEN 'Head out towards destination' ELSE 'Depart on ' || street END WHEN 'arrive' THEN 'Arrive at destination' WHEN 'turn' THEN 'Turn' || tm || ' ' || onto WHEN 'new name' THEN 'Continue ' || onto WHEN 'continue' THEN 'Continue straight ' || onto WHEN 'merge' THEN 'Merge' || tm || ' ' || onto WHEN 'fork' THEN 'Keep' || tm || ' at fork ' || onto WHEN 'roundabout' THEN 'Enter roundabout and take exit ' || onto WHEN 'on ramp' THEN 'Take ramp ' || onto WHEN 'off ramp' THEN 'Take exit ' || onto ELSE kind || tm || ' ' || onto END) AS instruction FROM k""")
-def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Steps of saved answers of one route with two legs of one and two steps."""
+def _routing_answers(spark: SparkSession, sf_dir: str, summary: Column | None = None) -> DataFrame:
+    """A saved answer for each order, of one route with two legs of one and two steps; the first leg has the summary, if one is given."""
     key, price = F.col("o_orderkey"), F.col("o_totalprice").cast("double")
     kinds = ("depart", "turn", "arrive", "new name", "continue", "merge", "fork", "roundabout", "on ramp", "off ramp", "notify")
     kind = F.element_at(F.array(*map(F.lit, kinds)), (key % 11 + 1).cast("int"))
@@ -243,6 +239,27 @@ def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
         street = F.when((key + i) % 3 != 0, F.concat(F.lit("Street "), (key % 5).cast("string")))
         return F.struct(F.struct(kind.alias("type"), F.lit(None if i == 1 else "left").cast("string").alias("modifier")).alias("maneuver"), street.alias("name"), (price / 10 * (i + 1)).alias("distance"), (price / 100 * (i + 1)).alias("duration"))
 
-    legs = F.array(F.struct(F.array(step(0)).alias("steps")), F.struct(F.array(step(1), step(2)).alias("steps")))
-    answers = table(spark, sf_dir, "orders").select(key.alias("request_id"), F.to_json(F.struct(F.array(F.struct(legs.alias("legs"))).alias("routes"))).alias("body"))
-    return R.route_steps(answers)
+    told = F.lit(None).cast("string") if summary is None else summary
+    legs = F.array(F.struct(told.alias("summary"), F.array(step(0)).alias("steps")), F.struct(F.lit(None).cast("string").alias("summary"), F.array(step(1), step(2)).alias("steps")))
+    return table(spark, sf_dir, "orders").select(key.alias("request_id"), F.to_json(F.struct(F.array(F.struct(legs.alias("legs"))).alias("routes"))).alias("body"))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS request_id, CAST(range AS BIGINT) AS step, o_orderkey % 11 AS q, range AS i, CAST(o_totalprice AS DOUBLE) AS price, CASE WHEN (o_orderkey + range) % 3 = 0 THEN NULL ELSE 'Street ' || CAST(o_orderkey % 5 AS VARCHAR) END AS street FROM orders, range(3)),
+k AS (SELECT *, ['depart', 'turn', 'arrive', 'new name', 'continue', 'merge', 'fork', 'roundabout', 'on ramp', 'off ramp', 'notify'][CAST(q AS INT) + 1] AS kind, CASE WHEN i = 1 THEN NULL ELSE 'left' END AS m, CASE WHEN street IS NULL THEN '' ELSE 'onto ' || street END AS onto, CASE WHEN i = 1 THEN '' ELSE ' left' END AS tm FROM o)
+SELECT request_id, CAST(0 AS BIGINT) AS option, step, kind, coalesce(street, 'Unnamed Street') AS street, CAST(floor(price / 10 * (i + 1) + 0.5) AS BIGINT) AS distance_m, CAST(floor(price / 100 * (i + 1) + 0.5) AS BIGINT) AS duration_s,
+trim(CASE kind WHEN 'depart' THEN CASE WHEN street IS NULL THEN 'Head out towards destination' ELSE 'Depart on ' || street END WHEN 'arrive' THEN 'Arrive at destination' WHEN 'turn' THEN 'Turn' || tm || ' ' || onto WHEN 'new name' THEN 'Continue ' || onto WHEN 'continue' THEN 'Continue straight ' || onto WHEN 'merge' THEN 'Merge' || tm || ' ' || onto WHEN 'fork' THEN 'Keep' || tm || ' at fork ' || onto WHEN 'roundabout' THEN 'Enter roundabout and take exit ' || onto WHEN 'on ramp' THEN 'Take ramp ' || onto WHEN 'off ramp' THEN 'Take exit ' || onto ELSE kind || tm || ' ' || onto END) AS instruction FROM k""")
+def route_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.route_steps(_routing_answers(spark, sf_dir))
+
+
+@query("""WITH o AS (SELECT o_orderkey AS request_id, CAST(range AS BIGINT) AS step, o_orderkey % 11 AS q, CASE WHEN (o_orderkey + range) % 3 = 0 THEN 'path' ELSE 'Street ' || CAST(o_orderkey % 5 AS VARCHAR) END AS street, range <> 1 AS turns FROM orders, range(3))
+SELECT request_id, step, CASE q WHEN 0 THEN 'Head out cycling on ' || street WHEN 1 THEN CASE WHEN turns THEN 'Turn left onto ' ELSE 'Turn ahead onto ' END || street WHEN 2 THEN 'Arrive at destination (' || street || ')' WHEN 3 THEN 'new name onto ' || street WHEN 4 THEN 'Continue on ' || street WHEN 5 THEN 'merge onto ' || street WHEN 6 THEN CASE WHEN turns THEN 'Take the left fork onto ' ELSE 'Take the slight fork onto ' END || street WHEN 7 THEN 'Enter roundabout and take exit onto ' || street WHEN 8 THEN 'on ramp onto ' || street WHEN 9 THEN 'off ramp onto ' || street ELSE 'notify onto ' || street END AS instruction FROM o""")
+def vehicle_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same steps in the words for a bike."""
+    return R.route_steps(_routing_answers(spark, sf_dir), vehicle="bike").select("request_id", "step", "instruction")
+
+
+@query("""SELECT o_orderkey AS request_id, CAST(0 AS BIGINT) AS option, CASE o_orderkey % 4 WHEN 0 THEN 'Main, High' ELSE 'Via ' || CASE WHEN o_orderkey % 3 = 0 THEN 'Unnamed Street' ELSE 'Street ' || CAST(o_orderkey % 5 AS VARCHAR) END END AS summary FROM orders""")
+def route_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = F.when(F.col("o_orderkey") % 4 == 0, "Main, High").when(F.col("o_orderkey") % 4 == 1, "")
+    return R.route_summaries(_routing_answers(spark, sf_dir, told))
