@@ -119,7 +119,9 @@ def segments_within(points: DataFrame, segments: DataFrame, radius: float, size:
     filed = with_buckets(segments, size, radius / METRES_A_DEGREE)
     # the only trigonometry of a pair, once a point: metres of a degree of longitude
     placed = points.withColumns({"_row": bucket(F.col("lat"), size), "_col": F.pmod(bucket(F.col("lng"), size), F.lit(round(360 / size))), "_east": METRES_A_DEGREE * F.cos(F.radians("lat"))})
-    near = placed.join(filed, ["_row", "_col"])
+    # what is too far north or south needs no geometry
+    high = radius / METRES_A_DEGREE + 1e-9
+    near = placed.join(filed, ["_row", "_col"]).where((F.col("lat") >= F.least("lat1", "lat2") - high) & (F.col("lat") <= F.greatest("lat1", "lat2") + high))
     share, distance, length = _on_plane()
     return near.withColumns({"share": share, "distance_m": distance, "length_m": length}).where(F.col("distance_m") <= radius)
 
