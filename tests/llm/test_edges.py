@@ -12,6 +12,7 @@ from waymark.llm.html_extract import extract, main_text, max_flow_labels, minimu
 from waymark.llm.language_id import drop_unidentified, identify
 from waymark.llm.lm_scoring import score_documents
 from waymark.llm.packing import pack
+from waymark.llm.queries import QUERIES
 from waymark.llm.topk_search import exact_topk
 from waymark.llm.url_filter import filter_urls
 
@@ -266,3 +267,10 @@ def test_reserved_names_are_refused(spark, name):
 def test_sample_of_a_huge_language_is_not_empty():
     assert language_id.bar_of(10, 300) == 1 << 62
     assert all(abs(language_id.bar_of(n, 300) / 2**62 * n - 900) < 1e-3 for n in (10**6, 10**9, 10**13))
+
+
+def test_url_rules_are_the_contract_s(spark, tmp_path):
+    urls = ["http://a.com/en/1", "http://example.com/en/7", "http://a.net/de/1", "http://example.net/de/8", "http://a.example.net/de/80", "http://a.org/es/1", "http://a.org/fr/1"]
+    spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = [(r["rule"], r["verdict"]) for r in QUERIES["op4_url_filter"](spark, str(tmp_path)).orderBy("page_id").collect()]
+    assert got == [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("example.net/de/8", "block"), ("org/es/", "block"), (None, "allow")]
