@@ -10,7 +10,7 @@ from waymark.functions import labels as L
 from waymark.functions.checkpoints import written
 from waymark.functions.geodesy import haversine
 from waymark.operators.matching import chosen, listed, moves_between, viterbi
-from waymark.operators.roads import METRES_A_DEGREE, nearest_on_segments, polyline_candidates, polyline_segments, segments_within
+from waymark.operators.roads import METRES_A_DEGREE, near_lists, nearest_on_segments, polyline_segments, segments_within
 from waymark.operators.routes import between_candidates, bounded_routes
 from waymark.operators.trips import KEY, ORDER, along
 
@@ -50,11 +50,11 @@ def widened_candidates(rows: DataFrame, edges: DataFrame) -> DataFrame:
     row before, the nearest edge at any distance. Without any edge at all, options is null.
     """
     keys = [KEY, ORDER]
-    near = polyline_candidates(rows.select(*keys, "lat", "lng"), edges, keys=keys, radius=WIDER_M, k=CANDIDATES)
-    lists = near.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", *OPTION))), lambda c: F.struct(*(c[f].alias(f) for f in OPTION))).alias("wide"))
+    near = near_lists(rows, polyline_segments(edges.where(F.size("points") >= 2)), keys=keys, radius=WIDER_M, k=CANDIDATES, by_edge=True)
+    wide = F.when(F.size("near") > 0, F.transform("near", lambda c: F.struct(*(c[f].alias(f) for f in OPTION))))
     limit = F.least(F.lit(MOST_M), F.greatest(F.lit(LEAST_M), DEVIATIONS * F.col("sigma")))
     tight = F.filter("wide", lambda c: c["distance_m"] <= F.col("_limit"))
-    found = rows.withColumn("_limit", limit).join(lists, keys, "left").withColumn("tight", tight)
+    found = near.withColumn("wide", wide).drop("near").withColumn("_limit", limit).withColumn("tight", tight)
     close = F.size("tight") > 0
     found = found.withColumns({"options": F.when(close, F.col("tight")).otherwise(F.col("wide")), "step": F.when(close, "radius").when(F.col("wide").isNotNull(), "wider")})
     found = written(found.withColumn("_n", F.row_number().over(along())).drop("_limit", "wide", "tight"))
@@ -121,19 +121,21 @@ def match_adaptive(rows: DataFrame, edges: DataFrame) -> DataFrame:
     found = written(found.drop("options").join(lists, [KEY, ORDER]))
 
     a, b = F.col("a"), F.col("b")
-    moves = written(moves_between(found, ["t_ms", "speed_kmh", "is_dr"]))
     other = a["edge_id"] != b["edge_id"]
-    named = moves.withColumns({"source": F.when(other, a["to_node"]), "target": F.when(other, b["from_node"])})
+    dt = F.greatest(F.lit(0.1), (F.col("t_ms") - F.col("was_t_ms")) / 1000.0)
+    beta = L.dynamic_beta(F.greatest("speed_kmh", "was_speed_kmh") / 3.6, dt, F.col("is_dr") | F.col("was_is_dr"))
+    straight = haversine(a["proj_lat"], a["proj_lng"], b["proj_lat"], b["proj_lng"])
+    # a few numbers a move, no candidates: a join and a grouping deal them out
+    own = between_candidates(F.lit(None).cast("double"), backward_m=BACKWARD_M, backward_factor=BACKWARD_FACTOR)
+    numbers = {"source": F.when(other, a["to_node"]), "target": F.when(other, b["from_node"]), "own": own, "rest": F.greatest(F.lit(0.0), a["length_m"] - a["offset_m"]), "start": F.greatest(F.lit(0.0), b["offset_m"]), "straight": straight, "beta": beta}
+    named = written(moves_between(found, ["t_ms", "speed_kmh", "is_dr"]).withColumns(numbers).select(KEY, ORDER, "i", "j", *numbers))
     p, q = F.element_at("points", 1), F.element_at("points", -1)
     graph = roads.select("from_node", "to_node", "length_m", *(x.alias(n) for n, x in (("lat1", p["lat"]), ("lng1", p["lng"]), ("lat2", q["lat"]), ("lng2", q["lng"]))))
     lengths = bounded_routes(graph, named.where("source IS NOT NULL").select("source", "target").distinct(), most=SEARCH_M)
     joined = named.join(lengths, ["source", "target"], "left")
-    route = between_candidates(F.col("metres"), backward_m=BACKWARD_M, backward_factor=BACKWARD_FACTOR)
-    dt = F.greatest(F.lit(0.1), (F.col("t_ms") - F.col("was_t_ms")) / 1000.0)
-    beta = L.dynamic_beta(F.greatest("speed_kmh", "was_speed_kmh") / 3.6, dt, F.col("is_dr") | F.col("was_is_dr"))
-    straight = haversine(a["proj_lat"], a["proj_lng"], b["proj_lat"], b["proj_lng"])
+    route = F.coalesce("own", F.when(F.col("source").isNotNull(), F.col("rest") + F.col("metres") + F.col("start")))
     emissions = F.transform("options", lambda c: L.adaptive_emission(c["distance_m"], F.col("weight")))
-    path = viterbi(found.withColumn("emissions", emissions).join(listed(joined, L.dynamic_transition(route, straight, beta)), [KEY, ORDER], "left"))
+    path = viterbi(found.withColumn("emissions", emissions).join(listed(joined, L.dynamic_transition(route, F.col("straight"), F.col("beta"))), [KEY, ORDER], "left"))
     at = F.col("at")
     placed = chosen(found, path).select(KEY, ORDER, at["proj_lat"].alias("matched_lat"), at["proj_lng"].alias("matched_lng"), at["edge_id"].alias("edge_id"), "step")
     return expanded_runs(rows, placed, ["matched_lat", "matched_lng", "edge_id", "step"])
