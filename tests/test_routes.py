@@ -147,3 +147,22 @@ def test_matched_like_a_plain_matcher(spark):
         assert [abs(r["edge_id"] or 0) for r in got] == [abs(c.edge or 0) for c in path]
         assert all(abs(r["matched_lat"] - c.lat) < 1e-12 for r, c in zip(got, path, strict=True))
         assert all(abs(r["confidence"] - min(1.0, np.exp(total / len(path) / 10))) < 1e-9 for r in got)
+
+
+@pytest.mark.parametrize("shortcut", [None, 2.0])
+def test_bounded_search_deals_only_what_is_near_to_cells(spark, monkeypatch, shortcut):
+    """A road of 2000 nodes across the 180th meridian, 28 m a step; with a shortcut to its far end nothing can be left out."""
+    at = {n: (60.0 + n % 2 * 1e-5, (179.99 + n * 5e-4 + 180) % 360 - 180) for n in range(2000)}
+    edges = [(n, n + 1, 28.5) for n in range(1999)] + [(n + 1, n, 28.5) for n in range(1999)]
+    edges += [(10, 1990, shortcut)] if shortcut else []
+    frame = spark.createDataFrame([(u, v, m, *at[u], *at[v]) for u, v, m in edges], EDGES)
+    pairs = [(5, 60), (30, 9), (12, 100), (3, 1985), (3, 5000), (70, 70)]
+    dealt, whole = [], routes.cells_of
+    monkeypatch.setattr(routes, "cells_of", lambda nodes, *a: dealt.append(nodes.count()) or whole(nodes, *a))
+    rows = routes.bounded_routes(frame, spark.createDataFrame(pairs, "source long, target long"), most=1000.0).collect()
+    assert {(r["source"], r["target"]) for r in rows} == set(pairs)
+    for r in rows:
+        far = search(edges, r["source"], 1000.0).get(r["target"])
+        assert (r["metres"] is None) == (far is None) and (far is None or abs(far - r["metres"]) < 1e-6)
+    assert sum(r["metres"] is not None for r in rows) == 2 + bool(shortcut)
+    assert dealt[0] == 2000 if shortcut else dealt[0] < 250

@@ -6,7 +6,8 @@ into another cell), from wanted sources to the border, and from the border to wa
 nodes with the edges between cells and the distances inside them are the overlay. A search over many
 sources relaxes the overlay by joins, a cell in two rounds, within a radius that doubles until every
 pair is answered. A route is then the least sum of three tables: source to border, border to border,
-border to target, taken for two cells at a time.
+border to target, taken for two cells at a time. Where a search is bounded, only the part of the
+graph near its sources is dealt to cells.
 """
 
 from __future__ import annotations
@@ -16,7 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.functions import geodesy as G
 from waymark.functions.checkpoints import written
+from waymark.operators.roads import METRES_A_DEGREE, bucket, with_buckets
 
 #: Most nodes of a cell, degrees of the widest cell, and quarterings after which even a fuller cell stays whole.
 NODES, WIDEST, QUARTERINGS = 512, 0.02, 20
@@ -139,13 +142,49 @@ def _answers(o: Overlay, best: DataFrame, pairs: DataFrame) -> DataFrame:
     return through.union(inside).groupBy("source", "target").agg(F.min("metres").alias("metres"))
 
 
+def within_reach(edges: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
+    """Of the edges at least those that leave a node within `most` metres of a source, or leave a target; written.
+
+    No edge is shorter than a share of the straight line between its ends (a first pass finds the
+    share, and the places of the sources), so a route of `most` metres stays within most / share
+    metres of its source in a straight line. All edges are kept where there is no such share. A node
+    has one place.
+    """
+    wanted = written(pairs.select("source").distinct())
+    straight = G.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
+    share = F.when(straight == 0, None).when(F.col("length_m") >= 0, F.col("length_m") / straight).otherwise(0.0)
+    # one group for each source, and one for all other nodes
+    marked = edges.join(wanted, F.col("from_node") == F.col("source"), "left").withColumn("share", F.coalesce(F.nanvl(share, F.lit(0.0)), F.when(straight.isNull(), 0.0)))
+    places = written(marked.groupBy("source").agg(F.min(F.struct("lat1", "lng1")).alias("p"), F.min("share").alias("share")))
+    least = places.agg(F.min("share")).first()[0]
+    if least == 0:
+        return written(edges)
+    margin = most / (least or 1.0) / METRES_A_DEGREE * (1 + 1e-6) + 1e-9
+    if margin > 45:
+        return written(edges)
+    size = 360 / max(1, int(720 / margin))
+    at = [bucket(F.col(f"p.{c}"), size) for c in ("lat1", "lng1")]
+    boxes = places.where("source IS NOT NULL").groupBy(*at).agg(*(f(f"p.{c}1").alias(f"{c}{n}") for n, f in ((1, F.min), (2, F.max)) for c in ("lat", "lng")))
+    near = written(with_buckets(boxes, size, margin).select("_row", "_col", F.lit(True).alias("_near")).distinct())
+    targets = written(pairs.select(F.col("target").alias("_target")).distinct())
+    filed = edges.withColumns({"_row": bucket(F.col("lat1"), size), "_col": F.pmod(bucket(F.col("lng1"), size), F.lit(round(360 / size)))})
+    kept = filed.join(near, ["_row", "_col"], "left").join(targets, F.col("from_node") == F.col("_target"), "left")
+    return written(kept.where("_near OR _target IS NOT NULL").select(*edges.columns))
+
+
 def shortest(edges: DataFrame, pairs: DataFrame, *, most: float | None = None, nodes_of_cell: int = NODES, widest: float = WIDEST) -> DataFrame:
     """source, target and metres of the shortest route of each distinct pair (source, target); pairs that no route joins, within `most` metres if given, have no row.
 
     `edges`: from_node, to_node, length_m, lat1, lng1, lat2, lng2, one row a direction. A node is 0
     metres from itself, on the graph or not. Null ids take no part.
     """
-    pairs = pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    pairs = written(pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    near = edges if most is None else within_reach(edges, pairs.where("source <> target"), most)
+    return _searched(near, pairs, most, nodes_of_cell, widest)
+
+
+def _searched(edges: DataFrame, pairs: DataFrame, most: float | None, nodes_of_cell: int = NODES, widest: float = WIDEST) -> DataFrame:
+    """`shortest` of distinct pairs over all the edges given."""
     done = [written(pairs.where("source = target").withColumn("metres", F.lit(0.0)))]
     o = Overlay(edges, pairs.where("source <> target"), nodes_of_cell, widest)
     best = written(o.inner.where("kind = 1").select(F.col("a").alias("source"), F.col("b").alias("node"), "metres", F.lit(True).alias("open")))
@@ -180,11 +219,12 @@ def bounded_routes(edges: DataFrame, pairs: DataFrame, *, most: float = 3000.0)
     shorter way over a node beyond exists. The target needs an edge that leaves it; without one, or
     without one at the source, there is no route, but for that of a node to itself.
     """
-    wanted = pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct()
+    wanted = written(pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    edges = within_reach(edges, wanted.where("source <> target"), most)
     leaving = edges.select(F.col("from_node").alias("target")).distinct()
     into = edges.groupBy(F.col("from_node").alias("u"), F.col("to_node").alias("target")).agg(F.min("length_m").alias("length_m"))
     last = written(wanted.where("source <> target").join(leaving, "target", "left_semi").join(into, "target"))
-    near = shortest(edges, last.select("source", F.col("u").alias("target")), most=most).withColumnRenamed("target", "u")
+    near = _searched(edges, last.select("source", F.col("u").alias("target")).distinct(), most).withColumnRenamed("target", "u")
     found = last.join(near, ["source", "u"]).groupBy("source", "target").agg(F.min(F.col("metres") + F.col("length_m")).alias("metres"))
     found = found.union(wanted.where("source = target").withColumn("metres", F.lit(0.0)))
     return pairs.join(found, ["source", "target"], "left")
