@@ -13,7 +13,9 @@ from math import asin, atan2, cos, degrees, hypot, isnan, pi, radians, sin, sqrt
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waymark.functions.geodesy import GRAVITY_STANDARD, RADIUS_EQUATOR
 from waymark.operators.trips import KEY, ORDER
@@ -44,6 +46,54 @@ def fold(rows: DataFrame, make: Callable[[], object], inputs: list[str], outputs
     return narrow.mapInPandas(run, f"{kinds}, {outputs}")
 
 
+#: Sessions in one block of `fold_together`, about.
+TOGETHER = 512
+
+
+def sessions_of(rows: DataFrame) -> int:
+    """About how many sessions there are."""
+    return rows.agg(F.approx_count_distinct(KEY)).first()[0]
+
+
+def fold_together(rows: DataFrame, make: Callable[[int], object], inputs: list[str], outputs: str, keep: tuple[str, ...] = (ORDER,), sessions: int | None = None) -> DataFrame:
+    """`fold` for estimators whose `steps(who, *columns)` takes a row each of many sessions at once.
+
+    Sessions are dealt to blocks of about TOGETHER by a hash; within a block the first rows of all
+    sessions come first, then the second ones, if ORDER counts rows. Memory is the states of one block
+    and a batch of rows. A session is still one task. The number of `sessions`, about, is counted if not given.
+    """
+    sessions = sessions_of(rows) if sessions is None else sessions
+    tasks = 4 * rows.sparkSession.sparkContext.defaultParallelism
+    blocks = max(1, -(-sessions // TOGETHER), min(sessions, tasks))
+    narrow = rows.select(F.pmod(F.xxhash64(KEY), F.lit(blocks)).alias("_block"), *dict.fromkeys((KEY, *keep, *inputs)))
+    placed = narrow.repartition("_block").sortWithinPartitions("_block", ORDER, KEY)
+    names = [part.split()[0] for part in outputs.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, estimator, slots = None, None, {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            blocks, order = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_block", ORDER))
+            keys, columns = batch.column(KEY).to_pylist(), [batch.column(c).to_numpy(zero_copy_only=False) for c in inputs]
+            # a row begins a new step if its place is another, or if its session has a row in this step already
+            again = np.array([a == b for a, b in zip(keys, keys[1:], strict=False)], bool)
+            begins = np.flatnonzero(np.concatenate(([True], (blocks[1:] != blocks[:-1]) | (order[1:] != order[:-1]) | again)))
+            found = []
+            for low, high in zip(begins, [*begins[1:], len(keys)], strict=True):
+                if estimator is None or blocks[low] != block:
+                    block, estimator, slots = blocks[low], make(0), {}
+                who = np.array([slots.setdefault(key, len(slots)) for key in keys[low:high]])
+                estimator.hold(len(slots))
+                found.append(estimator.steps(who, *(c[low:high] for c in columns)))
+            made = [pa.array(np.concatenate(c)) for c in zip(*found, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + made, names=kept + names)
+
+    kept = [f.name for f in placed.schema.fields if f.name in (KEY, *keep)]
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema.fields if f.name in kept)
+    return placed.mapInArrow(run, f"{kinds}, {outputs}")
+
+
 def missing(x: float | None) -> bool:
     return x is None or (isinstance(x, float) and isnan(x))
 
@@ -281,138 +331,209 @@ class InsTracker:
         return *self.v, *self.p
 
 
+def matrix(*rows: tuple) -> np.ndarray:
+    """A matrix, or one for each session, from its elements."""
+    shape = np.broadcast_shapes(*(np.shape(x) for row in rows for x in row))
+    return np.stack([np.stack([np.broadcast_to(x, shape) for x in row], -1) for row in rows], -2)
+
+
+def inverses(S: np.ndarray) -> np.ndarray:
+    """Inverses; not a number where there is none."""
+    try:
+        return np.linalg.inv(S)
+    except np.linalg.LinAlgError:
+        return np.full_like(S, np.nan) if S.ndim == 2 else np.stack([inverses(one) for one in S])
+
+
 class Ekf:
-    """Kalman filter over position, velocity, attitude, accelerometer bias and gyroscope bias, three axes each."""
+    """Kalman filter over position, velocity, attitude, accelerometer bias and gyroscope bias, three axes each.
+
+    Of one session, or of as many as `lead` says, which then is the first axis of all arrays.
+    """
 
     # First variances of the five blocks, process variances per second, and gates.
     FIRST = (0.1, 0.1, 1e-3, 1e-4, 1e-5)
     NOISE = (0.25, 1.0, 1e-6, 1e-6, 1e-7)
     GATE_POSITION, GATE_SIX, GATE_VELOCITY, FASTEST = 9.21, 25.0, 50.0, 60.0
+    STATE = ("levelled", "attitude", "position", "velocity", "bias", "P", "cooling")
 
-    def __init__(self) -> None:
-        self.levelled = False
-        self.attitude = np.zeros(3)
+    def __init__(self, *lead: int) -> None:
+        self.lead = lead
+        self.levelled = np.zeros(lead, bool)
+        self.attitude = np.zeros((*lead, 3))
         self.reset(0.0, 0.0)
 
-    def reset(self, x: float, y: float) -> None:
-        self.position, self.velocity = np.array([x, y, 0.0]), np.zeros(3)
-        self.bias = np.zeros(6)
-        self.P = np.diag(np.repeat(self.FIRST, 3))
-        self.cooling = 0
+    def reset(self, x: float | np.ndarray, y: float | np.ndarray) -> None:
+        self.position, self.velocity = np.stack(np.broadcast_arrays(x, y, np.zeros(self.lead)), -1), np.zeros((*self.lead, 3))
+        self.bias = np.zeros((*self.lead, 6))
+        self.P = np.broadcast_to(np.diag(np.repeat(self.FIRST, 3)), (*self.lead, 15, 15)).copy()
+        self.cooling = np.zeros(self.lead, int)
+
+    def of(self, who: np.ndarray) -> Ekf:
+        """The filter of some sessions, to be put back."""
+        some = Ekf.__new__(Ekf)
+        for name in self.STATE:
+            setattr(some, name, getattr(self, name)[who])
+        some.lead = some.levelled.shape
+        return some
+
+    def put(self, who: np.ndarray, some: Ekf) -> None:
+        for name in self.STATE:
+            getattr(self, name)[who] = getattr(some, name)
+
+    def more(self, sessions: int) -> None:
+        new = Ekf(sessions)
+        for name in self.STATE:
+            setattr(self, name, np.concatenate((getattr(self, name), getattr(new, name))))
+        self.lead = self.levelled.shape
 
     def level(self, accel: np.ndarray) -> None:
         """Roll and pitch from gravity, once."""
-        self.attitude = np.array([atan2(-accel[0], hypot(accel[1], accel[2])), atan2(accel[1], accel[2]), 0.0])
-        self.levelled = True
+        x, y, z = np.moveaxis(accel, -1, 0)
+        level = np.stack([np.arctan2(-x, np.hypot(y, z)), np.arctan2(y, z), np.zeros_like(x)], -1)
+        self.attitude = np.where(self.levelled[..., None], self.attitude, level)
+        self.levelled = np.ones(self.lead, bool)
 
     def rotation(self) -> np.ndarray:
-        (cr, cp, cy), (sr, sp, sy) = np.cos(self.attitude), np.sin(self.attitude)
-        turn_z = np.array([[cy, -sy, 0], [sy, cy, 0], [0, 0, 1]])
-        turn_y = np.array([[cp, 0, sp], [0, 1, 0], [-sp, 0, cp]])
-        turn_x = np.array([[1, 0, 0], [0, cr, -sr], [0, sr, cr]])
+        (cr, cp, cy), (sr, sp, sy) = np.moveaxis(np.cos(self.attitude), -1, 0), np.moveaxis(np.sin(self.attitude), -1, 0)
+        turn_z = matrix((cy, -sy, 0), (sy, cy, 0), (0, 0, 1))
+        turn_y = matrix((cp, 0, sp), (0, 1, 0), (-sp, 0, cp))
+        turn_x = matrix((1, 0, 0), (0, cr, -sr), (0, sr, cr))
         return turn_z @ turn_y @ turn_x
 
-    def predict(self, dt: float, accel: np.ndarray | None = None, gyro: np.ndarray | None = None, velocity: np.ndarray | None = None) -> None:
+    def predict(self, dt: float | np.ndarray, accel: np.ndarray | None = None, gyro: np.ndarray | None = None, velocity: np.ndarray | None = None) -> None:
         """Propagate; a given horizontal velocity replaces the filter's own."""
-        dt = max(1e-3, dt)
+        dt = np.broadcast_to(np.where(np.greater(dt, 1e-3), dt, 1e-3), self.lead)
         gravity = np.array([0.0, 0.0, GRAVITY_STANDARD])
         accel, gyro = gravity if accel is None else accel, np.zeros(3) if gyro is None else gyro
-        if not self.levelled:
+        if not self.levelled.all():
             self.level(accel)
-        self.attitude = self.attitude + (gyro - self.bias[3:]) * dt
+        each, wide = dt[..., None], dt[..., None, None]
+        self.attitude = self.attitude + (gyro - self.bias[..., 3:]) * each
         turn = self.rotation()
-        force = turn @ (accel - self.bias[:3]) - gravity
+        force = (turn @ (accel - self.bias[..., :3])[..., None])[..., 0] - gravity
         if velocity is None:
-            self.velocity = self.velocity + force * dt
+            self.velocity = self.velocity + force * each
         else:
-            self.velocity = np.concatenate([velocity, self.velocity[len(velocity) :]])
-        self.position = self.position + self.velocity * dt
-        x, y, z = force
-        F = np.eye(15)
-        F[0:3, 3:6] = np.eye(3) * dt
-        F[3:6, 6:9] = np.array([[0, z, -y], [-z, 0, x], [y, -x, 0]]) * dt
-        F[3:6, 9:12] = F[6:9, 12:15] = -turn * dt
-        noise = np.repeat(self.NOISE, 3) * dt
-        if self.cooling > 0:
-            noise[3:6], self.cooling = 2 * dt, self.cooling - 1
-        self.P = F @ self.P @ F.T + np.diag(noise)
-
-    def update(self, H: np.ndarray, surprise: np.ndarray, R: np.ndarray, gate: float = float("inf")) -> bool:
-        """Take a measurement unless its squared Mahalanobis distance is beyond the gate; Joseph form."""
-        S = H @ self.P @ H.T + R
-        try:
-            inverse = np.linalg.inv(S)
-        except np.linalg.LinAlgError:
-            return False
-        if surprise @ inverse @ surprise > gate:
-            return False
-        K = self.P @ H.T @ inverse
-        d = K @ surprise
-        self.position, self.attitude, self.bias = self.position + d[0:3], self.attitude + d[6:9], self.bias + d[9:15]
-        self.velocity = np.clip(self.velocity + d[3:6], -self.FASTEST, self.FASTEST)
+            self.velocity = np.concatenate([velocity, self.velocity[..., velocity.shape[-1] :]], -1)
+        self.position = self.position + self.velocity * each
+        x, y, z = np.moveaxis(force, -1, 0)
+        F = np.broadcast_to(np.eye(15), (*self.lead, 15, 15)).copy()
+        F[..., 0:3, 3:6] = np.eye(3) * wide
+        F[..., 3:6, 6:9] = matrix((0, z, -y), (-z, 0, x), (y, -x, 0)) * wide
+        F[..., 3:6, 9:12] = F[..., 6:9, 12:15] = -turn * wide
+        noise = np.repeat(self.NOISE, 3) * each
+        cooling = self.cooling > 0
+        noise[..., 3:6] = np.where(cooling[..., None], 2 * each, noise[..., 3:6])
+        self.cooling = self.cooling - cooling
+        self.P = F @ self.P @ F.swapaxes(-1, -2)
+        self.P[..., range(15), range(15)] += noise
+
+    def update(self, H: np.ndarray, surprise: np.ndarray, R: np.ndarray, gate: float = float("inf"), rows: np.ndarray | bool = True) -> np.ndarray:
+        """Take a measurement (of `rows`) unless its squared Mahalanobis distance is beyond the gate; Joseph form. Says whether it was taken."""
+        across = H.swapaxes(-1, -2)
+        inverse = inverses(H @ self.P @ across + R)
+        far = ((surprise[..., None, :] @ inverse) @ surprise[..., None])[..., 0, 0]
+        taken = rows & ~np.isnan(inverse[..., 0, 0]) & ~(far > gate)
+        K = self.P @ across @ inverse
+        d = (K @ surprise[..., None])[..., 0]
+        one, two = taken[..., None], taken[..., None, None]
+        self.position, self.attitude = np.where(one, self.position + d[..., 0:3], self.position), np.where(one, self.attitude + d[..., 6:9], self.attitude)
+        self.bias = np.where(one, self.bias + d[..., 9:15], self.bias)
+        self.velocity = np.where(one, np.clip(self.velocity + d[..., 3:6], -self.FASTEST, self.FASTEST), self.velocity)
         rest = np.eye(15) - K @ H
-        self.P = rest @ self.P @ rest.T + K @ R @ K.T
-        return True
-
-    def update_gnss(self, position: np.ndarray, accuracy: float | None = None, velocity: np.ndarray | None = None) -> bool:
-        spread = max(0.1, (accuracy if accuracy and accuracy > 0 else 5.0) ** 2)
-        seen = np.zeros(3)
-        seen[: len(position)] = position
+        self.P = np.where(two, rest @ self.P @ rest.swapaxes(-1, -2) + K @ R @ K.swapaxes(-1, -2), self.P)
+        return taken
+
+    def update_gnss(self, position: np.ndarray, accuracy: float | np.ndarray | None = None, velocity: np.ndarray | None = None) -> np.ndarray:
+        known = np.asarray(0.0 if accuracy is None else accuracy, float)
+        spread = np.broadcast_to(np.maximum(0.1, np.where(known > 0, known, 5.0) ** 2), self.lead)[..., None, None]
+        seen = np.zeros((*self.lead, 3))
+        seen[..., : position.shape[-1]] = position
         if velocity is None:
             return self.update(np.eye(3, 15), seen - self.position, np.eye(3) * spread, self.GATE_POSITION)
-        speed = np.zeros(3)
-        speed[: len(velocity)] = velocity
-        return self.update(np.eye(6, 15), np.concatenate([seen - self.position, speed - self.velocity]), np.diag([spread] * 3 + [0.5] * 3), self.GATE_SIX)
+        speed = np.zeros((*self.lead, 3))
+        speed[..., : velocity.shape[-1]] = velocity
+        R = np.diag([1.0] * 3 + [0.0] * 3) * spread + np.diag([0.0] * 3 + [0.5] * 3)
+        return self.update(np.eye(6, 15), np.concatenate([seen - self.position, speed - self.velocity], -1), R, self.GATE_SIX)
 
-    def update_velocity(self, velocity: np.ndarray, deviation: float = 0.5) -> bool:
-        return self.update(np.eye(15)[3:5], velocity - self.velocity[:2], np.eye(2) * deviation**2, self.GATE_VELOCITY)
+    def update_velocity(self, velocity: np.ndarray, deviation: float = 0.5) -> np.ndarray:
+        return self.update(np.eye(15)[3:5], velocity - self.velocity[..., :2], np.eye(2) * deviation**2, self.GATE_VELOCITY)
 
     def update_rest(self) -> None:
         self.update(np.eye(15)[3:6], -self.velocity, np.eye(3) * 1e-3)
-        self.velocity = np.zeros(3)
+        self.velocity = np.zeros((*self.lead, 3))
 
-    def update_no_side_slip(self, deviation: float = 0.2) -> bool:
-        if hypot(*self.velocity[:2]) < 0.1:
-            return False
-        heading = atan2(self.velocity[1], self.velocity[0])
-        H = np.zeros((1, 15))
-        H[0, 3], H[0, 4] = -sin(heading), cos(heading)
-        return self.update(H, -(H[:, 3:6] @ self.velocity), np.array([[deviation**2]]), self.GATE_VELOCITY)
+    def update_no_side_slip(self, deviation: float = 0.2) -> np.ndarray:
+        x, y = self.velocity[..., 0], self.velocity[..., 1]
+        heading = np.arctan2(y, x)
+        H = np.zeros((*self.lead, 1, 15))
+        H[..., 0, 3], H[..., 0, 4] = -np.sin(heading), np.cos(heading)
+        return self.update(H, -(H[..., 3:6] @ self.velocity[..., None])[..., 0], np.array([[deviation**2]]), self.GATE_VELOCITY, ~(np.hypot(x, y) < 0.1))
 
 
 class FusionDriver:
-    """A session through the filter: predict, judge the signal, correct by the model, then by the fix.
+    """Sessions through the filter, each: predict, judge the signal, correct by the model, then by the fix.
 
     Five fixes rejected in a row put the filter on the fix.
     """
 
     OUTPUTS = "pos_x double, pos_y double, vel_x double, vel_y double, pos_sigma double, vel_sigma double, mode string, ai_active boolean"
 
-    def __init__(self) -> None:
-        self.ekf, self.machine, self.t, self.rejected = Ekf(), QualityMachine(), None, 0
-
-    def step(self, t: float, ins_x: float, ins_y: float, fix_x: float | None, fix_y: float | None, available: bool, accuracy: float | None, satellites: float | None, ai_x: float | None, ai_y: float | None) -> tuple:
-        has_fix = not missing(fix_x) and not missing(fix_y)
-        if self.t is None:
-            if has_fix:
-                self.ekf.reset(fix_x, fix_y)
-        else:
-            self.ekf.predict(t - self.t, velocity=np.array([ins_x, ins_y]))
-        self.t = t
-        mode, _, trust, ai_active, skip = self.machine.step(available, accuracy, satellites)
-        if ai_active and not missing(ai_x):
-            self.ekf.update_velocity(np.array([ins_x + ai_x, ins_y + ai_y]))
-            if mode in ("DEGRADED", "LOST"):
-                self.ekf.update_no_side_slip()
-        if not skip and has_fix:
-            fix = np.array([fix_x, fix_y])
-            known = accuracy if not missing(accuracy) and accuracy > 0 else 5.0
-            self.rejected = 0 if self.ekf.update_gnss(fix, known / max(0.05, trust)) else self.rejected + 1
-            if self.rejected >= 5:
-                self.ekf.reset(fix_x, fix_y)
-                self.rejected = 0
-        P = self.ekf.P
-        return *map(float, self.ekf.position[:2]), *map(float, self.ekf.velocity[:2]), sqrt(P[0, 0] + P[1, 1]), sqrt(P[3, 3] + P[4, 4]), mode, ai_active
+    def __init__(self, sessions: int = 1) -> None:
+        self.ekf, self.machines, self.t, self.rejected = Ekf(0), [], np.empty(0), np.empty(0, int)
+        self.begun = np.empty(0, bool)
+        self.hold(sessions)
+
+    def hold(self, sessions: int) -> None:
+        """Make room for sessions that begin."""
+        new = sessions - len(self.machines)
+        if new > 0:
+            self.ekf.more(new)
+            self.machines += [QualityMachine() for _ in range(new)]
+            self.t, self.rejected = np.append(self.t, np.full(new, np.nan)), np.append(self.rejected, np.zeros(new, int))
+            self.begun = np.append(self.begun, np.zeros(new, bool))
+
+    def step(self, *row: float | bool | None) -> tuple:
+        """The row of the only session."""
+        return tuple(c.tolist()[0] for c in self.steps(np.zeros(1, int), *(np.array([np.nan if missing(x) else x]) for x in row)))
+
+    def steps(self, who: np.ndarray, t: np.ndarray, ins_x: np.ndarray, ins_y: np.ndarray, fix_x: np.ndarray, fix_y: np.ndarray, available: np.ndarray, accuracy: np.ndarray, satellites: np.ndarray, ai_x: np.ndarray, ai_y: np.ndarray) -> tuple:
+        """A row each of the sessions `who`; what is missing is not a number."""
+        t, ins_x, ins_y, fix_x, fix_y, accuracy, satellites, ai_x, ai_y = (np.asarray(c, float) for c in (t, ins_x, ins_y, fix_x, fix_y, accuracy, satellites, ai_x, ai_y))
+        ekf = self.ekf.of(who)
+
+        def on(rows: np.ndarray, act: Callable) -> np.ndarray | None:
+            if not rows.any():
+                return np.zeros(0, bool)
+            if rows.all():
+                return act(ekf, rows)
+            some = ekf.of(rows)
+            said = act(some, rows)
+            ekf.put(rows, some)
+            return said
+
+        ins, fix, ai = np.stack([ins_x, ins_y], -1), np.stack([fix_x, fix_y], -1), np.stack([ins_x + ai_x, ins_y + ai_y], -1)
+        has_fix, first, before = ~np.isnan(fix).any(-1), ~self.begun[who], self.t[who]
+        on(first & has_fix, lambda e, rows: e.reset(fix_x[rows], fix_y[rows]))
+        on(~first, lambda e, rows: e.predict((t - before)[rows], velocity=ins[rows]))
+        self.t[who], self.begun[who] = t, True
+        judged = [self.machines[w].step(a is True or a == 1, acc, sats) for w, a, acc, sats in zip(who.tolist(), available.tolist(), accuracy.tolist(), satellites.tolist(), strict=True)]
+        mode, _, trust, active, skip = (np.array(c) for c in zip(*judged, strict=True))
+        by_model = active & ~np.isnan(ai_x)
+        on(by_model, lambda e, rows: e.update_velocity(ai[rows]))
+        on(by_model & ((mode == "DEGRADED") | (mode == "LOST")), lambda e, rows: e.update_no_side_slip())
+        by_fix = ~skip & has_fix
+        spread = np.where(accuracy > 0, accuracy, 5.0) / np.maximum(0.05, trust)
+        taken = on(by_fix, lambda e, rows: e.update_gnss(fix[rows], spread[rows]))
+        rejected = self.rejected[who]
+        rejected[by_fix] = np.where(taken, 0, rejected[by_fix] + 1)
+        on(by_fix & (rejected >= 5), lambda e, rows: e.reset(fix_x[rows], fix_y[rows]))
+        rejected[rejected >= 5] = 0
+        self.rejected[who] = rejected
+        self.ekf.put(who, ekf)
+        P = ekf.P
+        return *ekf.position[:, :2].T, *ekf.velocity[:, :2].T, np.sqrt(P[:, 0, 0] + P[:, 1, 1]), np.sqrt(P[:, 3, 3] + P[:, 4, 4]), mode, active
 
 
 class Thinning:
