@@ -5,7 +5,9 @@ import random
 
 import pytest
 
+from tests.oracle import SF
 from waymark.operators import roads as R
+from waymark.plans.catalog import QUERIES
 
 
 def largest_explode(plan) -> int:
@@ -64,3 +66,21 @@ def test_lists_are_made_once_for_many_points(spark):
     segments = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1e-4)], "edge_id long, lat1 double, lng1 double, lat2 double, lng2 double")
     plan = R.edge_candidates(spark.createDataFrame([(1, 0.0, 0.0)], "k long, lat double, lng double"), segments, keys=["k"])._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "lambdafunction" not in plan
+
+
+#: Queries whose points look for streets.
+LOOKING = ["edge_candidates", "snapped_points"]
+
+
+@pytest.mark.parametrize("name", LOOKING)
+def test_queries_ask_for_buckets(spark, monkeypatch, name):
+    """No query files its streets under buckets where no point is."""
+    filing, asked = R.with_buckets, []
+
+    def watched(segments, size, margin=0.0, *of):
+        asked.append(len(of))
+        return filing(segments, size, margin, *of)
+
+    monkeypatch.setattr(R, "with_buckets", watched)
+    assert QUERIES[name](spark, SF).count() > 0
+    assert asked and all(asked)
