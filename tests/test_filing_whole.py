@@ -69,7 +69,7 @@ def test_lists_are_made_once_for_many_points(spark):
 
 
 #: Queries whose points look for streets.
-LOOKING = ["edge_candidates", "snapped_points", "live_snapped_points", "polyline_candidates", "span_verdicts", "widened_candidates", "live_positions"]
+LOOKING = ["edge_candidates", "snapped_points", "live_snapped_points", "polyline_candidates", "span_verdicts", "widened_candidates", "live_positions", "spans_written_back"]
 
 
 @pytest.mark.parametrize("name", LOOKING)
