@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from waymark.functions import labels as L
 from waymark.functions.checkpoints import written
-from waymark.functions.geodesy import haversine
-from waymark.operators.matching import chosen, listed, moves_between, viterbi
+from waymark.functions.geodesy import RADIUS_EQUATOR, haversine
+from waymark.operators.matching import chosen, viterbi
+from waymark.operators.moves import weighed
 from waymark.operators.roads import METRES_A_DEGREE, near_lists, nearest_on_segments, polyline_segments, segments_within
-from waymark.operators.routes import between_candidates, bounded_routes
+from waymark.operators.routes import bounded_routes
 from waymark.operators.trips import KEY, ORDER, along
 
 # Fixed values of the candidate search: least and most metres of the first radius, its deviations, the second radius, and candidates of a row.
@@ -120,22 +122,18 @@ def match_adaptive(rows: DataFrame, edges: DataFrame) -> DataFrame:
     lists = about.groupBy(KEY, ORDER).agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", *fields))), lambda c: F.struct(*(c[f].alias(f) for f in fields))).alias("options"))
     found = written(found.drop("options").join(lists, [KEY, ORDER]))
 
-    a, b = F.col("a"), F.col("b")
-    other = a["edge_id"] != b["edge_id"]
     dt = F.greatest(F.lit(0.1), (F.col("t_ms") - F.col("was_t_ms")) / 1000.0)
     beta = L.dynamic_beta(F.greatest("speed_kmh", "was_speed_kmh") / 3.6, dt, F.col("is_dr") | F.col("was_is_dr"))
-    straight = haversine(a["proj_lat"], a["proj_lng"], b["proj_lat"], b["proj_lng"])
-    # a few numbers a move, no candidates: a join and a grouping deal them out
-    own = between_candidates(F.lit(None).cast("double"), backward_m=BACKWARD_M, backward_factor=BACKWARD_FACTOR)
-    numbers = {"source": F.when(other, a["to_node"]), "target": F.when(other, b["from_node"]), "own": own, "rest": F.greatest(F.lit(0.0), a["length_m"] - a["offset_m"]), "start": F.greatest(F.lit(0.0), b["offset_m"]), "straight": straight, "beta": beta}
-    named = written(moves_between(found, ["t_ms", "speed_kmh", "is_dr"]).withColumns(numbers).select(KEY, ORDER, "i", "j", *numbers))
     p, q = F.element_at("points", 1), F.element_at("points", -1)
     graph = roads.select("from_node", "to_node", "length_m", *(x.alias(n) for n, x in (("lat1", p["lat"]), ("lng1", p["lng"]), ("lat2", q["lat"]), ("lng2", q["lng"]))))
-    lengths = bounded_routes(graph, named.where("source IS NOT NULL").select("source", "target").distinct(), most=SEARCH_M)
-    joined = named.join(lengths, ["source", "target"], "left")
-    route = F.coalesce("own", F.when(F.col("source").isNotNull(), F.col("rest") + F.col("metres") + F.col("start")))
+
+    def weigh(route: np.ndarray, straight: np.ndarray, same: np.ndarray, of: dict[str, np.ndarray]) -> np.ndarray:
+        moved = np.maximum(L.LEAST_LOG, -np.log(of["beta"]) - np.abs(route - straight) / of["beta"])
+        return np.where(route < np.inf, moved, L.BROKEN_LOG)
+
     emissions = F.transform("options", lambda c: L.adaptive_emission(c["distance_m"], F.col("weight")))
-    path = viterbi(found.withColumn("emissions", emissions).join(listed(joined, L.dynamic_transition(route, F.col("straight"), F.col("beta"))), [KEY, ORDER], "left"))
+    steps = weighed(found, lambda pairs: bounded_routes(graph, pairs, most=SEARCH_M), weigh, emissions=emissions, numbers_of={"beta": beta}, lagged=["t_ms", "speed_kmh", "is_dr"], radius=RADIUS_EQUATOR, backward_m=BACKWARD_M, backward_factor=BACKWARD_FACTOR)
+    path = written(viterbi(steps))
     at = F.col("at")
     placed = chosen(found, path).select(KEY, ORDER, at["proj_lat"].alias("matched_lat"), at["proj_lng"].alias("matched_lng"), at["edge_id"].alias("edge_id"), "step")
     return expanded_runs(rows, placed, ["matched_lat", "matched_lng", "edge_id", "step"])

@@ -150,18 +150,23 @@ def within_reach(edges: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
     metres of its source in a straight line. All edges are kept where there is no such share. A node
     has one place.
     """
+    return _near_edges(edges, pairs, most)[0]
+
+
+def _near_edges(edges: DataFrame, pairs: DataFrame, most: float) -> tuple[DataFrame, bool]:
+    """The edges `within_reach`, and whether they are all."""
     wanted = written(pairs.select("source").distinct())
     straight = G.haversine(F.col("lat1"), F.col("lng1"), F.col("lat2"), F.col("lng2"))
     share = F.when(straight == 0, None).when(F.col("length_m") >= 0, F.col("length_m") / straight).otherwise(0.0)
     # one group for each source, and one for all other nodes
     marked = edges.join(wanted, F.col("from_node") == F.col("source"), "left").withColumn("share", F.coalesce(F.nanvl(share, F.lit(0.0)), F.when(straight.isNull(), 0.0)))
-    places = written(marked.groupBy("source").agg(F.min(F.struct("lat1", "lng1")).alias("p"), F.min("share").alias("share")))
-    least = places.agg(F.min("share")).first()[0]
+    places = written(marked.groupBy("source").agg(F.min(F.struct("lat1", "lng1")).alias("p"), F.min("share").alias("share"), F.count(F.lit(1)).alias("n")))
+    least, total = places.agg(F.min("share"), F.sum("n")).first()
     if least == 0:
-        return written(edges)
+        return written(edges), True
     margin = most / (least or 1.0) / METRES_A_DEGREE * (1 + 1e-6) + 1e-9
     if margin > 45:
-        return written(edges)
+        return written(edges), True
     size = 360 / max(1, int(720 / margin))
     at = [bucket(F.col(f"p.{c}"), size) for c in ("lat1", "lng1")]
     boxes = places.where("source IS NOT NULL").groupBy(*at).agg(*(f(f"p.{c}1").alias(f"{c}{n}") for n, f in ((1, F.min), (2, F.max)) for c in ("lat", "lng")))
@@ -169,18 +174,32 @@ def within_reach(edges: DataFrame, pairs: DataFrame, most: float) -> DataFrame:
     targets = written(pairs.select(F.col("target").alias("_target")).distinct())
     filed = edges.withColumns({"_row": bucket(F.col("lat1"), size), "_col": F.pmod(bucket(F.col("lng1"), size), F.lit(round(360 / size)))})
     kept = filed.join(near, ["_row", "_col"], "left").join(targets, F.col("from_node") == F.col("_target"), "left")
-    return written(kept.where("_near OR _target IS NOT NULL").select(*edges.columns))
+    kept = written(kept.where("_near OR _target IS NOT NULL").select(*edges.columns))
+    return kept, kept.count() == (total or 0)
 
 
 def shortest(edges: DataFrame, pairs: DataFrame, *, most: float | None = None, nodes_of_cell: int = NODES, widest: float = WIDEST) -> DataFrame:
     """source, target and metres of the shortest route of each distinct pair (source, target); pairs that no route joins, within `most` metres if given, have no row.
 
     `edges`: from_node, to_node, length_m, lat1, lng1, lat2, lng2, one row a direction. A node is 0
-    metres from itself, on the graph or not. Null ids take no part.
+    metres from itself, on the graph or not. Null ids take no part. Without `most`, pairs are searched
+    in what of the graph lies within a bound of their sources, and those left open go on with four
+    times the bound, in the end over all edges.
     """
     pairs = written(pairs.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
-    near = edges if most is None else within_reach(edges, pairs.where("source <> target"), most)
-    return _searched(near, pairs, most, nodes_of_cell, widest)
+    if most is not None:
+        return _searched(within_reach(edges, pairs.where("source <> target"), most), pairs, most, nodes_of_cell, widest)
+    found, bound = None, 4 * RADIUS
+    while True:
+        near, whole = _near_edges(edges, pairs.where("source <> target"), bound)
+        part = _searched(near, pairs, None if whole else bound, nodes_of_cell, widest)
+        found = part if found is None else found.union(part)
+        if whole:
+            return found
+        pairs = written(pairs.join(part, ["source", "target"], "left_anti"))
+        if pairs.isEmpty():
+            return found
+        bound *= 4
 
 
 def _searched(edges: DataFrame, pairs: DataFrame, most: float | None, nodes_of_cell: int = NODES, widest: float = WIDEST) -> DataFrame:
